@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mpegts, quality, tokenfile
+from . import bpe, hnsw, langid, mpegts, quality, tokenfile
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
@@ -32,5 +36,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op5_transport_streams": op5_transport_streams, "op7_quality": op7_quality, "op9_token_files": op9_token_files, "op10_language_id": op10_language_id}
+QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op5_transport_streams": op5_transport_streams, "op7_quality": op7_quality, "op8_hnsw": op8_hnsw, "op9_token_files": op9_token_files, "op10_language_id": op10_language_id}
 ORACLE: dict[str, str] = {}
