@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hnsw, langid, mpegts, quality, tokenfile
+from . import bpe, hnsw, jaccard, langid, mpegts, quality, tokenfile
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op5_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.digests(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op5_transport_streams": op5_transport_streams, "op7_quality": op7_quality, "op8_hnsw": op8_hnsw, "op9_token_files": op9_token_files, "op10_language_id": op10_language_id}
+QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op4_jaccard_join": op4_jaccard_join, "op5_transport_streams": op5_transport_streams, "op7_quality": op7_quality, "op8_hnsw": op8_hnsw, "op9_token_files": op9_token_files, "op10_language_id": op10_language_id}
 ORACLE: dict[str, str] = {}

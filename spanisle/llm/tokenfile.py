@@ -180,7 +180,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def write(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes every text, appends end_id, and writes the token files; returns their table (part, seq, n_docs, n_ids, image).
+    """Encodes every text, appends end_id, and writes the token files; returns their table (part, seq, before, n_docs, n_ids, image).
 
     Rows are dealt by ranges of the key, so the files in order of `part` hold the keys in ascending order."""
     n = parts(df.sparkSession)
@@ -193,7 +193,7 @@ def write(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path not in _encoders:
             _encoders[path] = Encoder(path)
-        enc, part, seq = _encoders[path], TaskContext.get().partitionId(), 0
+        enc, part, seq, before = _encoders[path], TaskContext.get().partitionId(), 0, 0
         for b in batches:
             for i, m in vec.slices(b, "text"):
                 rows = b.slice(i, m)
@@ -204,23 +204,24 @@ def write(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str
                 keep[at - 1] = False
                 full[keep] = ids
                 data = image(rows.column("key").to_numpy(zero_copy_only=False), counts + 1, full)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([m], pa.int64()), pa.array([len(full)], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_docs", "n_ids", "image"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([m], pa.int64()), pa.array([len(full)], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "before", "n_docs", "n_ids", "image"])
                 seq += 1
+                before += len(full)
 
     rows = df.selectExpr(f"CAST(`{key}` AS BIGINT) AS key", f"`{text}` AS text").repartitionByRange(n, "key").sortWithinPartitions("key")
-    return saved(rows.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, image binary"))
+    return saved(rows.mapInArrow(run, "part int, seq int, before long, n_docs long, n_ids long, image binary"))
 
 
 def starts(files: DataFrame) -> DataFrame:
-    """files with `start`, the number of ids in all images before; only (part, seq, n_ids) of the images is moved.
+    """files with `start`, the number of ids in all images before.
 
-    A part's images are summed first, so what meets in one task is a row for each part."""
+    Images know what comes before them in their part; the parts' totals are a row for each partition of the writer, a count
+    that the session fixes, so they may be broadcast."""
     from pyspark.sql import Window
 
-    by_part = files.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("inner"))
-    place = within.join(by_part, "part").select("part", "seq", (F.col("before") + F.col("inner")).alias("start"))
-    return files.join(place, ["part", "seq"])
+    by_part = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = by_part.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("of_part"))
+    return files.join(F.broadcast(before), "part").withColumn("start", F.col("of_part") + F.col("before"))
 
 
 def read(files: DataFrame, key: str = "doc_id", ids: bool = False) -> DataFrame:
