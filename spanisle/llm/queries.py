@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hnsw, jaccard, langid, mpegts, quality, tokenfile
+from . import bpe, hnsw, jaccard, langid, mpegts, pii, quality, tokenfile
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op5_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
@@ -40,5 +44,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op4_jaccard_join": op4_jaccard_join, "op5_transport_streams": op5_transport_streams, "op7_quality": op7_quality, "op8_hnsw": op8_hnsw, "op9_token_files": op9_token_files, "op10_language_id": op10_language_id}
+QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op4_jaccard_join": op4_jaccard_join, "op5_transport_streams": op5_transport_streams, "op6_pii": op6_pii, "op7_quality": op7_quality, "op8_hnsw": op8_hnsw, "op9_token_files": op9_token_files, "op10_language_id": op10_language_id}
 ORACLE: dict[str, str] = {}
