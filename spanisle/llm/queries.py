@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, jaccard, langid, mixing, mpegts, pii, quality, tokenfile
+from . import bpe, hnsw, jaccard, langid, mixing, mpegts, pii, quality, suffixdedup, tokenfile
 from .common import table
 
 
@@ -29,6 +29,10 @@ def domain():
 DOMAIN_SQL = "list_extract(['web', 'books', 'code', 'forums'], TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) % 4 + 1)"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), domain(), **MIX)
 
@@ -68,5 +72,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_byte_bpe": op3_byte_bpe, "op4_jaccard_join": op4_jaccard_join, "op5_transport_streams": op5_transport_streams, "op6_pii": op6_pii, "op7_quality": op7_quality, "op8_hnsw": op8_hnsw, "op9_token_files": op9_token_files, "op10_language_id": op10_language_id}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_mixing": op2_mixing, "op3_byte_bpe": op3_byte_bpe, "op4_jaccard_join": op4_jaccard_join, "op5_transport_streams": op5_transport_streams, "op6_pii": op6_pii, "op7_quality": op7_quality, "op8_hnsw": op8_hnsw, "op9_token_files": op9_token_files, "op10_language_id": op10_language_id}
 ORACLE: dict[str, str] = {"op2_mixing": mixing.oracle(**MIX, domain_sql=DOMAIN_SQL)}
