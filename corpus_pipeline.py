@@ -1,8 +1,59 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: five stages over `documents`, each working on all that the one before has kept.
 
-STAGES: list = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.  `run` writes
+each stage as Parquet to the shared folder and reads it again for the next.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanisle.llm import bpe, common, jaccard, langid, mixing, pii, queries
+
+#: A text of which no learned language explains the letters needs more phrases for each byte than this.
+RATE_MOST = 0.75
+#: Word shingles of near-duplicates, and the least similarity in per cent.
+WORDS, PER_CENT = 5, 80
+#: The mix takes this share of all tokens, each document once at most.
+MIX = queries.MIX | {"share": 0.8, "epochs": 1}
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Names the language of every document in `lang`; those without letters or of no learned language go."""
+    found = langid.identify(docs, langid.fit(docs), docs.columns)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("rate") <= RATE_MOST))
+    return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links join, the one with the least doc_id stays."""
+    gone = jaccard.join(docs, WORDS, PER_CENT).where("component_id <> doc_id").select("doc_id")
+    return common.without(docs, "doc_id", common.saved(gone)).select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and terms that disclose it are marked or removed in the texts; n_chars follows."""
+    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by target weights of domains, languages and sources."""
+    return mixing.select(docs, domain=queries.domain(), **MIX).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and digests of the ids and of what they decode to."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix", mix), ("encode", encode)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = common.table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, common.saved(out) if k else out, sf_dir)
+    return out

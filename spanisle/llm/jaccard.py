@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, vec
-from .common import dealt, parts, saved
+from .common import dealt, parts, saved, split_by
 
 U = np.uint64
 _WHITE = vec.lut(bytes([0x20, *range(9, 14)]))
@@ -281,9 +281,9 @@ def join(df: DataFrame, words: int = 3, per_cent: int = 90, key: str = "doc_id",
     blocks = member.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"))
     large = blocks.where("blocks > 1").select(F.col("cluster").alias("_c"), "blocks")
     member = graph.spread(member.select("rep", "cluster"), large, "cluster", "_c").select("rep", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    member = member.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    member = saved(member.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")))
     texts = df.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("text"))
-    asked = texts.join(member, "rep")
+    asked = split_by(texts, "rep", member.select("rep"))[0].join(member, "rep")
     asked = asked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = asked.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "text")
 
