@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, partitions
 from ..plans.tokens import QuerySyntaxError, join, split, tokenize
 
 #: Array types and the SQL types they stand for.
@@ -108,14 +109,13 @@ def flat(df: DataFrame, name: str = "i") -> Array:
 def numbered(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
     """df with a dense number from 0 in the given order, or in that of its columns, without a sort in one task.
 
-    Rows are counted for each partition of a range partitioning, whose number is fixed so that both uses agree; the counts, a
-    row for each partition, make offsets."""
+    Rows are dealt by ranges of the order and checkpointed once, since range bounds are sampled anew in each run; then they are
+    counted for each partition, and the counts, a row for each partition, make offsets."""
     cols = df.columns
     plain = all(f.dataType.typeName() not in ("map", "variant") for f in df.schema.fields)
     order = order or ([F.col(f"`{c}`").asc_nulls_last() for c in cols] if plain else [F.xxhash64(F.to_json(F.struct("*")))])
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    marked = df.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
+    df = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    marked = cut(df.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")))
     counts = marked.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_m0"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = marked.join(F.broadcast(counts.select("_p", "_m0", before.alias("_before"))), "_p")

@@ -195,7 +195,7 @@ ASKED: dict[str, tuple[str, str | None]] = {
     "arr_apply": (f"bdarray(apply({_PART}, w, v * 2, k, iif(j > 25, 1, 0)))", f"select i, j, v, n, v * 2 as w, case when j > 25 then 1 else 0 end as k from ({_A})"),
     "arr_redimension": (f"bdarray(redimension(apply({_PART}, q, i * 100 + j), <v:double,n:int64>[q=0:*,1000,0]))", f"select i * 100 + j as q, v, n from ({_A})"),
     "arr_redimension_max": (f"bdarray(redimension({_PART}, <v:double>[i=0:*,1000,0], 'max'))", f"select i, max(v) as v from ({_A}) group by i"),
-    "arr_aggregate": (f"bdarray(aggregate({_PART}, sum(v) as s, count(*), max(n), i))", f"select i, sum(v) as s, count(*) as count, max(n) as n_max from ({_A}) group by i"),
+    "arr_aggregate": (f"bdarray(aggregate({_PART}, sum(n) as s, count(*), max(n), i))", f"select i, sum(n) as s, count(*) as count, max(n) as n_max from ({_A}) group by i"),
     "arr_aggregate_scalar": (f"bdarray(aggregate({_PART}, count(v), min(v) as lo, median(v) as m))", f"select 0 as i, count(v) as v_count, min(v) as lo, median(v) as m from ({_A})"),
     "arr_aggregate_stats": (f"bdrel(select j, round(sd, 6) as sd, round(a, 6) as a, d, p from bdcast(bdarray(aggregate({_PART}, stdev(v) as sd, avg(v) as a, mad(n) as d, prod(n) as p, j)), t, '(j bigint, sd double precision, a double precision, d double precision, p double precision)', relational))",
         f"select j, round(stddev_samp(v), 6) as sd, round(avg(v), 6) as a, mad(n) as d, product(n) as p from ({_A}) group by j"),
@@ -277,15 +277,16 @@ def api_call(spark, sf_dir):
     return e.query("bdapi({'name': 'weather', 'endpoint': 'now', 'query': {'q': 'x'}, 'result-key': 'result.list'})")
 
 
-_COUNTS = {"n": F.count("*"), "total": F.round(F.sum("value"), 2)}
+def _counts():
+    return {"n": F.count("*"), "total": F.round(F.sum("value"), 2)}
 
 
 def stream_tumbling(spark, sf_dir):
-    return windows.tumbling(engine(spark, sf_dir).catalog.relation("events"), "ts", "1 hour", _COUNTS, ["event_type"], "10 minutes")
+    return windows.tumbling(engine(spark, sf_dir).catalog.relation("events"), "ts", "1 hour", _counts(), ["event_type"], "10 minutes")
 
 
 def stream_sliding(spark, sf_dir):
-    return windows.sliding(engine(spark, sf_dir).catalog.relation("events"), "ts", "2 hours", "1 hour", _COUNTS, ["event_type"], "10 minutes")
+    return windows.sliding(engine(spark, sf_dir).catalog.relation("events"), "ts", "2 hours", "1 hour", _counts(), ["event_type"], "10 minutes")
 
 
 def stream_session(spark, sf_dir):
