@@ -22,9 +22,10 @@ MIX = queries.MIX | {"share": 0.8, "epochs": 1}
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Names the language of every document in `lang`; those without letters or of no learned language go."""
-    found = langid.identify(docs, langid.fit(docs), docs.columns)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("rate") <= RATE_MOST))
-    return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    names = ("_spanisle_lang", "_spanisle_score", "_spanisle_rate")
+    found = langid.identify(docs, langid.fit(docs), docs.columns, names=names)
+    kept = found.where((F.col(names[0]) != "und") & (F.col(names[2]) <= RATE_MOST))
+    return kept.withColumn("lang", F.col(names[0])).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,43 +33,44 @@ class PerfectHash:
         self.buckets = max(1, n // 2)
         which = (keys % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(which, kind="stable")
-        cuts = np.searchsorted(which[order], np.arange(self.buckets + 1))
+        cuts = np.searchsorted(which[order], np.arange(self.buckets + 1)).tolist()
         self.shift = np.zeros(self.buckets, np.int64)
-        taken, slot_of = bytearray(n), np.zeros(n, np.int64)
-        h1, h2 = ((keys >> np.uint64(20)) % np.uint64(n)).tolist(), ((keys >> np.uint64(9)) % np.uint64(max(1, n - 1)) + np.uint64(1)).tolist()
-        sizes, single = np.diff(cuts), []
-        for b in np.argsort(-sizes, kind="stable").tolist():
-            members = order[cuts[b] : cuts[b + 1]].tolist()
+        taken, slot_of, single = np.zeros(n, bool), np.zeros(n, np.int64), []
+        for b in np.argsort(-np.diff(cuts), kind="stable").tolist():
+            members = order[cuts[b] : cuts[b + 1]]
             if len(members) == 1:
                 single.append((b, members[0]))
             if len(members) < 2:
                 continue
-            d = 0
-            while True:
-                slots = [(h1[m] + d * h2[m] + d * d) % n for m in members]
-                if len(set(slots)) == len(slots) and not any(taken[s] for s in slots):
-                    break
-                d += 1
-                if d > 50 * n:
-                    raise ValueError("two tokens have the same hash")
-            self.shift[b] = d
-            for m, s in zip(members, slots, strict=True):
-                taken[s], slot_of[m] = 1, s
-        free = iter([s for s in range(n) if not taken[s]])
-        for b, m in single:
-            slot_of[m] = s = next(free)
+            tried, found = 0, None
+            while found is None:
+                slots = self._slots(keys[members][:, None], np.arange(tried, tried + 32))
+                for j in np.flatnonzero(~taken[slots].any(axis=0)).tolist():
+                    if len(set(slots[:, j].tolist())) == len(members):
+                        found = j
+                        break
+                else:
+                    tried += 32
+                    if tried > 100 * n + 10_000:
+                        raise ValueError("two tokens have the same hash")
+            self.shift[b] = tried + found
+            taken[slots[:, found]] = True
+            slot_of[members] = slots[:, found]
+        for (b, m), s in zip(single, np.flatnonzero(~taken).tolist(), strict=True):
+            slot_of[m] = s
             self.shift[b] = -1 - s
         self.stored = np.zeros(n, np.uint64)
         self.value = np.zeros(n, np.int64)
         self.stored[slot_of] = keys
         self.value[slot_of] = np.arange(n)
 
+    def _slots(self, keys: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        return (vec.mix(keys ^ shift.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)) % np.uint64(self.n)).astype(np.int64)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key, or -1."""
         d = self.shift[(keys % np.uint64(self.buckets)).astype(np.int64)]
-        far = np.where(d < 0, 0, d)
-        h1, h2 = ((keys >> np.uint64(20)) % np.uint64(self.n)).astype(np.int64), ((keys >> np.uint64(9)) % np.uint64(max(1, self.n - 1))).astype(np.int64) + 1
-        slot = np.where(d < 0, -1 - d, (h1 + far * h2 + far * far) % self.n)
+        slot = np.where(d < 0, -1 - d, self._slots(keys, np.maximum(d, 0)))
         return np.where(self.stored[slot] == keys, self.value[slot], -1)
 
 

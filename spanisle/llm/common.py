@@ -50,15 +50,15 @@ def split_by(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFr
     number of ids, so large columns of rows that have no partner need no shuffle.  ids is a table of one column; with very many
     ids the set fills up and every row may have its key in ids, which costs time and changes no result."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    mask = F.expr("shiftleft(1L, CAST(_bit & 63 AS INT))")
-    words = ids.select(bit(F.col(ids.columns[0])).alias("_bit")).select(F.shiftright("_bit", 6).alias("_w"), mask.alias("_m")).groupBy("_w").agg(F.bit_or("_m").alias("_m"))
+    mask = F.expr("shiftleft(1L, CAST(_spanisle_bit & 63 AS INT))")
+    words = ids.select(bit(F.col(ids.columns[0])).alias("_spanisle_bit")).select(F.shiftright("_spanisle_bit", 6).alias("_spanisle_w"), mask.alias("_spanisle_m")).groupBy("_spanisle_w").agg(F.bit_or("_spanisle_m").alias("_spanisle_m"))
     cols = df.columns
-    marked = df.withColumn("_bit", bit(F.col(key))).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(words), F.col("_word") == F.col("_w"), "left")
-    may = F.coalesce(F.col("_m").bitwiseAND(mask) != 0, F.lit(False))
+    marked = df.withColumn("_spanisle_bit", bit(F.col(key))).withColumn("_spanisle_word", F.shiftright("_spanisle_bit", 6)).join(F.broadcast(words), F.col("_spanisle_word") == F.col("_spanisle_w"), "left")
+    may = F.coalesce(F.col("_spanisle_m").bitwiseAND(mask) != 0, F.lit(False))
     return marked.where(may).select(*(F.col(f"`{c}`") for c in cols)), marked.where(~may).select(*(F.col(f"`{c}`") for c in cols))
 
 
 def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of df whose key is not in ids; only rows that the bit set can't rule out are shuffled."""
     may, free = split_by(df, key, ids)
-    return may.join(ids.select(F.col(ids.columns[0]).alias("_k")), F.col(f"`{key}`") == F.col("_k"), "left_anti").union(free)
+    return may.join(ids.select(F.col(ids.columns[0]).alias("_spanisle_k")), F.col(f"`{key}`") == F.col("_spanisle_k"), "left_anti").union(free)

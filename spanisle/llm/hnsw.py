@@ -11,7 +11,7 @@ its own vectors, so what it emits does not grow with the square of a group.  The
 cluster, or the number of vectors where SHARD_MOST would be passed, which bounds a task's memory.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own
-component; vectors of different lengths do not link; repeated ids are taken as one vector each row; an empty table gives an
+component, as are rows with a null id; vectors of different lengths do not link; repeated ids are taken as one vector each row; an empty table gives an
 empty table; extra columns are never read.
 """
 
@@ -255,7 +255,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     spark = df.sparkSession
     v = F.col("v")
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
-    fine = v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+    fine = F.col("id").isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("h", F.when(fine, F.struct(F.xxhash64("v"), F.xxhash64(F.lit(1), "v"))))
     classes = saved(rows.where("h IS NOT NULL").groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
     n = classes.count()
@@ -305,4 +305,4 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     known = known.select(F.col("h").alias("_h"), "rep", "n", "links", "component")
     out = graph.spread(rows.select("id", "h"), known, "h", "_h")
     comp_id = F.coalesce("component", "rep", "id")
-    return out.select(F.col("id").alias(key), (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), comp_id.alias("component_id"), (comp_id == F.col("id")).alias("kept"))
+    return out.select(F.col("id").alias(key), (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), comp_id.alias("component_id"), comp_id.eqNullSafe(F.col("id")).alias("kept"))

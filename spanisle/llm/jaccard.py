@@ -13,7 +13,8 @@
 
 Cases: a null or empty text, or one without words, has an empty set and links with nothing; a text with fewer words than a
 shingle is one shingle; repeated rows share a class; an empty table gives an empty table; extra columns are never read; texts
-of any length are read whole.  Keys must be integers and not null.
+of any length are read whole.  Keys are integers; a row with a null key joins the class of equal sets, if other rows
+have one, and leads none.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ Training reads a bounded sample: whole labelled texts in the order of a hash unt
 (FIT: about `train_docs` texts a language are fetched to the driver; the automata are `train_bytes` x languages in size).
 
 Cases: a null text or one without a letter is `und` with score 0; ties go to the language that sorts first; without any labelled
-text all is `und`; repeated rows keep their own result; an empty table gives an empty table; extra columns are never read.
+text all is `und`; repeated rows keep their own result; a null key is not held out and never trained on; an empty table gives an empty table; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -84,12 +84,12 @@ class Automaton:
 
 def held_out(key: str):
     """The column that marks rows kept from training: crc32 of the key as text, modulo 3, is 1."""
-    return F.expr(f"crc32(CAST(CAST(`{key}` AS STRING) AS BINARY)) % 3 = 1")
+    return F.coalesce(F.expr(f"crc32(CAST(CAST(`{key}` AS STRING) AS BINARY)) % 3 = 1"), F.lit(False))
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = 60, train_bytes: int = 40_000) -> dict[str, Automaton]:
     """Automata by language, from rows that are not held out."""
-    rows = df.selectExpr(f"`{key}` AS key", f"`{text}` AS text", f"`{lang}` AS lang").where(~held_out("key") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = df.selectExpr(f"`{key}` AS key", f"`{text}` AS text", f"`{lang}` AS lang").where(F.col("key").isNotNull() & ~held_out("key") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not count:
         return {}
@@ -185,8 +185,11 @@ class Model:
 _models: dict[int, Model] = {}
 
 
-def identify(df: DataFrame, automata: dict[str, Automaton], keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` with lang_pred, score and rate (phrases for each byte of letters) of every whole text."""
+def identify(df: DataFrame, automata: dict[str, Automaton], keep: list[str], text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rate")) -> DataFrame:
+    """The columns `keep` with language, score and rate (phrases for each byte of letters) of every whole text.
+
+    Columns of `keep` that have one of the three names are left out."""
+    keep = [k for k in keep if k.lower() not in names]
     shared = df.sparkSession.sparkContext.broadcast(automata)  # at most some 40 bytes for each byte of training text
     token = zlib.crc32(repr(sorted((k, len(a.keys), int(a.keys.sum())) for k, a in automata.items())).encode())
     kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep]
@@ -197,9 +200,9 @@ def identify(df: DataFrame, automata: dict[str, Automaton], keep: list[str], tex
             _models[token] = Model(shared.value)
         model = _models[token]
         for b in batches:
-            for i, n in vec.slices(b, "_text"):
+            for i, n in vec.slices(b, len(keep)):
                 part = b.slice(i, n)
-                lang, score, rate = model.predict(part.column("_text"))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], [*keep, "lang_pred", "score", "rate"])
+                lang, score, rate = model.predict(part.column(len(keep)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], [*keep, *names])
 
-    return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(run, ", ".join([*kinds, "lang_pred string, score double, rate double"]))
+    return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias("_spanisle_text")).mapInArrow(run, ", ".join([*kinds, f"{names[0]} string, {names[1]} double, {names[2]} double"]))

@@ -97,9 +97,9 @@ def select(df: DataFrame, key: str = "doc_id", **kind) -> DataFrame:
     """The documents of df that are selected, whole and with all their columns, once for each epoch that selects them.
 
     Rows that share a key are selected together, each as often as the most often selected one."""
-    chosen = mix(df, key=key, **kind).groupBy(F.col(key).alias("_k")).agg(F.max("epoch").alias("_e"))
-    rows = df.join(chosen, df[key] == chosen["_k"])
-    return rows.withColumn("_e", F.explode(F.sequence(F.lit(0).cast("long"), "_e"))).drop("_k", "_e")
+    chosen = mix(df, key=key, **kind).groupBy(F.col(key).alias("_spanisle_k")).agg(F.max("epoch").alias("_spanisle_e"))
+    rows = df.join(chosen, df[key].eqNullSafe(chosen["_spanisle_k"]))
+    return rows.withColumn("_spanisle_e", F.explode(F.sequence(F.lit(0).cast("long"), "_spanisle_e"))).drop("_spanisle_k", "_spanisle_e")
 
 
 def oracle(weights: dict[str, dict[str, int]], default: int, share: float, epochs: int, seed: str, domain_sql: str) -> str:

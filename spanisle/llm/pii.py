@@ -12,7 +12,8 @@ within REACH characters, words cut by that edge left out.
 
 Cases: a null or empty text has no spans (and stays null where texts are returned); texts of any length are read whole, in
 linear time; overlapping spans are merged when texts are rewritten; repeated keys count once in statistics and keep all their
-rows; an empty table gives an empty table; extra columns pass through `sanitise` and are never read.  Keys must not be null.
+rows; an empty table gives an empty table; extra columns pass through `sanitise` and are never read.  Rows with a null key count as one document and get no terms; columns
+named _spanisle_* are reserved.
 """
 
 from __future__ import annotations
@@ -122,9 +123,9 @@ def _hits(df: DataFrame, key: str, text: str) -> DataFrame:
                     spans.append([f"{k}:{x}:{y}" for k, x, y in s])
                     pairs.append([{"e": int(a), "t": int(c)} for a, c in zip(e, w, strict=True)] + [{"e": int(a), "t": None} for a in np.unique(own)])
             got = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*got.columns, pa.array(spans, pa.list_(pa.string())), pa.array(pairs, pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64())])))], [*keep, "_spans", "_pairs"])
+            yield pa.RecordBatch.from_arrays([*got.columns, pa.array(spans, pa.list_(pa.string())), pa.array(pairs, pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64())])))], [*keep, "_spanisle_spans", "_spanisle_pairs"])
 
-    return df.mapInArrow(run, f"{schema}, _spans array<string>, _pairs array<struct<e:long,t:long>>")
+    return df.mapInArrow(run, f"{schema}, _spanisle_spans array<string>, _spanisle_pairs array<struct<e:long,t:long>>")
 
 
 def _document_counts(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -187,8 +188,8 @@ def _document_counts(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
 
 def _disclosing(df: DataFrame, hits: DataFrame, key: str, text: str, alpha: float, min_docs: int) -> DataFrame:
-    """(key, terms array<struct<t, gone>>): for each document with entities the terms that disclose one of them."""
-    each = hits.select(F.col(f"`{key}`").alias("k"), F.explode("_pairs").alias("p")).select("k", "p.e", "p.t").distinct()
+    """(_spanisle_k, _spanisle_terms array<struct<t, gone>>): for each document with entities the terms that disclose one of them."""
+    each = hits.select(F.col(f"`{key}`").alias("k"), F.explode("_spanisle_pairs").alias("p")).select("k", "p.e", "p.t").distinct()
     each = saved(each)
     n = df.count()
     n_c = each.where("t IS NULL").groupBy("e").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= min_docs)
@@ -200,21 +201,21 @@ def _disclosing(df: DataFrame, hits: DataFrame, key: str, text: str, alpha: floa
     found = pairs.join(n_t, "t").withColumn("pmi", pmi).withColumn("ic", ic).where((F.col("ic") > 0) & (F.col("pmi") >= alpha * F.col("ic")))
     found = found.select(F.struct("e", "t").alias("_et"), (F.col("pmi") >= F.col("ic")).alias("gone"))
     met = graph.spread(each.where("t IS NOT NULL").select("k", F.struct("e", "t").alias("et"), "t"), found, "et", "_et", "inner")
-    return met.groupBy("k", "t").agg(F.max("gone").alias("gone")).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("t", "gone"))).alias("terms"))
+    return met.groupBy("k", "t").agg(F.max("gone").alias("gone")).groupBy(F.col("k").alias("_spanisle_k")).agg(F.sort_array(F.collect_list(F.struct("t", "gone"))).alias("_spanisle_terms"))
 
 
 def _with_terms(df: DataFrame, key: str, text: str, alpha: float, min_docs: int) -> DataFrame:
-    """Rows with base spans, and `_all`: all their spans as kind:start:end, by kind and start."""
+    """Rows with base spans, and `_spanisle_all`: all their spans as kind:start:end, by kind and start."""
     hits = saved(_hits(df, key, text))
     terms = _disclosing(df, hits, key, text, alpha, min_docs)
-    rows = hits.join(terms, hits[key] == terms["k"], "left").drop("k", "_pairs")
+    rows = hits.join(terms, hits[key] == terms["_spanisle_k"], "left")
     keep = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches):
         for b in batches:
             out = []
-            for t, spans, terms in zip(b.column(keep.index(text)).to_pylist(), b.column("_spans").to_pylist(), b.column("terms").to_pylist(), strict=True):
+            for t, spans, terms in zip(b.column(keep.index(text)).to_pylist(), b.column("_spanisle_spans").to_pylist(), b.column("_spanisle_terms").to_pylist(), strict=True):
                 extra = []
                 if terms:
                     gone = {x["t"]: x["gone"] for x in terms}
@@ -228,9 +229,9 @@ def _with_terms(df: DataFrame, key: str, text: str, alpha: float, min_docs: int)
                             if i < 0 or reach[i] <= m.start():
                                 extra.append(("removed" if gone[h] else "term", m.start(), m.end()))
                 out.append(spans + [f"{k}:{s}:{e}" for k, s, e in sorted(extra)])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], b.column("_spans"), pa.array(out, pa.list_(pa.string()))], [*keep, "_spans", "_all"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], b.column("_spanisle_spans"), pa.array(out, pa.list_(pa.string()))], [*keep, "_spanisle_spans", "_spanisle_all"])
 
-    return rows.select(*[F.col(f"`{c}`") for c in keep], "_spans", "terms").mapInArrow(run, f"{schema}, _spans array<string>, _all array<string>")
+    return rows.select(*[F.col(f"`{c}`") for c in keep], "_spanisle_spans", "_spanisle_terms").mapInArrow(run, f"{schema}, _spanisle_spans array<string>, _spanisle_all array<string>")
 
 
 def _plain(df: DataFrame, text: str) -> DataFrame:
@@ -249,7 +250,7 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text", alpha: float
     """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms) of every row."""
     own = df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
     found = _with_terms(own, key, text, alpha, min_docs)
-    base, all_ = F.col("_spans"), F.col("_all")
+    base, all_ = F.col("_spanisle_spans"), F.col("_spanisle_all")
     of = lambda k: F.size(F.filter(base, lambda s: s.startswith(f"{k}:"))).cast("long").alias(f"n_{k}")
     hit = found.select(F.col(key), *(of(k) for k in KINDS), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(all_, ",").alias("spans"), (F.size(all_) - F.size(base)).cast("long").alias("n_terms"))
     none = hashlib.sha256(b"").hexdigest()
@@ -281,10 +282,10 @@ def sanitise(df: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
     def run(batches):
         for b in batches:
             i = keep.index(text)
-            new = [rewrite(t, s) for t, s in zip(b.column(i).to_pylist(), b.column("_all").to_pylist(), strict=True)]
+            new = [rewrite(t, s) for t, s in zip(b.column(i).to_pylist(), b.column("_spanisle_all").to_pylist(), strict=True)]
             cols = list(b.columns[: len(keep)])
             cols[i] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(cols, keep)
 
     found = _with_terms(df, key, text, alpha, min_docs)
-    return found.select(*[F.col(f"`{c}`") for c in keep], "_all").mapInArrow(run, schema).union(_plain(df, text))
+    return found.select(*[F.col(f"`{c}`") for c in keep], "_spanisle_all").mapInArrow(run, schema).union(_plain(df, text))

@@ -8,8 +8,10 @@ Training reads at most about FIT_ROWS labelled rows (a hashed share of them wher
 third.  Labels, language, source and key are never features.
 
 Cases: a null or empty text has the statistics of an empty text and a score as any other; repeated rows score alike; without
-labels, or with one label alone, every score is the share of label 1 (0.5 without labels); null labels are left out; several
-labels of one key all count; an empty table gives an empty table; extra columns are never read.
+labels, or with one label alone, every score is the share of label 1 (0.5 without labels); null labels are left out;
+several labels of one key all count; a null key is scored, not held out, and has no labels;
+a null key is scored, not held out, and has no labels; an empty table gives an empty
+table; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -159,7 +161,7 @@ def features(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def held_out(key: str):
-    return F.expr(f"crc32(CAST(CAST(`{key}` AS STRING) AS BINARY)) % 3 = 1")
+    return F.coalesce(F.expr(f"crc32(CAST(CAST(`{key}` AS STRING) AS BINARY)) % 3 = 1"), F.lit(False))
 
 
 def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", rows: int = FIT_ROWS) -> Boosted:

@@ -8,7 +8,7 @@ A token file is a table of images (Parquet with one binary column), because exec
 only Spark's writers reach every store: `part` is the file, `seq` its place in the file; an image holds whole documents.
 
 Cases: a null or empty text has the end id alone; equal keys keep all their rows; texts of any length stay in one image; an
-empty table gives empty files; extra columns are never read.  Keys must not be null (a null key sorts first).
+empty table gives empty files; extra columns are never read.  A null key sorts first.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ BLOCK = 256
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 U = np.uint64
+#: Stands for a null key in the files.
+NO_KEY = -(2**63)
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +210,7 @@ def write(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str
                 seq += 1
                 before += len(full)
 
-    rows = df.selectExpr(f"CAST(`{key}` AS BIGINT) AS key", f"`{text}` AS text").repartitionByRange(n, "key").sortWithinPartitions("key")
+    rows = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_KEY)).alias("key"), F.col(f"`{text}`").alias("text")).repartitionByRange(n, "key").sortWithinPartitions("key")
     return saved(rows.mapInArrow(run, "part int, seq int, before long, n_docs long, n_ids long, image binary"))
 
 
@@ -234,7 +236,7 @@ def read(files: DataFrame, key: str = "doc_id", ids: bool = False) -> DataFrame:
                 at = np.concatenate(([0], np.cumsum(lengths)))
                 values = values.astype("<u4")
                 raw, o = memoryview(values.tobytes()), (4 * at).tolist()
-                cols = [pa.array(keys), pa.array(start + at[:-1]), pa.array(lengths), pa.array([zlib.crc32(raw[o[j] : o[j + 1]]) for j in range(len(keys))], pa.int64())]
+                cols = [pa.array(keys, mask=keys == NO_KEY), pa.array(start + at[:-1]), pa.array(lengths), pa.array([zlib.crc32(raw[o[j] : o[j + 1]]) for j in range(len(keys))], pa.int64())]
                 if ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(cols, ["key", "start", "n_tokens", "ids_crc32", *["ids"] * ids])
