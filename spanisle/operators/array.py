@@ -140,6 +140,7 @@ def to_array(df: DataFrame, schema: ArraySchema | str, collisions: str = "error"
     for d in schema.dimensions:
         c = F.col(f"`{have[d.name.lower()]}`").cast("bigint")
         bad = c.isNull() | (c < d.low) | (c > d.high if d.high is not None else F.lit(False))
+        # in the projection: as a filter it would be inferred for the other side of a join on the dimension
         cols.append(F.when(bad, F.raise_error(F.concat(F.lit(f"dimension {d.name} is null or out of range: "), F.coalesce(c.cast("string"), F.lit("null"))))).otherwise(c).alias(d.name))
     for a in schema.attributes:
         c = F.col(f"`{have[a.name.lower()]}`")
@@ -151,14 +152,15 @@ def to_array(df: DataFrame, schema: ArraySchema | str, collisions: str = "error"
         w = Window.partitionBy(*schema.dims).orderBy(*schema.attrs)
         df = df.withColumn("synthetic", (F.row_number().over(w) - 1).cast("bigint"))
         return Array(df, ArraySchema(schema.attributes, (*schema.dimensions, Dimension("synthetic"))))
-    pick = F.struct(*schema.attrs) if schema.attrs else F.struct(F.lit(1).alias("_one"))
     if collisions == "error":
-        cell = F.when(F.count("*") > 1, F.raise_error(F.lit("two rows meet in one cell"))).otherwise(F.first(pick))
-    elif collisions in ("min", "max"):
-        cell = (F.min if collisions == "min" else F.max)(pick)
-    else:
+        # one value each, so numbers stay in a hash aggregate
+        one = df.groupBy(*schema.dims).agg(F.count("*").alias("_n"), *(F.first(F.col(f"`{a}`")).alias(a) for a in schema.attrs))
+        alone = F.when(F.col("_n") > 1, F.raise_error(F.lit("two rows meet in one cell"))).otherwise(F.lit(True))
+        return Array(one.where(alone).drop("_n"), schema)
+    if collisions not in ("min", "max"):
         raise ArrayError(f"no rule is named {collisions}")
-    df = df.groupBy(*schema.dims).agg(cell.alias("_cell"))
+    pick = F.struct(*schema.attrs) if schema.attrs else F.struct(F.lit(1).alias("_one"))
+    df = df.groupBy(*schema.dims).agg((F.min if collisions == "min" else F.max)(pick).alias("_cell"))
     return Array(df.select(*schema.dims, *(F.col(f"_cell.`{a}`").alias(a) for a in schema.attrs)), schema)
 
 
