@@ -40,6 +40,49 @@ def dealt(df: DataFrame, n: int, by: str) -> DataFrame:
     return df.repartitionById(n, F.col(by).cast("int"))
 
 
+def sharded(df: DataFrame, n: int, by: str, each: int = 2) -> DataFrame:
+    """df with `shard`, one of n * each integers by the hash of a column; Spark's hash partitioning deals `each` of them to each
+    of n partitions, so partitions are even, and a task works on one shard at a time."""
+    ids = F.col("id").cast("int")
+    found = df.sparkSession.range(n * 40 * each + 400).select(ids.alias("i"), F.pmod(F.hash(ids), F.lit(n)).alias("p"))
+    rows = found.groupBy("p").agg(F.slice(F.sort_array(F.collect_list("i")), 1, each).alias("i")).collect()  # a row for each partition
+    names = sorted(i for r in rows for i in r["i"])
+    return df.withColumn("shard", F.element_at(F.lit(names), (F.pmod(F.xxhash64(by), F.lit(len(names))) + 1).cast("int")))
+
+
+_caches: dict[str, list] = {}
+
+
+def cache(owner: str, held: dict) -> dict:
+    """held, which an operator's worker processes keep from task to task; see `enter`."""
+    _caches.setdefault(owner, []).append(held)
+    return held
+
+
+def enter(owner: str) -> None:
+    """At the start of a task: what other operators have kept in this worker process goes, as executors outlive operators."""
+    for name, kept in _caches.items():
+        if name != owner:
+            for held in kept:
+                held.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that a worker process no longer uses back to the system; workers live on from task to task."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 FILTER_BITS = 1 << 25
 
 

@@ -19,7 +19,7 @@ Texts are shuffled once (the exchange by shard is used by all steps), and the an
 
 Cases: a null or empty text, or one shorter than `length`, loses nothing; texts of any length are treated whole; rows that
 share a key count as one document and lose nothing to each other; an empty table gives an empty table; extra columns are never
-read.  Keys must be integers and not null.
+read.  Keys are integers; rows with a null key count as one last document.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import dealt, parts
+from .common import dealt, enter, parts, sharded
 
 U = np.uint64
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 class LoserTree:
@@ -129,29 +129,39 @@ def _anchors(buf: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.
     a = at[s].astype(np.int64)
     head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (s[1:] != s[:-1] + 1))))
     last = np.append(head[1:], len(s)) - 1
-    return value[a[head]], s[head], s[last], a[head]
+    # least hashes crowd at the low end, so they are mixed again before they are dealt to buckets
+    return vec.mix(value[a[head]] ^ U(0x2545F4914F6CDD1D)), s[head], s[last], a[head]
 
 
 class Shard:
     """Texts of a shard with their anchors."""
 
     def __init__(self, keys: np.ndarray, texts: pa.Array, length: int, k: int):
-        order = np.argsort(keys, kind="stable")
-        texts = texts.take(pa.array(order))
-        self.keys, self.length, self.k = keys[order], length, k
+        self.keys, self.length, self.k = keys, length, k
         self.buf, self.off = vec.packed(texts)
-        parts_, i, n = [], 0, len(self.keys)
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(self.off, self.off[i] + PIECE, "right")) - 1)
+        found = []
+        for i, j in self.pieces():
             base = self.off[i]
             h, lo, hi, a = _anchors(self.buf[base : self.off[j]], self.off[i : j + 1] - base, length, k)
-            parts_.append((h, lo + base, hi + base, a + base))
-            i = j
-        joined = [np.concatenate(x) for x in zip(*parts_, strict=True)] if parts_ else [np.zeros(0, U)] + [np.zeros(0, np.int64)] * 3
+            found.append((h, *((x + base).astype(np.int32 if len(self.buf) < 2**31 else np.int64) for x in (lo, hi, a))))
+        joined = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, U)] + [np.zeros(0, np.int32)] * 3
+        found.clear()
         self.hash, self.lo, self.hi, self.at = joined
-        self.doc = self.keys[vec.rows_of(self.lo, self.off)] if n else np.zeros(0, np.int64)
+        self.row = vec.rows_of(self.lo, self.off).astype(np.int32)
         self.unique, self.back = np.unique(self.hash, return_inverse=True)
 
+    @property
+    def doc(self) -> np.ndarray:
+        return self.keys[self.row]
+
+    def pieces(self):
+        """Ranges of rows with about PIECE bytes."""
+        i, n = 0, len(self.keys)
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(self.off, self.off[i] + PIECE, "right")) - 1)
+            yield i, j
+            i = j
+
     def several(self) -> np.ndarray:
         """Which unique anchors occur in two documents of this shard."""
         low, high = np.full(len(self.unique), np.iinfo(np.int64).max), np.full(len(self.unique), np.iinfo(np.int64).min)
@@ -162,17 +172,17 @@ class Shard:
     def suffixes(self, shared: np.ndarray) -> None:
         """Distinct suffixes at shared anchors, sorted by bucket (set by the caller from `first`), then bytes."""
         use = shared[self.back]
-        self.lo, self.hi, self.at, self.doc, self.hash = (x[use] for x in (self.lo, self.hi, self.at, self.doc, self.hash))
+        self.lo, self.hi, self.at, self.row, self.hash = (x[use] for x in (self.lo, self.hi, self.at, self.row, self.hash))
+        self.back = self.unique = None
         left, right = np.zeros(len(self.lo), U), np.zeros(len(self.lo), U)
-        i, n, m = 0, len(self.keys), 0
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(self.off, self.off[i] + PIECE, "right")) - 1)
+        m = 0
+        for i, j in self.pieces():
             base, e = self.off[i], int(np.searchsorted(self.lo, self.off[j]))
             if e > m:
                 roll = vec.Rolling(self.buf[base : self.off[j]])
                 left[m:e] = roll.segments(self.lo[m:e] - base, self.at[m:e] - base)
                 right[m:e] = roll.segments(self.at[m:e] - base, self.hi[m:e] + self.length - base)
-            i, m = j, e
+            m = e
         order = np.lexsort((self.doc, left, right))
         new = np.ones(len(order), bool)
         new[1:] = (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])
@@ -283,10 +293,32 @@ def _repeated(runs: list[bytes], length: int) -> list[np.ndarray]:
     return [out[begin[i] : begin[i + 1]].astype("<u4") for i in range(len(runs))]
 
 
-def _shard_keys(spark, n: int) -> list[int]:
-    """n integers that Spark's hash partitioning sends to partitions 0 to n - 1."""
-    rows = spark.range(n * 30 + 200).select(F.col("id").cast("int").alias("i"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("i").alias("i")).orderBy("p").collect()
-    return [r["i"] for r in rows] if len(rows) == n else list(range(n))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_EMPTY = pa.table({"key": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string()), "kept": pa.array([], pa.binary()), "spans": pa.array([], _SPANS)})
+
+
+def _cut(s: Shard, i: int, j: int, base: int, own: slice, take: np.ndarray) -> pa.Table:
+    """Rows i to j without the bytes that their repeated windows cover; `own` are their suffixes."""
+    buf, off = s.buf[base : s.off[j]], s.off[i : j + 1] - base
+    cover = np.zeros(len(buf) + 1, np.int32)
+    for o in range(s.length - s.k + 1):
+        at = s.at[own] - o
+        m = (take[own] >> o & 1 > 0) & (at >= s.lo[own]) & (at <= s.hi[own])
+        np.add.at(cover, at[m] - base, 1)
+        np.add.at(cover, at[m] - base + s.length, -1)
+    gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
+    start, end = vec.runs(gone.astype(np.uint8), off)
+    hit = gone[start] if len(start) else np.zeros(0, bool)
+    start, end = start[hit], end[hit]
+    row = vec.rows_of(start, off)
+    count = np.bincount(row, minlength=j - i)
+    kept = buf[~gone].tobytes()
+    removed = np.bincount(row, end - start, j - i).astype(np.int64)
+    size = np.diff(off)
+    cut = np.concatenate(([0], np.cumsum(size - removed))).tolist()
+    texts = [kept[cut[k] : cut[k + 1]] for k in range(j - i)]
+    spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.StructArray.from_arrays([pa.array(start - off[row]), pa.array(end - off[row])], ["start", "end"]))
+    return pa.table({"key": pa.array(s.keys[i:j]), "n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(count), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), "kept": pa.array(texts, pa.binary()), "spans": spans})
 
 
 def remove(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -295,9 +327,8 @@ def remove(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "te
     if not 8 <= length <= 64:
         raise ValueError("the length must be from 8 to 64")
     n = parts(spark)
-    names = _shard_keys(spark, n)
-    shard_of = F.element_at(F.lit(names), (F.pmod(F.xxhash64("key"), F.lit(n)) + 1).cast("int"))
-    texts = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).withColumn("shard", shard_of)
+    texts = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(2**63 - 1)).alias("key"), F.col(f"`{text}`").alias("text"))
+    texts = sharded(texts, n, "key")
 
     def made(t: pa.Table) -> Shard:
         return Shard(t.column("key").to_numpy(), t.column("text").combine_chunks(), length, k)
@@ -310,6 +341,7 @@ def remove(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "te
         return pa.table({"part": pa.array(some, pa.int32()), "shard": pa.array([shard] * len(some), pa.int32()), "block": pa.array([block(cut[p], cut[p + 1]) for p in some], pa.binary())})
 
     def ask_anchors(group, t):
+        enter("suffixdedup")
         s = made(t)
         flag = s.several()
         low = s.unique.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
@@ -317,6 +349,7 @@ def remove(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "te
 
     def meet_anchors(batches):
         came = [(b.column("part")[i].as_py(), b.column("shard")[i].as_py(), b.column("block")[i].as_py()) for b in batches for i in range(b.num_rows)]
+        enter("suffixdedup")
         for part in sorted({c[0] for c in came}):
             mine = [c for c in came if c[0] == part]
             keys, flags = [], []
@@ -346,46 +379,35 @@ def remove(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "te
         return s
 
     def send_runs(group, t, reply):
+        enter("suffixdedup")
         s = narrowed(t, reply)
         return rows(group[0].as_py(), np.searchsorted(s.bucket, np.arange(n + 1)).tolist(), lambda a, b: _run(s, a, b))
 
     def merge_runs(batches):
         came = [(b.column("part")[i].as_py(), b.column("shard")[i].as_py(), b.column("block")[i].as_py()) for b in batches for i in range(b.num_rows)]
+        enter("suffixdedup")
         for part in sorted({c[0] for c in came}):
             mine = sorted((c for c in came if c[0] == part), key=lambda c: c[1])
             for (_, shard, _), bits in zip(mine, _repeated([c[2] for c in mine], length), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["shard", "part", "block"])
 
     def finish(group, t, reply):
+        enter("suffixdedup")
         kinds = reply.column("kind").to_numpy()
         one = lambda v: reply.filter(pa.array(kinds == v)).select(["shard", "part", "block"])
         s, got = narrowed(t, one(1)), answers(one(2))
         bits = np.frombuffer(b"".join(got[p] for p in sorted(got)), "<u4").astype(np.int64)
-        least = np.empty(len(s.first), np.int64)
-        least[:] = s.doc[s.first]
+        doc = s.doc
+        least = doc[s.first]
         e = s.rank[s.which]
-        cover = np.zeros(len(s.buf) + 1, np.int32)
         # windows of a document that isn't the least with this suffix in the shard are all repeated
-        take = np.where(s.doc > least[e], -1, bits[e]) if len(e) else np.zeros(0, np.int64)
-        for o in range(length - k + 1):
-            at = s.at - o
-            m = (take >> o & 1 > 0) & (at >= s.lo) & (at <= s.hi)
-            np.add.at(cover, at[m], 1)
-            np.add.at(cover, at[m] + length, -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        start, end = vec.runs(gone.astype(np.uint8), s.off)
-        hit = gone[start] if len(start) else np.zeros(0, bool)
-        start, end = start[hit], end[hit]
-        row = vec.rows_of(start, s.off)
-        count = np.bincount(row, minlength=len(s.keys))
-        kept = s.buf[~gone].tobytes()
-        removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[s.off])
-        size = np.diff(s.off)
-        cut = np.concatenate(([0], np.cumsum(size - removed))).tolist()
-        texts = [kept[cut[i] : cut[i + 1]] for i in range(len(s.keys))]
-        base = s.off[row]
-        spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.StructArray.from_arrays([pa.array(start - base), pa.array(end - base)], ["start", "end"]))
-        return pa.table({"key": pa.array(s.keys), "n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(count), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), "kept": pa.array(texts, pa.binary()), "spans": spans})
+        take = np.where(doc > least[e], -1, bits[e]) if len(e) else np.zeros(0, np.int64)
+        out, m = [], 0
+        for i, j in s.pieces():
+            base, end = int(s.off[i]), int(np.searchsorted(s.lo, s.off[j]))
+            out.append(_cut(s, i, j, base, slice(m, end), take))
+            m = end
+        return pa.concat_tables(out) if out else _EMPTY
 
     asked = texts.groupBy("shard").applyInArrow(ask_anchors, "part int, shard int, block binary")
     reply = dealt(asked, n, "part").mapInArrow(meet_anchors, "shard int, part int, block binary")
@@ -393,4 +415,4 @@ def remove(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "te
     bits = dealt(runs, n, "part").mapInArrow(merge_runs, "shard int, part int, block binary")
     both = reply.withColumn("kind", F.lit(1)).union(bits.withColumn("kind", F.lit(2)))
     out = texts.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(finish, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
-    return out.withColumnRenamed("key", key)
+    return out.withColumn("key", F.nullif(F.col("key"), F.lit(2**63 - 1))).withColumnRenamed("key", key)
