@@ -56,9 +56,9 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], default: int,
     for c in ("domain", "language", "source"):
         base = base.withColumn(f"w_{c}", _weight(c, weights.get(c, {}), default))
     base = base.where("w_domain > 0 AND w_language > 0 AND w_source > 0")
-    total = leaves.agg(F.floor(F.sum("n_tokens") * F.lit(share)).cast("long").alias("budget"))
+    total = leaves.agg(F.floor(F.sum("n_tokens") * F.lit(share)).cast("long")).first()[0] or 0  # a number
     top = base.groupBy("domain").agg(F.sum("cap").alias("cap"), F.first("w_domain").alias("w"))
-    top = _filled(top.crossJoin(F.broadcast(total)), [], "domain", "budget").select("domain", F.col("got").alias("budget"))  # total is one row
+    top = _filled(top.withColumn("budget", F.lit(total).cast("long")), [], "domain", "budget").select("domain", F.col("got").alias("budget"))
     mid = base.groupBy("domain", "language").agg(F.sum("cap").alias("cap"), F.first("w_language").alias("w")).join(top, "domain")
     mid = _filled(mid, ["domain"], "language", "budget").select("domain", "language", F.col("got").alias("budget"))
     low = base.withColumn("w", F.col("w_source")).join(mid, ["domain", "language"])
