@@ -1,10 +1,11 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, by T-occurrence search over inverted lists.
 
 1. Each text becomes its set of hashed shingles; texts with equal sets are one class from here on.
-2. Candidates.  A set is dealt by hash ranges into m groups, where m exceeds the greatest symmetric difference that similar
-   sets of its size can have; so similar sets agree on a whole group, and the hash of a group is a key to meet by.  The few
-   smallest groups of a set say little; m is raised so that they can be left out without losing a pair.  Keys travel in packed
-   blocks; a key with several classes yields a star of edges.  Components of those edges are the candidate clusters.
+2. Candidates.  Two similar sets of sizes up to n agree on so much that of their rarest shingles (n - ceil(t * n) + 1 of them,
+   in one order for all sets) one is common to both; so only short inverted lists need to be met on, and long ones never
+   are.  Shards of texts send their distinct shingles, packed and truncated, to be counted; they get back a rank by document
+   frequency (a byte each), and send the rarest ones that are not of one document alone.  A list with several classes yields a
+   star of edges.  Components of those edges are the candidate clusters.
 3. Search.  Within a cluster each set queries the inverted lists of the others with DivideSkip: the longest lists are set
    aside, the short ones are merged (by a heap, or by numpy's merge of runs where they hold many postings), and what occurs
    often enough is looked up in the long ones by binary search.  Overlaps are verified exactly.  Large clusters are cut into
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, vec
-from .common import dealt, parts, saved, split_by
+from .common import dealt, enter, parts, saved, sharded, split_by
 
 U = np.uint64
 _WHITE = vec.lut(bytes([0x20, *range(9, 14)]))
@@ -73,56 +74,6 @@ def set_hashes(sh: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
-class Schemes:
-    """Classes of set sizes, and how many groups sets are dealt into for pairs whose smaller set is in a class."""
-
-    def __init__(self, per_cent: int, most: int):
-        p = per_cent
-        # the smallest set that can be similar to a different one
-        first = next(n for n in range(1, 10**6) if 100 * n >= p * (n + 1))
-        self.first, edges = first, [first]
-        while edges[-1] <= most:
-            edges.append(edges[-1] * 100 // p + 1)
-        self.edges = np.array(edges)
-        groups, drop = [], []
-        for a in edges[1:]:
-            top = (a - 1) + (a - 1) * 100 // p
-            d = max(s - 2 * -(-p * s // (100 + p)) for s in range(max(1, top - 40), top + 1))
-            drop.append(d // 12)
-            groups.append(d + 1 + 2 * (d // 12))
-        self.groups, self.drop = np.array(groups), np.array(drop)
-
-    def keys(self, sh: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(key, row): the keys under which each set can be met."""
-        size = np.diff(off)
-        able = np.flatnonzero(size >= self.first)
-        own = np.searchsorted(self.edges, size[able], "right") - 1
-        rows, scheme = np.concatenate((able, able)), np.concatenate((own, own - 1))
-        rows, scheme = rows[scheme >= 0], scheme[scheme >= 0]
-        if not len(rows):
-            return np.zeros(0, U), np.zeros(0, np.int64)
-        m = self.groups[scheme]
-        base = np.cumsum(m) - m
-        length = size[rows]
-        x = vec.ragged(sh, off[:-1][rows], length)
-        seg = np.repeat(np.arange(len(rows)), length)
-        at = base[seg] + ((x >> U(32)) * m[seg].astype(U) >> U(32)).astype(np.int64)  # ascends, as x does within a set
-        head = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        total = int(m.sum())
-        sums, count = np.zeros(total, U), np.zeros(total, np.int64)
-        sums[at[head]] = np.add.reduceat(vec.mix(x), head)
-        count[at[head]] = np.diff(np.append(head, len(at)))
-        seg = np.repeat(np.arange(len(rows)), m)
-        group = np.arange(total) - base[seg]
-        key = vec.mix(sums + vec.mix((scheme[seg] * 1_000_003 + group).astype(U)) + count.astype(U))
-        if (drop := self.drop[scheme]).any():
-            order = np.lexsort((key, count, seg))
-            rank = np.arange(total) - base[seg]
-            keep = order[rank >= drop[seg]]
-            key, seg = key[keep], seg[keep]
-        return key, rows[seg]
-
-
 def _least(size: int, p: int) -> int:
     return -(-p * size // 100)
 
@@ -201,6 +152,7 @@ def sets_of(df: DataFrame, words: int, key: str, text: str) -> DataFrame:
     """(id, n, s1, s2): size and hashes of every document's set."""
 
     def run(batches):
+        enter("jaccard")
         for b in batches:
             for i, n in vec.slices(b, "text"):
                 part = b.slice(i, n)
@@ -211,73 +163,119 @@ def sets_of(df: DataFrame, words: int, key: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "id long, n long, s1 long, s2 long")
 
 
-def _candidates(df: DataFrame, words: int, per_cent: int, text: str, most: int) -> DataFrame:
-    """(a, b): classes, by their first hash, that share a key; a key with k classes gives k - 1 edges."""
-    n = parts(df.sparkSession)
-    schemes = Schemes(per_cent, most)
+class Tokens:
+    """The shingle sets of a shard's texts, with its distinct shingles in order."""
+
+    def __init__(self, texts: pa.Array, words: int):
+        batch, found = pa.RecordBatch.from_arrays([texts], ["text"]), []
+        for i, m in vec.slices(batch, 0):
+            sh, off = shingles(batch.slice(i, m).column(0), words)
+            found.append((sh, np.diff(off), set_hashes(sh, off)[0]))
+        self.sh, self.size, self.node = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.unique, self.back, self.count = np.unique(self.sh, return_inverse=True, return_counts=True)
+
+    def rarest(self, rank: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(shingle, class) for the rarest shingles of each set, as many as two similar sets can't both differ in; lone ones are left out."""
+        row = np.repeat(np.arange(len(self.size)), self.size)
+        rank = rank[self.back]
+        order = np.lexsort((self.sh, rank, row))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        take = order[place < (self.size - -(-per_cent * self.size // 100) + 1)[row]]
+        take = take[rank[take] > 0]
+        return self.sh[take], self.node[row[take]]
+
+
+def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    return (h >> U(40)).astype(np.int64) * n >> 24
 
-    def send(batches):
-        for b in batches:
-            keys, nodes = [], []
-            for i, m in vec.slices(b, "text"):
-                sh, off = shingles(b.slice(i, m).column("text"), words)
-                s1, _ = set_hashes(sh, off)
-                key, row = schemes.keys(sh, off)
-                keys.append(key)
-                nodes.append(s1[row])
-            key, node = (np.concatenate(x) if x else np.zeros(0, U) for x in (keys, nodes))
-            to = (key >> U(48)).astype(np.int64) * n >> 16
-            order = np.lexsort((node, key))
-            key, node, to = key[order], node[order], to[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node, to = key[new], node[new], to[new]
-            low = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            cut = np.searchsorted(to, np.arange(n + 1)).tolist()
-            some = [p for p in range(n) if cut[p + 1] > cut[p]]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([low[cut[p] : cut[p + 1]].tobytes() + node[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())], ["part", "block"])
+
+def _low(h: np.ndarray, width: int) -> np.ndarray:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _whole(raw: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = raw.reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def _candidates(df: DataFrame, words: int, per_cent: int, key: str, text: str) -> DataFrame:
+    """(a, b): classes, by their first hash, whose sets have a rare shingle in common; k classes on a list give k - 1 edges."""
+    n = parts(df.sparkSession)
+    texts = sharded(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), n, "key").select("shard", "text")
+
+    def rows(shard, part, block) -> pa.Table:
+        return pa.table({"shard": pa.array(shard, pa.int32()), "part": pa.array(part, pa.int32()), "block": pa.array(block, pa.binary())})
+
+    def ask(group, t):
+        enter("jaccard")
+        s = Tokens(t.column("text").combine_chunks(), words)
+        low, count = _low(s.unique, 5), np.minimum(s.count, 255).astype(np.uint8)
+        cut = np.searchsorted(_bucket(s.unique, n), np.arange(n + 1)).tolist()
+        some = [p for p in range(n) if cut[p + 1] > cut[p]]
+        return rows([group[0].as_py()] * len(some), some, [low[cut[p] : cut[p + 1]].tobytes() + count[cut[p] : cut[p + 1]].tobytes() for p in some])
+
+    def answer(batches):
+        came = [(b.column("part")[i].as_py(), b.column("shard")[i].as_py(), b.column("block")[i].as_py()) for b in batches for i in range(b.num_rows)]
+        for part in sorted({c[0] for c in came}):
+            mine = [c for c in came if c[0] == part]
+            raw = [np.frombuffer(c[2], np.uint8) for c in mine]
+            size = [len(r) // 6 for r in raw]
+            _, back = np.unique(np.concatenate([_whole(r[: 5 * m], 5) for r, m in zip(raw, size, strict=True)]), return_inverse=True)
+            total = np.bincount(back, np.concatenate([r[5 * m :] for r, m in zip(raw, size, strict=True)]))
+            # 0 for a shingle of one document, else a rank that grows with its logarithm
+            rank = np.where(total > 1, np.minimum(255, np.floor(6 * np.log2(np.maximum(total, 1)))), 0).astype(np.uint8)[back]
+            at = 0
+            for (_, shard, _), m in zip(mine, size, strict=True):
+                yield from rows([shard], [part], [rank[at : at + m].tobytes()]).to_batches()
+                at += m
+
+    def send(group, t, reply):
+        enter("jaccard")
+        s = Tokens(t.column("text").combine_chunks(), words)
+        got = dict(zip(reply.column("part").to_pylist(), reply.column("block").to_pylist(), strict=True))
+        rank = np.frombuffer(b"".join(got[p] for p in sorted(got)), np.uint8)
+        sh, node = s.rarest(rank, per_cent) if len(s.sh) else (np.zeros(0, U), np.zeros(0, np.int64))
+        order = np.lexsort((node, sh))
+        sh, node = sh[order], node[order]
+        new = np.ones(len(sh), bool)
+        new[1:] = (sh[1:] != sh[:-1]) | (node[1:] != node[:-1])
+        sh, node = sh[new], node[new]
+        low, cut = _low(sh, 6), np.searchsorted(_bucket(sh, n), np.arange(n + 1)).tolist()
+        some = [p for p in range(n) if cut[p + 1] > cut[p]]
+        return rows([0] * len(some), some, [low[cut[p] : cut[p + 1]].tobytes() + node[cut[p] : cut[p + 1]].tobytes() for p in some])
 
     def meet(batches):
+        enter("jaccard")
         keys, nodes = [], []
         for b in batches:
             for block in b.column("block"):
                 raw = np.frombuffer(block.as_buffer(), np.uint8)
                 m = len(raw) // 14
-                k = np.zeros((m, 8), np.uint8)
-                k[:, :6] = raw[: 6 * m].reshape(m, 6)
-                keys.append(k.view("<u8").ravel())
+                keys.append(_whole(raw[: 6 * m], 6))
                 nodes.append(np.frombuffer(raw[6 * m :].tobytes(), np.int64))
         if not keys:
             return
         key, node = np.concatenate(keys), np.concatenate(nodes)
-        keys.clear()
-        nodes.clear()
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((node, key))
         key, node = key[order], node[order]
         head = np.concatenate(([True], key[1:] != key[:-1]))
-        group = np.cumsum(head) - 1
-        size = np.bincount(group)
-        many = size[group] > 1
-        key, node = group[many], node[many]
-        if not len(key):
-            return
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        low = np.minimum.reduceat(node, first)
-        a = np.repeat(low, np.diff(np.append(first, len(key))))
-        pairs = np.unique(np.stack([a[a != node], node[a != node]], axis=1), axis=0)
+        low = node[np.flatnonzero(head)][np.cumsum(head) - 1]
+        pairs = np.unique(np.stack([low[low != node], node[low != node]], axis=1), axis=0)
         for i in range(0, len(pairs), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 50_000, 0]), pa.array(pairs[i : i + 50_000, 1])], ["a", "b"])
 
-    sent = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(send, "part int, block binary")
+    kind = "shard int, part int, block binary"
+    reply = dealt(texts.groupBy("shard").applyInArrow(ask, kind), n, "part").mapInArrow(answer, kind)
+    sent = texts.groupBy("shard").cogroup(reply.groupBy("shard")).applyInArrow(send, kind)
     return dealt(sent, n, "part").mapInArrow(meet, "a long, b long")
 
 
 def join(df: DataFrame, words: int = 3, per_cent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row; two documents link when 100 * intersection >= per_cent * union."""
     sets = saved(sets_of(df, words, key, text))
-    most = sets.agg(F.max("n")).first()[0] or 0
     classes = saved(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")))
-    clusters = graph.components(_candidates(df, words, per_cent, text, most))
+    clusters = graph.components(_candidates(df, words, per_cent, key, text))
     member = saved(classes.join(clusters, classes["s1"] == clusters["node"]).select("rep", "n", F.col("component").alias("cluster")))
     blocks = member.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"))
     large = blocks.where("blocks > 1").select(F.col("cluster").alias("_c"), "blocks")
@@ -289,6 +287,7 @@ def join(df: DataFrame, words: int = 3, per_cent: int = 90, key: str = "doc_id",
     asked = asked.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "text")
 
     def run(batches):
+        enter("jaccard")
         now, ids, block, rows = None, [], [], []
 
         def solve():
