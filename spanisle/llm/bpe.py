@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import units, vec
+from .common import cache, enter
 
 #: White space as the Unicode property has it.
 WHITE = r"\t-\r \u0085   -     　"
@@ -157,7 +158,7 @@ class Codec:
         return vec.ragged(self.token_bytes, self.token_begin[ids], length), at[np.concatenate(([0], np.cumsum(counts)))]
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str], Codec] = cache("bpe", {})
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -171,6 +172,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     """(key, ids array<int>) of every whole text."""
 
     def run(batches):
+        enter("bpe")
         c = codec(path, pattern)
         for b in batches:
             for i, n in vec.slices(b, "text"):
@@ -186,6 +188,7 @@ def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str
     """(key, bytes) of every list of ids; a null list gives no bytes."""
 
     def run(batches):
+        enter("bpe")
         c = codec(path, pattern)
         for b in batches:
             for row in range(b.num_rows):
@@ -202,6 +205,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
     """(key, n_tokens, ids_sha256, decoded_sha256): every whole text is encoded, and the ids are decoded again, in one pass."""
 
     def run(batches):
+        enter("bpe")
         c = codec(path, pattern)
         for b in batches:
             for i, n in vec.slices(b, "text"):

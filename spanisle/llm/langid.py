@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import units, vec
+from .common import cache, enter
 
 WORD_MOST = 64
 
@@ -182,7 +183,15 @@ class Model:
         return [self.langs[b] if ok else "und" for b, ok in zip(best.tolist(), letter.tolist(), strict=True)], score, np.where(letter, least, np.inf)
 
 
-_models: dict[int, Model] = {}
+_models: dict[int, Model] = cache("langid", {})
+
+
+def _model(token: int, shared) -> Model:
+    """One a worker process, the latest."""
+    if token not in _models:
+        _models.clear()
+        _models[token] = Model(shared.value)
+    return _models[token]
 
 
 def identify(df: DataFrame, automata: dict[str, Automaton], keep: list[str], text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rate")) -> DataFrame:
@@ -195,10 +204,8 @@ def identify(df: DataFrame, automata: dict[str, Automaton], keep: list[str], tex
     kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep]
 
     def run(batches):
-        if token not in _models:
-            _models.clear()
-            _models[token] = Model(shared.value)
-        model = _models[token]
+        enter("langid")
+        model = _model(token, shared)
         for b in batches:
             for i, n in vec.slices(b, len(keep)):
                 part = b.slice(i, n)

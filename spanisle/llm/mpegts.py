@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import vec
+from .common import enter
 
 PACKET, UNIT, FRAMES, EVERY = 188, 192, 8, 8
 PMT_PID, ES_PID, PRIVATE, STREAM_ID = 0x1000, 0x100, 0x06, 0xBD
@@ -299,6 +300,7 @@ def store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, media binary, pts array<long>, access array<struct<unit, pts, at>>): each text as a stream, with its index."""
 
     def run(batches):
+        enter("mpegts")
         for b in batches:
             for i, t in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
                 m = mux(padded(t or b""))
@@ -316,6 +318,7 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches):
+        enter("mpegts")
         for b in batches:
             for i, n in vec.slices(b, "text", 1 << 20):
                 part = b.slice(i, n)

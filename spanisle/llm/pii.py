@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, vec
-from .common import dealt, parts, saved
+from .common import dealt, enter, parts, saved
 
 ALPHA, MIN_DOCS, REACH, TERM_LEAST = 0.9, 2, 120, 4
 KINDS = ("email", "ip", "card", "phone")
@@ -112,6 +112,7 @@ def _hits(df: DataFrame, key: str, text: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches):
+        enter("pii")
         for b in batches:
             rows, spans, pairs = [], [], []
             for i, t in enumerate(b.column(keep.index(text)).to_pylist()):
@@ -133,6 +134,7 @@ def _document_counts(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     n = parts(df.sparkSession)
 
     def count(batches):
+        enter("pii")
         known, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def pack():
@@ -164,6 +166,7 @@ def _document_counts(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
             yield pack()
 
     def add(batches):
+        enter("pii")
         keys, counts, want = [], [], []
         for b in batches:
             t = b.column("t")
@@ -213,6 +216,7 @@ def _with_terms(df: DataFrame, key: str, text: str, alpha: float, min_docs: int)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches):
+        enter("pii")
         for b in batches:
             out = []
             for t, spans, terms in zip(b.column(keep.index(text)).to_pylist(), b.column("_spanisle_spans").to_pylist(), b.column("_spanisle_terms").to_pylist(), strict=True):
@@ -240,6 +244,7 @@ def _plain(df: DataFrame, text: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches):
+        enter("pii")
         for b in batches:
             yield b.filter(pa.array([not (t and base_spans(t)) for t in b.column(keep.index(text)).to_pylist()], pa.bool_()))
 
@@ -280,6 +285,7 @@ def sanitise(df: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches):
+        enter("pii")
         for b in batches:
             i = keep.index(text)
             new = [rewrite(t, s) for t, s in zip(b.column(i).to_pylist(), b.column("_spanisle_all").to_pylist(), strict=True)]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import saved
+from .common import enter, saved
 
 FIT_ROWS = 20_000
 _UPPER, _LOWER, _DIGIT, _SPACE = vec.lut(bytes(range(65, 91))), vec.lut(bytes(range(97, 123))), vec.lut(b"0123456789"), vec.lut(b" \t\n\r\x0b\x0c")
@@ -150,6 +150,7 @@ def features(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """(key, stats array<float>) of every whole text."""
 
     def run(batches):
+        enter("quality")
         for b in batches:
             for i, n in vec.slices(b, "text", 1 << 20):
                 part = b.slice(i, n)

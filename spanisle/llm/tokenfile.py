@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import units, vec
-from .common import parts, saved
+from .common import cache, enter, parts, saved
 
 BLOCK = 256
 #: How many ids of how many bits a word holds, by selector from 1 on.
@@ -178,7 +178,14 @@ class Encoder:
         return vec.ragged(self.memo.flat, begin, length), counts
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = cache("tokenfile", {})
+
+
+def _encoder(path: str) -> Encoder:
+    """One a worker process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def write(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,10 +199,9 @@ def write(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str
 
         import os
 
+        enter("tokenfile")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
-        enc, part, seq, before = _encoders[path], TaskContext.get().partitionId(), 0, 0
+        enc, part, seq, before = _encoder(path), TaskContext.get().partitionId(), 0, 0
         for b in batches:
             for i, m in vec.slices(b, "text"):
                 rows = b.slice(i, m)

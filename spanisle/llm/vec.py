@@ -120,7 +120,7 @@ class Memo:
 
     It holds `most` units at most; beyond that it starts anew, which costs time and changes no result."""
 
-    def __init__(self, dtype, most: int = 1_500_000):
+    def __init__(self, dtype, most: int = 1_000_000):
         self.most, self.dtype = most, dtype
         self.clear()
 
