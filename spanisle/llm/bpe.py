@@ -90,7 +90,7 @@ class Codec:
         self.known = PerfectHash(vec.Rolling(self.token_bytes).segments(np.concatenate(([0], end[:-1])), end))
         self.tokens = tokens
         self.split = regex.compile(pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\s+(?!\S)", f"[{WHITE}]+(?![^{WHITE}])").replace(r"\s", f"[{WHITE}]")).findall
-        self.memo = vec.Memo(np.uint32)
+        self.memo = vec.Memo(np.uint32, 500_000)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a pre-token: the pair of least rank, leftmost first, is joined until none is in the vocabulary."""

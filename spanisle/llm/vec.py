@@ -70,7 +70,7 @@ def packed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str | int, most: int = 2 << 20):
+def slices(batch: pa.RecordBatch, column: str | int, most: int = (1 << 20) - 64):
     """(start, rows) of runs of rows with about `most` bytes of text; a longer text stands alone."""
     off = packed(batch.column(column))[1]
     i, n = 0, len(off) - 1
