@@ -95,8 +95,9 @@ class Lists:
     def search(self, q: np.ndarray, skip) -> list[int]:
         """Sets similar to q; those for which skip(numbers) is true are not looked at."""
         at = np.searchsorted(self.token, q)
-        at = at[at < len(self.token)]
-        at = at[np.isin(self.token[at], q, assume_unique=True)]
+        inside = at < len(self.token)
+        at, found = at[inside], q[inside]
+        at = at[self.token[at] == found]
         need = max(1, _least(len(q), self.p))
         if len(at) < need:
             return []

@@ -160,6 +160,37 @@ def test_jaccard_join_brute_force(spark, words, per_cent, monkeypatch):
     assert len(set(want.values())) < len(want) - 40
 
 
+def test_jaccard_search_between_blocks():
+    """Sets of another block are found by their true overlap, where most of a query's shingles are not in the index."""
+    rng = np.random.default_rng(7)
+    tokens = np.sort(rng.integers(0, 2**63, 90, dtype=np.uint64))
+    for per_cent in (80, 90):
+        base = rng.permutation(90)[:60]
+        sets = [np.sort(tokens[np.union1d(rng.permutation(base)[: 60 - int(rng.integers(0, 9))], rng.integers(0, 90, int(rng.integers(0, 6))))]) for _ in range(120)]
+        lists, near = jaccard.Lists(sets[:60], per_cent), 0
+        for q in sets[60:]:
+            common = [len(np.intersect1d(q, x)) for x in sets[:60]]
+            want = [i for i, c in enumerate(common) if 100 * c >= per_cent * (len(q) + len(sets[i]) - c)]
+            near += sum(100 * c >= (per_cent - 4) * (len(q) + len(sets[i]) - c) for i, c in enumerate(common)) - len(want)
+            assert sorted(lists.search(q, lambda n: np.zeros(len(n), bool))) == want
+        assert near > 20  # pairs just below the threshold
+
+
+def test_jaccard_large_family_below_threshold(spark):
+    """A family of more than BLOCK_DOCS texts, most pairs of which just miss the threshold."""
+    rng = np.random.default_rng(11)
+    base, texts = [f"w{i}" for i in range(122)], {}
+    for i in range(2 * jaccard.BLOCK_DOCS + 44):
+        t = list(base)
+        for at in rng.choice([4, 24, 44, 64, 84, 104], 2, replace=False):  # each change takes 3 of 120 shingles
+            t[at] = f"v{int(rng.integers(2, 40))}"
+        texts[i] = " ".join(t)
+    want, _ = components_by_hand(texts, 3, 94)
+    got = by_id(jaccard.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3, 94))
+    assert len(set(want.values())) > 20
+    assert {i: r["component_id"] for i, r in got.items()} == want
+
+
 def test_jaccard_candidates_never_miss():
     """Sets at the edge of similarity share one of their rarest shingles, whatever their sizes and the shingles' ranks."""
     rng = np.random.default_rng(0)
