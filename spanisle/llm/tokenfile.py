@@ -133,26 +133,52 @@ def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """A tokenizer of the `tokenizers` library asked once for each distinct unit between spaces and changes of class."""
+    """A tokenizer of the `tokenizers` library asked once for each distinct unit between spaces and changes of class.
+
+    Strings of added tokens span units, so rows that hold one, in letters of any case, go to the tokenizer whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo = vec.Memo(np.uint32)
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.added = [self.lower[np.frombuffer(t.content.encode(), np.uint8)].tobytes() for t in self.tok.get_added_tokens_decoder().values()]
+
+    def quoting(self, data: bytes, off: np.ndarray) -> np.ndarray:
+        """Rows of lower-case text that hold the string of an added token."""
+        hit = []
+        for a in self.added:
+            at = data.find(a)
+            while at >= 0:
+                hit.append((at, at + len(a)))
+                at = data.find(a, at + 1)
+        s, e = np.array(hit, np.int64).reshape(-1, 2).T
+        row = vec.rows_of(s, off)
+        return np.unique(row[e <= off[row + 1]])
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        buf = self.lower[buf]  # the tokenizer lowers letters itself; fewer units differ this way
+        raw, buf = buf, self.lower[buf]  # the tokenizer lowers letters itself; fewer units differ this way
         start, end, plain = units.cut(buf, off, spaces=False)
+        data = buf.tobytes()
+        whole = self.quoting(data, off)
+        if len(whole):
+            rest = ~np.isin(vec.rows_of(start, off), whole)
+            ids, counts = self._by_units(buf, data, off, start[rest], end[rest], plain[rest])
+            said = [self.tok.encode(raw[off[r] : off[r + 1]].tobytes().decode(), add_special_tokens=False).ids for r in whole.tolist()]
+            size = np.array([len(x) for x in said])
+            ids = np.insert(ids, np.repeat(np.cumsum(counts)[whole], size), np.array([i for x in said for i in x], np.uint32))
+            counts[whole] = size
+            return ids, counts
+        return self._by_units(buf, data, off, start, end, plain)
+
+    def _by_units(self, buf, data: bytes, off, start, end, plain) -> tuple[np.ndarray, np.ndarray]:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
-        data = buf.tobytes()
 
         def make(first):
             said = [data[a:e].decode() for a, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]

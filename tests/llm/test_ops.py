@@ -396,6 +396,25 @@ def test_token_files(odd, spark):
         at += r["n_tokens"]
 
 
+def test_token_files_quote_special_tokens(spark):
+    """The strings of special tokens give what the library gives by itself; in capitals or across two rows they are ordinary text."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["see <|endoftext|> here", "plain text", "<|startoftext|>Hello<|endoftext|>", "", "it's<|ENDOFTEXT|>", "SEE <|endoftext|>\u3000It's 42", "ends <|endof", "text|> starts", "x<|endoftext|><|endoftext|>y", "the end"]
+    files = tokenfile.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path, end_id=2)
+    got, at = by_id(tokenfile.read(files, ids=True)), 0
+    for i, t in enumerate(texts):
+        want = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        assert (got[i]["ids"], got[i]["start"], got[i]["n_tokens"]) == (want, at, len(want))
+        at += len(want)
+    enc = tokenfile.Encoder(path)
+    ids, counts = enc.encode(*vec.packed(pa.array(texts)))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 49407 in got[0]["ids"]
+
+
 # 10
 
 
