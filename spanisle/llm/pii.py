@@ -1,14 +1,14 @@
 """Personal data: base patterns, and terms that would reveal what the patterns protect.
 
 Values found by the base patterns (email, ip, card, phone) are the protected entities.  Corpus co-occurrence estimates how
-strongly a term near an entity reveals it: with n documents in all, n_c with the entity, n_t with the term and n_ct with the
-term near the entity, PMI = log2(n_ct * n / (n_c * n_t)) is held against the entity's own information IC = log2(n / n_c).
-A term with PMI >= ALPHA * IC, seen with the entity in MIN_DOCS documents or more, discloses it; in documents with that
-entity near that term, all its occurrences are sanitised: removed where PMI >= IC (the term never occurs without the entity),
-else generalised.  Counts cover all documents; documents without an entity are left alone.
+strongly a term reveals an entity: with n documents in all, n_c with the entity, n_t with the term and n_ct with both,
+PMI = log2(n_ct * n / (n_c * n_t)) is held against the entity's own information IC = log2(n / n_c).  A term with
+PMI >= ALPHA * IC, seen with the entity in MIN_DOCS documents or more, discloses it; in documents with that entity all its
+occurrences outside base spans are sanitised: removed where PMI >= IC (the term never occurs without the entity), else
+generalised.  All counts cover whole documents, base spans too; documents without an entity are left alone.  An entity of
+fewer than MIN_DOCS documents can't have such terms, so its documents' words are not paired with it.
 
-A term is a run of ASCII letters and characters beyond ASCII, of four characters or more, in lower case as to A-Z; near means
-within REACH characters, words cut by that edge left out.
+A term is a run of ASCII letters and characters beyond ASCII, of any length, in lower case as to A-Z.
 
 Cases: a null or empty text has no spans (and stays null where texts are returned); texts of any length are read whole, in
 linear time; overlapping spans are merged when texts are rewritten; repeated keys count once in statistics and keep all their
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import graph, vec
 from .common import dealt, enter, parts, saved
 
-ALPHA, MIN_DOCS, REACH, TERM_LEAST = 0.9, 2, 120, 4
+ALPHA, MIN_DOCS = 0.9, 2
 KINDS = ("email", "ip", "card", "phone")
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -90,43 +90,39 @@ def _hash(words: list[bytes]) -> np.ndarray:
     return vec.Rolling(buf).segments(end - [len(w) for w in words], end).view(np.int64) if words else np.zeros(0, np.int64)
 
 
-def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str]]:
-    """Distinct (entity, term) of a text; terms don't overlap base spans."""
-    found = {}
-    for kind, s, e in spans:
-        entity = f"{kind}:{text[s:e]}".translate(_FOLD)
-        a, b = max(0, s - REACH), min(len(text), e + REACH)
-        inside = [(x, y) for _, x, y in spans if x < b and y > a]
-        for m in _TERM.finditer(text, a, b):
-            x, y = m.span()
-            if y - x < TERM_LEAST or (x == a and a and _TERM.match(text[a - 1])) or (y == b and b < len(text) and _TERM.match(text[b])):
-                continue
-            if not any(x < q and y > p for p, q in inside):
-                found[entity, m[0].translate(_FOLD)] = None
-    return list(found)
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed words of each text, one text after the other; and their rows."""
+    buf, off = vec.packed(texts)
+    buf = _LOWER[buf]
+    s, e = vec.runs(_WORD[buf], off)
+    keep = _WORD[buf[s]] if len(s) else np.zeros(0, bool)
+    s, e = s[keep], e[keep]
+    h, row = vec.Rolling(buf).segments(s, e), vec.rows_of(s, off)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], row[new]
 
 
 def _hits(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows with base spans, their spans, and the hashes of the entities and terms near each other."""
+    """Rows with base spans, their spans, and the hashes of their entities."""
     keep = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches):
         enter("pii")
         for b in batches:
-            rows, spans, pairs = [], [], []
+            rows, spans, own = [], [], []
             for i, t in enumerate(b.column(keep.index(text)).to_pylist()):
                 if t and (s := base_spans(t)):
-                    near = _near(t, s)
-                    e, w = _hash([x.encode() for x, _ in near]), _hash([x.encode() for _, x in near])
-                    own = _hash([f"{k}:{t[x:y]}".translate(_FOLD).encode() for k, x, y in s])
                     rows.append(i)
                     spans.append([f"{k}:{x}:{y}" for k, x, y in s])
-                    pairs.append([{"e": int(a), "t": int(c)} for a, c in zip(e, w, strict=True)] + [{"e": int(a), "t": None} for a in np.unique(own)])
+                    own.append(np.unique(_hash([f"{k}:{t[x:y]}".translate(_FOLD).encode() for k, x, y in s])))
             got = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*got.columns, pa.array(spans, pa.list_(pa.string())), pa.array(pairs, pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64())])))], [*keep, "_spanisle_spans", "_spanisle_pairs"])
+            yield pa.RecordBatch.from_arrays([*got.columns, pa.array(spans, pa.list_(pa.string())), pa.array(own, pa.list_(pa.int64()))], [*keep, "_spanisle_spans", "_spanisle_own"])
 
-    return df.mapInArrow(run, f"{schema}, _spanisle_spans array<string>, _spanisle_pairs array<struct<e:long,t:long>>")
+    return df.mapInArrow(run, f"{schema}, _spanisle_spans array<string>, _spanisle_own array<long>")
 
 
 def _document_counts(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -145,17 +141,7 @@ def _document_counts(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
         for b in batches:
             for i, m in vec.slices(b, "text"):
-                buf, off = vec.packed(b.slice(i, m).column("text"))
-                buf = _LOWER[buf]
-                s, e = vec.runs(_WORD[buf], off)
-                keep = _WORD[buf[s]] if len(s) else np.zeros(0, bool)
-                s, e = s[keep], e[keep]
-                h, row = vec.Rolling(buf).segments(s, e), vec.rows_of(s, off)
-                order = np.lexsort((row, h))
-                h, row = h[order], row[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                h, c = np.unique(h[new], return_counts=True)
+                h, c = np.unique(_words(b.slice(i, m).column("text"))[0], return_counts=True)
                 both, back = np.unique(np.concatenate((known, h)), return_inverse=True)
                 total = np.bincount(back, np.concatenate((total, c)), len(both)).astype(np.int64)
                 known = both
@@ -192,18 +178,34 @@ def _document_counts(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
 def _disclosing(df: DataFrame, hits: DataFrame, key: str, text: str, alpha: float, min_docs: int) -> DataFrame:
     """(_spanisle_k, _spanisle_terms array<struct<t, gone>>): for each document with entities the terms that disclose one of them."""
-    each = hits.select(F.col(f"`{key}`").alias("k"), F.explode("_spanisle_pairs").alias("p")).select("k", "p.e", "p.t").distinct()
-    each = saved(each)
+    own = hits.select(F.col(f"`{key}`").alias("k"), F.explode("_spanisle_own").alias("e")).distinct()
+    own = saved(own)
     n = df.count()
-    n_c = each.where("t IS NULL").groupBy("e").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= min_docs)
-    n_ct = each.where("t IS NOT NULL").groupBy("e", "t").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= min_docs)
+    n_c = saved(own.groupBy("e").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= min_docs))
+    often = graph.spread(own, n_c.select(F.col("e").alias("_e")), "e", "_e", "inner").groupBy("k").agg(F.collect_set("e").alias("es"))
+
+    def run(batches):
+        enter("pii")
+        for b in batches:
+            for i, m in vec.slices(b, "text"):
+                part = b.slice(i, m)
+                t, row = _words(part.column("text"))
+                at = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=m))))
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("es"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(t.view(np.int64)))], ["k", "es", "ts"])
+
+    texts = hits.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("text"))
+    found = texts.join(often, texts["_k"].eqNullSafe(often["k"])).select("k", "es", "text")
+    whole = found.mapInArrow(run, f"k {df.schema[key].dataType.simpleString()}, es array<long>, ts array<long>")
+    each = whole.select("k", F.explode("es").alias("e"), "ts").select("k", "e", F.explode("ts").alias("t"))
+    each = saved(each.distinct())  # rows of one key are one document
+    n_ct = each.groupBy("e", "t").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= min_docs)
     pairs = saved(n_ct.join(n_c, "e"))
     n_t = _document_counts(df, text, pairs.select("t").distinct())
     pmi = F.log2(F.col("n_ct") * F.lit(float(n)) / (F.col("n_c") * F.greatest("n_t", "n_ct")))
     ic = F.log2(F.lit(float(n)) / F.col("n_c"))
     found = pairs.join(n_t, "t").withColumn("pmi", pmi).withColumn("ic", ic).where((F.col("ic") > 0) & (F.col("pmi") >= alpha * F.col("ic")))
     found = found.select(F.struct("e", "t").alias("_et"), (F.col("pmi") >= F.col("ic")).alias("gone"))
-    met = graph.spread(each.where("t IS NOT NULL").select("k", F.struct("e", "t").alias("et"), "t"), found, "et", "_et", "inner")
+    met = graph.spread(each.select("k", F.struct("e", "t").alias("et"), "t"), found, "et", "_et", "inner")
     return met.groupBy("k", "t").agg(F.max("gone").alias("gone")).groupBy(F.col("k").alias("_spanisle_k")).agg(F.sort_array(F.collect_list(F.struct("t", "gone"))).alias("_spanisle_terms"))
 
 
@@ -224,7 +226,7 @@ def _with_terms(df: DataFrame, key: str, text: str, alpha: float, min_docs: int)
                 if terms:
                     gone = {x["t"]: x["gone"] for x in terms}
                     taken = sorted((int(s.split(":")[1]), int(s.split(":")[2])) for s in spans)
-                    words = [m for m in _TERM.finditer(t) if m.end() - m.start() >= TERM_LEAST]
+                    words = list(_TERM.finditer(t))
                     starts = np.array([a for a, _ in taken])
                     reach = np.maximum.accumulate([e for _, e in taken])
                     for m, h in zip(words, _hash([m[0].translate(_FOLD).encode() for m in words]).tolist(), strict=True):

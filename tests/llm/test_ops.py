@@ -296,6 +296,22 @@ def test_disclosing_terms(spark):
     assert "kilimanjaro" not in clean[0]["text"] and "[EMAIL]" in clean[0]["text"] and "quick report" in clean[0]["text"] and clean[50]["text"] == rows[-1][1]
 
 
+def test_disclosing_terms_of_whole_documents(spark):
+    """Terms far from the entity and of few letters are found; what also stands without the entity stays; lone entities have none."""
+    far = "the quick report was sent to everyone today " * 8
+    rows = [(i, f"Ann 李明 Oy {far} mail ab@mail.example.com {far} Kilimanjaro") for i in range(4)]
+    rows += [(i, f"a lone Bo {far} mail b{i}@mail.example.com {far} Matterhorn") for i in range(4, 8)]
+    rows += [(i, f"{far} Oy and a mail {far}") for i in range(10, 200)]
+    rows.append((0, "Zed, in another row of the same key"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["text"] for r in pii.sanitise(df).collect()}
+    one = next(t for t in clean if "Oy" in t and "[EMAIL]" in t)
+    assert not re.search("Ann|李明|Kilimanjaro", one) and one.count("the quick report was sent to everyone today") == 16 and "Oy" in one and "mail [EMAIL]" in one
+    assert sum("Bo" in t and "Matterhorn" in t for t in clean) == 1 and sum("Zed" in t for t in clean) == 1
+    spans = [r["spans"] for r in pii.detect(df).collect() if r["doc_id"] in range(1, 4)]
+    assert all([s.split(":")[0] for s in x.split(",")] == ["email", "removed", "removed", "removed"] for x in spans)
+
+
 def test_pii_odd_rows(odd):
     got = pii.detect(odd).collect()
     assert len(got) == odd.count() and sum(r["n_email"] for r in got) == 2
