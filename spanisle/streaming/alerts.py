@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame
 
@@ -28,7 +29,7 @@ class ClientAlert:
 
 
 class AlertRegistry:
-    """Thread-safe; events of a micro-batch are few, as they are what clients are told."""
+    """Thread-safe."""
 
     def __init__(self, push: Callable[[str, list], None] | None = None):
         self.push = push or (lambda url, data: None)
@@ -54,19 +55,25 @@ class AlertRegistry:
 
     def raise_event(self, alert: int, data: list) -> list[str]:
         """Tells all active clients; gives the addresses that were pushed to.  A pushed one-time client ends with this."""
+        return self._tell(alert, [data])
+
+    def _tell(self, alert: int, chunks: Iterable[list]) -> list[str]:
+        """One event in chunks: each is pushed by itself, and clients that ask get all of them at once."""
         with self._lock:
             if not any(a.id == alert for a in self.alerts):
                 raise KeyError(f"no alert {alert}")
-            urls = []
-            for c in self.clients:
-                if c.active and c.alert == alert:
-                    if c.push_url:
-                        urls.append(c.push_url)
-                        c.active = not c.one_time
-                    else:
-                        c.queue.append(list(data))
-        for u in urls:
-            self.push(u, data)
+            told = [c for c in self.clients if c.active and c.alert == alert]
+            urls, asking = [c.push_url for c in told if c.push_url], [c for c in told if not c.push_url]
+            for c in told:
+                c.active = not (c.push_url and c.one_time)
+        if asking:
+            chunks = list(chunks)
+            with self._lock:
+                for c in asking:
+                    c.queue.append([x for data in chunks for x in data])
+        for data in chunks:
+            for u in urls:
+                self.push(u, data)
         return urls
 
     def status(self, client: int) -> str:
@@ -81,11 +88,12 @@ class AlertRegistry:
             return json.dumps({"data": data})
 
     def sink(self, alert: int, most: int = 1000) -> Callable[[DataFrame, int], None]:
-        """For foreachBatch: rows of a batch are one event, the first `most` of them."""
+        """For foreachBatch: all rows of a batch are one event, pushed in chunks of `most`."""
 
         def write(df: DataFrame, batch: int) -> None:
-            rows = [json.loads(x) for x in df.limit(most).toJSON().collect()]
-            if rows:
-                self.raise_event(alert, rows)
+            rows = (json.loads(x) for x in df.toJSON().toLocalIterator())
+            chunks = iter(lambda: list(islice(rows, most)), [])
+            if first := next(chunks, None):
+                self._tell(alert, chain([first], chunks))
 
         return write

@@ -46,3 +46,15 @@ def test_alert_sink_and_drain(spark, sf, tmp_path):
     windows.drain(stream, windows.to_parquet(str(tmp_path / "out")), str(tmp_path / "c2"), None).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.where("event_type = 'error'").count()
     assert windows.deduplicated(batch, "ts", ["user_id"], "1 hour").count() == batch.select("user_id").distinct().count()
+
+
+def test_alert_sink_delivers_all_rows(spark):
+    pushed = []
+    r = AlertRegistry(lambda url, data: pushed.append(data))
+    a = r.register("all", one_time=True)
+    r.register("all", one_time=True, notify_url="http://x", push=True)
+    r.sink(a.alert)(spark.range(2500).toDF("id"), 0)
+    assert sorted(x["id"] for x in json.loads(r.status(a.id))["data"]) == list(range(2500))
+    assert [len(x) for x in pushed] == [1000, 1000, 500] and sorted(x["id"] for p in pushed for x in p) == list(range(2500))
+    r.sink(a.alert)(spark.range(0).toDF("id"), 1)
+    assert len(pushed) == 3
