@@ -5,7 +5,7 @@ text; the language that needs the fewest phrases for each byte of letters wins.
 ends (a word is a run of letters with a blank before and after, and runs are cut every 64 bytes), so each distinct word is
 parsed once and remembered, and all words of a batch step through the automaton side by side.
 
-Training reads a bounded sample: whole labelled texts in the order of a hash until `train_bytes` a language are there
+Training reads a bounded sample: labelled texts picked by a hash, with equal shares of `train_bytes` a language, to which long ones are cut
 (FIT: about `train_docs` texts a language are fetched to the driver; the automata are `train_bytes` x languages in size).
 
 Cases: a null text or one without a letter is `und` with score 0; ties go to the language that sorts first; without any labelled
@@ -102,15 +102,23 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
         texts[r["lang"]].append((r["order"], r["key"], r["text"]))
     out = {}
     for k, found in texts.items():
-        data = b""
-        for _, _, t in sorted(found, key=lambda x: (x[0], str(x[1]))):
-            if len(data) < train_bytes:
-                data += t.lower().encode()[: train_bytes - len(data)] + b" "
+        data = b" ".join(_shared([t.lower().encode() for _, _, t in sorted(found, key=lambda x: (x[0], str(x[1])))], train_bytes))
         if data.strip():
             out[k] = Automaton(b" ".join(_words(data)))
     return out
 
 
+def _shared(texts: list[bytes], most: int) -> list[bytes]:
+    """The texts within `most` bytes: each has an equal share, and what short ones leave over goes to the longer ones, which are cut."""
+    share = 0
+    for done, size in enumerate(sorted(map(len, texts))):
+        share = most // (len(texts) - done)
+        if size > share:
+            break
+        most, share = most - size, size
+    return [t if len(t) <= share else t[:share].decode(errors="ignore").encode() for t in texts]
+
+
 def _words(data: bytes) -> list[bytes]:
     buf = np.frombuffer(data, np.uint8)
     s, e = _letters(buf, np.array([0, len(buf)]))

@@ -453,6 +453,13 @@ def test_automaton_counts_longest_phrases():
     assert a.phrases(m, np.array([len(w) for w in words])).tolist() == [count(w) for w in words]
 
 
+def test_language_sample_shares_its_bytes():
+    texts = [b"x" * 50_000, b"ab", "é".encode() * 3000, b"c" * 900]
+    got = langid._shared(texts, 9001)
+    assert [len(t) for t in got] == [4049, 2, 4048, 900] and all(t.decode() in s.decode() for t, s in zip(got, texts, strict=True))
+    assert langid._shared(texts, 10**6) == texts and langid._shared([], 10) == []
+
+
 def test_language_on_held_out(docs, odd):
     got = by_id(langid.identify(docs, langid.fit(docs), ["doc_id", "lang"]))
     held = [r for i, r in got.items() if zlib.crc32(str(i).encode()) % 3 == 1]
