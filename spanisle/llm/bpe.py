@@ -2,9 +2,9 @@
 
 Tier one: a minimal perfect hash over the vocabulary resolves a pre-token that is itself a token.  Tier two: other
 pre-tokens are merged with a heap of (rank, position) over a linked list of their bytes.  Pre-tokens are found by numpy on
-packed bytes; each distinct one is resolved once and remembered (`vec.Memo`, bounded).
+packed bytes; each distinct one is resolved once and remembered with its bytes (`vec.Memo`, bounded).
 
-Cases: a null or empty text has no tokens and decodes to nothing; texts of any length are encoded whole; equal texts give
+Cases: rows with a null key and repeated rows are encoded as any other and keep their key; a null or empty text has no tokens and decodes to nothing; texts of any length are encoded whole; equal texts give
 equal ids; an empty table gives an empty table; extra columns are never read or returned.
 """
 
@@ -87,7 +87,7 @@ class Codec:
         self.token_length, self.token_begin = length, np.cumsum(length) - length
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         end = np.cumsum([len(t) for t in tokens])
-        self.known = PerfectHash(vec.Rolling(self.token_bytes).segments(np.concatenate(([0], end[:-1])), end))
+        self.known = PerfectHash(vec.Segments(self.token_bytes, np.concatenate(([0], end[:-1])), end).hashes)
         self.tokens = tokens
         self.split = regex.compile(pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\s+(?!\S)", f"[{WHITE}]+(?![^{WHITE}])").replace(r"\s", f"[{WHITE}]")).findall
         self.memo = vec.Memo(np.uint32, 500_000)
@@ -124,30 +124,39 @@ class Codec:
             i = after[i]
         return out
 
+    def _resolve(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens, and how many each has: tier one for those that are tokens, tier two for the rest."""
+        stop = np.cumsum([len(p) for p in pieces])
+        joined = np.frombuffer(b"".join(pieces), np.uint8)
+        found = self.known.find(vec.Segments(joined, np.concatenate(([0], stop[:-1])), stop).hashes).tolist() if pieces else []
+        out, length = [], np.ones(len(pieces), np.int64)
+        for n, (piece, no) in enumerate(zip(pieces, found, strict=True)):
+            if no >= 0 and self.tokens[no] == piece:
+                out.append(int(self.ids[no]))
+            else:
+                ids = self.merge(piece)
+                out += ids
+                length[n] = len(ids)
+        return np.array(out, np.uint32), length
+
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of packed texts, and how many each has."""
         start, end, plain = units.cut(buf, off, spaces=True)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
-        hashes = vec.Rolling(buf).segments(start, end)
         data = buf.tobytes()
 
-        def make(first):
-            found = self.known.find(hashes[first])
-            out, length = [], np.ones(len(first), np.int64)
-            for n, (i, a, e, whole, no) in enumerate(zip(first.tolist(), start[first].tolist(), end[first].tolist(), plain[first].tolist(), found.tolist(), strict=True)):
-                piece = data[a:e]
-                if no >= 0 and whole and self.tokens[no] == piece:
-                    out.append(int(self.ids[no]))
-                    continue
-                before = len(out)
-                for p in [piece] if whole else [x.encode() for x in self.split(piece.decode())]:
-                    one = self.ranks.get(p) if not whole else None
-                    out.extend(self.merge(p) if one is None else [one])
-                length[n] = len(out) - before
-            return np.array(out, np.uint32), length
-
-        begin, length = self.memo.lookup(hashes, make)
+        def make(new):
+            pieces, per = [], []
+            for a, e, whole in zip(start[new].tolist(), end[new].tolist(), plain[new].tolist(), strict=True):
+                found = [data[a:e]] if whole else [x.encode() for x in self.split(data[a:e].decode())]
+                pieces += found
+                per.append(len(found))
+            ids, length = self._resolve(pieces)
+            total = np.concatenate(([0], np.cumsum(length)))[np.concatenate(([0], np.cumsum(per, dtype=np.int64)))]
+            return ids, np.diff(total)
+
+        begin, length = self.memo.lookup(vec.Segments(buf, start, end), make)
         counts = np.bincount(vec.rows_of(start, off), length, len(off) - 1).astype(np.int64)
         return vec.ragged(self.memo.flat, begin, length), counts
 

@@ -9,7 +9,7 @@ third.  Labels, language, source and key are never features.
 
 Cases: a null or empty text has the statistics of an empty text and a score as any other; repeated rows score alike; without
 labels, or with one label alone, every score is the share of label 1 (0.5 without labels); null labels are left out;
-several labels of one key all count; a null key is scored, not held out, and has no labels;
+several labels of one key all count;
 a null key is scored, not held out, and has no labels; an empty table gives an empty
 table; extra columns are never read.
 """
@@ -54,13 +54,12 @@ def statistics(texts: pa.Array) -> np.ndarray:
     share = counts / at_least[:, None]
     of = lambda t: share[:, t].sum(axis=1)
     entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
-    roll = vec.Rolling(buf)
 
     def segments(white):
         s, e = vec.runs(white[buf], off)
         keep = ~white[buf[s]] if len(s) else np.zeros(0, bool)
         s, e = s[keep], e[keep]
-        return s, e, vec.rows_of(s, off), roll.segments(s, e)
+        return s, e, vec.rows_of(s, off), vec.Segments(buf, s, e).hashes
 
     s, e, r, h = segments(_SPACE)
     words = np.bincount(r, minlength=n).astype(float)

@@ -6,7 +6,8 @@ Anchors.  Of each window of `length` bytes the k-byte string with the least hash
 windows have equal anchors, so windows are compared only where anchors agree; the windows of one anchor are neighbours.
 1. Shards of documents send the hashes of their anchors; only anchors that occur in two documents go on.
 2. For each shared anchor the shard has a suffix that starts there, as far as its windows reach, and the bytes before it.
-   Equal ones are kept once with their least key.  Sorted suffixes travel as front-coded runs: the length of the prefix
+   Equal ones are kept once with their least key.  Suffixes at an anchor that a shard has very often are dealt by the bytes
+   beside it too, so no receiver gets all of them.  Sorted suffixes travel as front-coded runs: the length of the prefix
    shared with the suffix before, then the rest.
 3. A receiver decodes the runs and merges them with a loser tree that carries the known common prefixes: strings are compared
    only from where their prefixes with the last winner end, and most comparisons look at two lengths alone.  From the common
@@ -19,7 +20,7 @@ Texts are shuffled once (the exchange by shard is used by all steps), and the an
 
 Cases: a null or empty text, or one shorter than `length`, loses nothing; texts of any length are treated whole; rows that
 share a key count as one document and lose nothing to each other; an empty table gives an empty table; extra columns are never
-read.  Keys are integers; rows with a null key count as one last document.
+read.  Keys that are no integers raise TypeError; rows with a null key count as one last document.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import dealt, enter, parts, sharded
+from .common import dealt, enter, integer, parts, sharded
 
 U = np.uint64
 PIECE = 1 << 20
+#: An anchor that one shard has more often than this is hot for all shards.
+HEAVY = 256
 
 
 class LoserTree:
@@ -109,7 +112,7 @@ def _anchors(buf: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.
     none = np.zeros(0, np.int64)
     if len(buf) < length:
         return np.zeros(0, U), none, none, none
-    value = vec.Rolling(buf).kmers(k)
+    value = vec.kmers(buf, k)
     pos = np.arange(len(value), dtype=np.int32)
     wide, left = 1, length - k + 1
     low, at = value, pos
@@ -169,43 +172,70 @@ class Shard:
         np.maximum.at(high, self.back, self.doc)
         return low < high
 
-    def suffixes(self, shared: np.ndarray) -> None:
-        """Distinct suffixes at shared anchors, sorted by bucket (set by the caller from `first`), then bytes."""
+    def heavy(self) -> np.ndarray:
+        """The unique anchors that occur more than HEAVY times in this shard."""
+        return np.flatnonzero(np.bincount(self.back, minlength=len(self.unique)) > HEAVY)
+
+    def _segments(self, at: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray):
+        """Parts of about 65536 of the segments that `at` names."""
+        for i in range(0, max(len(at), 1), 65536):
+            c = at[i : i + 65536]
+            yield vec.Segments(self.buf, start[c].astype(np.int64), end[c].astype(np.int64), words)
+
+    def suffixes(self, shared: np.ndarray, hot: np.ndarray) -> None:
+        """The distinct ones among occurrences of shared anchors: equal bytes from the first window's start to the last one's end,
+        with the anchor in the same place.  Hashes find them and bytes decide; `first` is the one in the least document."""
         use = shared[self.back]
+        self.hot = hot[self.back[use]]
         self.lo, self.hi, self.at, self.row, self.hash = (x[use] for x in (self.lo, self.hi, self.at, self.row, self.hash))
         self.back = self.unique = None
-        left, right = np.zeros(len(self.lo), U), np.zeros(len(self.lo), U)
-        m = 0
-        for i, j in self.pieces():
-            base, e = self.off[i], int(np.searchsorted(self.lo, self.off[j]))
-            if e > m:
-                roll = vec.Rolling(self.buf[base : self.off[j]])
-                left[m:e] = roll.segments(self.lo[m:e] - base, self.at[m:e] - base)
-                right[m:e] = roll.segments(self.at[m:e] - base, self.hi[m:e] + self.length - base)
-            m = e
-        order = np.lexsort((self.doc, left, right))
+        words, all_ = vec.words_of(self.buf), np.arange(len(self.lo))
+        end = self.hi + self.length
+        h = np.concatenate([s.hashes for s in self._segments(all_, self.lo, end, words)])
+        h = vec.mix(h ^ (self.at - self.lo).astype(U))
+        order = np.lexsort((self.doc, h))
         new = np.ones(len(order), bool)
-        new[1:] = (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])
-        self.first = order[new]  # of each distinct one the occurrence in the least document
-        self.which = np.empty(len(order), np.int64)
-        self.which[order] = np.cumsum(new) - 1
+        new[1:] = h[order][1:] != h[order][:-1]
+        mate = np.empty(len(order), np.int64)
+        mate[order] = order[new][np.cumsum(new) - 1]
+        size, before = end - self.lo, self.at - self.lo
+        other = (size != size[mate]) | (before != before[mate])
+        for i in range(0, len(other), 65536):
+            c = np.flatnonzero(~other[i : i + 65536]) + i
+            a, b = (vec.Segments(self.buf, self.lo[x].astype(np.int64), end[x].astype(np.int64), words) for x in (c, mate[c]))
+            bad = a.lane != b.lane
+            if bad.any():
+                other[c[np.repeat(np.arange(len(c)), a.lanes)[bad]]] = True
+        mate[other] = np.flatnonzero(other)  # of one hash but other bytes: each stands for itself
+        self.first, self.which = np.unique(mate, return_inverse=True)
 
     def sort(self, n: int) -> None:
-        """Orders the distinct suffixes by bucket and bytes; `rank` is where each came to stand."""
-        f, L = self.first, self.length
-        size = self.hi[f] + L - self.at[f]
-        m = np.zeros((len(f), L + 1), np.uint8)
+        """Entries for the merge, ordered by bucket and bytes; `of` is the distinct suffix of each.
+
+        A suffix is one entry, in the bucket of its anchor.  At a hot anchor it is two: one for windows with more than half of
+        their other bytes behind the anchor, in a bucket by the anchor and those bytes, and one for windows with more before it."""
+        L, k = self.length, self.k
+        half = (L - k) // 2
+        f = self.first
+        hot = self.hot[f]
+        at, before, size = self.at[f].astype(np.int64), (self.at[f] - self.lo[f]).astype(np.int64), (self.hi[f] + L - self.at[f]).astype(np.int64)
+        cool, right, left = np.flatnonzero(~hot), np.flatnonzero(hot & (size >= L - half)), np.flatnonzero(hot & (before > half))
+        words = vec.words_of(self.buf)
+        beside = lambda x, a, b: vec.mix(self.hash[f[x]] ^ np.concatenate([s.hashes for s in self._segments(x, a, b, words)]))
+        of = np.concatenate((cool, right, left))
+        h = np.concatenate((self.hash[f[cool]], beside(right, at + k, at + L - half), beside(left, at - half - 1, at)))
+        before = np.concatenate((before[cool], np.minimum(before[right], half), before[left]))
+        size = np.concatenate((size[cool], size[right], np.minimum(size[left], L - half - 1)))
+        m = np.zeros((len(of), L + 1), np.uint8)
         idx = np.arange(L)
-        for i in range(0, len(f), 65536):
+        for i in range(0, len(of), 65536):
             c = slice(i, i + 65536)
-            m[c, :L] = np.where(idx < size[c, None], self.buf[np.minimum(self.at[f[c], None] + idx, max(len(self.buf) - 1, 0))], 0)
+            m[c, :L] = np.where(idx < size[c, None], self.buf[np.minimum(at[of[c], None] + idx, max(len(self.buf) - 1, 0))], 0)
         m[:, L] = size
-        bucket = bucket_of(self.hash[f], n)
-        by_bytes = np.argsort(m.view(f"S{L + 1}").ravel(), kind="stable") if len(f) else np.zeros(0, np.int64)
+        bucket = bucket_of(h, n)
+        by_bytes = np.argsort(m.view(f"S{L + 1}").ravel(), kind="stable") if len(of) else np.zeros(0, np.int64)
         order = by_bytes[np.argsort(bucket[by_bytes], kind="stable")]
-        self.matrix, self.size, self.bucket, self.first = m[order], size[order], bucket[order], f[order]
-        self.rank = np.empty(len(order), np.int64)
-        self.rank[order] = np.arange(len(order))
+        self.matrix, self.size, self.before, self.bucket, self.of = m[order], size[order], before[order], bucket[order], of[order]
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -220,11 +250,10 @@ def _run(shard: Shard, a: int, b: int) -> bytes:
     common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), m.shape[1])
     common[1:] = np.minimum(common[1:], np.minimum(size[1:], size[:-1]))
     rest = m[(np.arange(m.shape[1]) >= common[:, None]) & (np.arange(m.shape[1]) < size[:, None])]
-    f = shard.first[a:b]
-    before = (shard.at[f] - shard.lo[f]).astype(np.uint8)
-    head = vec.ragged(shard.buf, shard.lo[f], before.astype(np.int64))
+    f, before = shard.first[shard.of[a:b]], shard.before[a:b]
+    head = vec.ragged(shard.buf, shard.at[f] - before, before)
     out = [np.array([b - a], "<i8").tobytes()]
-    for x in (common.astype(np.uint8), size.astype(np.uint8), before, shard.doc[f].astype("<i8"), rest, head):
+    for x in (common.astype(np.uint8), size.astype(np.uint8), before.astype(np.uint8), shard.doc[f].astype("<i8"), rest, head):
         x = x.tobytes()
         out += [np.array([len(x)], "<i8").tobytes(), x]
     return b"".join(out)
@@ -290,7 +319,7 @@ def _repeated(runs: list[bytes], length: int) -> list[np.ndarray]:
         bits[has[by[d > least]]] |= 1 << o
     out = np.empty(n, np.int64)
     out[source] = bits
-    return [out[begin[i] : begin[i + 1]].astype("<u4") for i in range(len(runs))]
+    return [out[begin[i] : begin[i + 1]].astype("<u8") for i in range(len(runs))]
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -323,10 +352,11 @@ def _cut(s: Shard, i: int, j: int, base: int, own: slice, take: np.ndarray) -> p
 
 def remove(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, kept binary, spans array<struct<start, end>>); bytes are counted from 0."""
-    spark, k = df.sparkSession, length // 2 - 1
+    k = length // 2 - 1
+    integer(df, key)
     if not 8 <= length <= 64:
         raise ValueError("the length must be from 8 to 64")
-    n = parts(spark)
+    n = parts(df)
     texts = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(2**63 - 1)).alias("key"), F.col(f"`{text}`").alias("text"))
     texts = sharded(texts, n, "key")
 
@@ -343,38 +373,46 @@ def remove(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "te
     def ask_anchors(group, t):
         enter("suffixdedup")
         s = made(t)
-        flag = s.several()
+        flag, heavy = s.several(), s.heavy()
         low = s.unique.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        return rows(group[0].as_py(), np.searchsorted(bucket_of(s.unique, n), np.arange(n + 1)).tolist(), lambda a, b: low[a:b].tobytes() + np.packbits(flag[a:b]).tobytes())
+        own = lambda a, b: heavy[np.searchsorted(heavy, a) : np.searchsorted(heavy, b)] - a
+        block = lambda a, b: np.array([b - a], "<u4").tobytes() + low[a:b].tobytes() + np.packbits(flag[a:b]).tobytes() + own(a, b).astype("<u4").tobytes()
+        return rows(group[0].as_py(), np.searchsorted(bucket_of(s.unique, n), np.arange(n + 1)).tolist(), block)
 
     def meet_anchors(batches):
         came = [(b.column("part")[i].as_py(), b.column("shard")[i].as_py(), b.column("block")[i].as_py()) for b in batches for i in range(b.num_rows)]
         enter("suffixdedup")
         for part in sorted({c[0] for c in came}):
             mine = [c for c in came if c[0] == part]
-            keys, flags = [], []
+            keys, flags, heavy, total = [], [], [], 0
             for _, _, raw in mine:
-                m = next(m for m in (len(raw) * 8 // 49, len(raw) * 8 // 49 + 1) if 6 * m + -(-m // 8) == len(raw))
+                m = int(np.frombuffer(raw, "<u4", 1)[0])
                 full = np.zeros((m, 8), np.uint8)
-                full[:, :6] = np.frombuffer(raw, np.uint8, 6 * m).reshape(m, 6)
+                full[:, :6] = np.frombuffer(raw, np.uint8, 6 * m, 4).reshape(m, 6)
+                bits = 4 + 6 * m + -(-m // 8)
                 keys.append(full.view("<u8").ravel())
-                flags.append(np.unpackbits(np.frombuffer(raw, np.uint8, offset=6 * m), count=m).astype(bool))
+                flags.append(np.unpackbits(np.frombuffer(raw, np.uint8, -(-m // 8), 4 + 6 * m), count=m).astype(bool))
+                heavy.append(np.frombuffer(raw, "<u4", offset=bits).astype(np.int64) + total)
+                total += m
             _, back, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-            shared = count > 1
+            shared, hot = count > 1, np.zeros(len(count), bool)
             shared[back[np.concatenate(flags)]] = True
-            hit, at = shared[back], 0
+            hot[back[np.concatenate(heavy)]] = True
+            hit, warm, at = shared[back], hot[back], 0
             for (_, shard, _), kx in zip(mine, keys, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([np.packbits(hit[at : at + len(kx)]).tobytes()], pa.binary())], ["shard", "part", "block"])
+                own = slice(at, at + len(kx))
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([np.packbits(hit[own]).tobytes() + np.flatnonzero(warm[own]).astype("<u4").tobytes()], pa.binary())], ["shard", "part", "block"])
                 at += len(kx)
 
     def narrowed(t: pa.Table, reply: pa.Table) -> Shard:
         s, got = made(t), answers(reply)
         cut = np.searchsorted(bucket_of(s.unique, n), np.arange(n + 1)).tolist()
-        shared = np.zeros(len(s.unique), bool)
+        shared, hot = np.zeros(len(s.unique), bool), np.zeros(len(s.unique), bool)
         for p in range(n):
-            if cut[p + 1] > cut[p]:
-                shared[cut[p] : cut[p + 1]] = np.unpackbits(np.frombuffer(got[p], np.uint8), count=cut[p + 1] - cut[p])
-        s.suffixes(shared)
+            if (m := cut[p + 1] - cut[p]) > 0:
+                shared[cut[p] : cut[p + 1]] = np.unpackbits(np.frombuffer(got[p], np.uint8, -(-m // 8)), count=m)
+                hot[cut[p] + np.frombuffer(got[p], "<u4", offset=-(-m // 8)).astype(np.int64)] = True
+        s.suffixes(shared, hot)
         s.sort(n)
         return s
 
@@ -396,12 +434,11 @@ def remove(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "te
         kinds = reply.column("kind").to_numpy()
         one = lambda v: reply.filter(pa.array(kinds == v)).select(["shard", "part", "block"])
         s, got = narrowed(t, one(1)), answers(one(2))
-        bits = np.frombuffer(b"".join(got[p] for p in sorted(got)), "<u4").astype(np.int64)
+        bits = np.zeros(len(s.first), np.int64)
+        np.bitwise_or.at(bits, s.of, np.frombuffer(b"".join(got[p] for p in sorted(got)), "<i8"))
         doc = s.doc
-        least = doc[s.first]
-        e = s.rank[s.which]
         # windows of a document that isn't the least with this suffix in the shard are all repeated
-        take = np.where(doc > least[e], -1, bits[e]) if len(e) else np.zeros(0, np.int64)
+        take = np.where(doc > doc[s.first][s.which], -1, bits[s.which]) if len(doc) else np.zeros(0, np.int64)
         out, m = [], 0
         for i, j in s.pieces():
             base, end = int(s.off[i]), int(np.searchsorted(s.lo, s.off[j]))

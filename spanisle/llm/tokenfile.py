@@ -8,7 +8,7 @@ A token file is a table of images (Parquet with one binary column), because exec
 only Spark's writers reach every store: `part` is the file, `seq` its place in the file; an image holds whole documents.
 
 Cases: a null or empty text has the end id alone; equal keys keep all their rows; texts of any length stay in one image; an
-empty table gives empty files; extra columns are never read.  A null key sorts first.
+empty table gives empty files; extra columns are never read.  A null key sorts first; keys that are no integers raise TypeError.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import units, vec
-from .common import cache, enter, parts, saved
+from .common import cache, enter, integer, parts, saved
 
 BLOCK = 256
 #: How many ids of how many bits a word holds, by selector from 1 on.
@@ -199,7 +199,7 @@ class Encoder:
             at[order] = np.cumsum(length[order]) - length[order]
             return vec.ragged(np.concatenate(flat), at, length), length
 
-        begin, length = self.memo.lookup(vec.Rolling(buf).segments(start, end), make)
+        begin, length = self.memo.lookup(vec.Segments(buf, start, end), make)
         counts = np.bincount(vec.rows_of(start, off), length, len(off) - 1).astype(np.int64)
         return vec.ragged(self.memo.flat, begin, length), counts
 
@@ -218,7 +218,8 @@ def write(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str
     """Encodes every text, appends end_id, and writes the token files; returns their table (part, seq, before, n_docs, n_ids, image).
 
     Rows are dealt by ranges of the key, so the files in order of `part` hold the keys in ascending order."""
-    n = parts(df.sparkSession)
+    integer(df, key)
+    n = parts(df)
 
     def run(batches):
         from pyspark import TaskContext

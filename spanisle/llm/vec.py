@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C17 | 3
-_TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base modulo 2**64, and of its inverse."""
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        m = max(1 << 16, 1 << int(n - 1).bit_length())
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            p = np.full(m, base, U64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _powers = (out[0], out[1])
-    return _powers[0][:n], _powers[1][:n]
+#: Segments of more bytes than this are hashed by hashlib, one by one; there are few for each byte.
+LONG = 128
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -35,26 +23,75 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class Rolling:
-    """Hashes of any segments of a buffer, each in constant time, by sums of table[byte] * base**position modulo 2**64."""
-
-    def __init__(self, buf: np.ndarray):
-        n = len(buf)
-        pw, self.inv = powers(n + 1)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(_TABLE[buf] * pw[:n], out=self.sums[1:])
-
-    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.inv[start]
-
-    def segments(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of buf[start:end]; the length takes part."""
-        return mix(self.raw(start, end) + (end - start).astype(U64) * U64(0x9FB21C651E98DF25))
-
-    def kmers(self, k: int) -> np.ndarray:
-        """Hashes of all k-byte strings, by their start."""
-        n = len(self.sums) - k
-        return mix((self.sums[k:] - self.sums[:n]) * self.inv[:n]) if n > 0 else np.zeros(0, U64)
+def words_of(buf: np.ndarray) -> np.ndarray:
+    """The buffer as little-endian words of eight bytes, with two words of zeros behind it."""
+    out = np.zeros((len(buf) + 7) // 8 * 8 + 16, np.uint8)
+    out[: len(buf)] = buf
+    return out.view("<u8")
+
+
+class Segments:
+    """Segments of a buffer as lanes of eight bytes each (the last one filled with zeros), and their hashes.
+
+    Lanes are mixed one after the other by a bijection with two multiplications, so no sum or polynomial of bytes can be made to
+    meet another; the lanes also serve to compare segments byte for byte."""
+
+    def __init__(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray | None = None):
+        self.size = (end - start).astype(np.int64)
+        self.lanes = (self.size + 7) >> 3
+        self.begin = np.cumsum(self.lanes) - self.lanes
+        nth = np.arange(int(self.lanes.sum())) - np.repeat(self.begin, self.lanes)
+        at = np.repeat(start, self.lanes) + 8 * nth
+        words, shift = words_of(buf) if words is None else words, ((at & 7) << 3).astype(U64)
+        i = at >> 3
+        lane = words[i] >> shift
+        lane |= words[i + 1] << (U64(64) - shift)  # a shift by 64 gives 0
+        self.lane = lane & _MASK[np.minimum(np.repeat(end, self.lanes) - at, 8)]
+        self._buf, self._start, self._end, self._hashes = buf, start, end, None
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    @property
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes; the length takes part."""
+        if self._hashes is None:
+            h = mix(self.size.astype(U64) * U64(0x9FB21C651E98DF25) + U64(0x632BE59BD9B4E019))
+            live, j = np.flatnonzero((self.size > 0) & (self.size <= LONG)), 0
+            while len(live):
+                h[live] = mix(h[live] ^ self.lane[self.begin[live] + j])
+                j += 1
+                live = live[self.lanes[live] > j]
+            for i in np.flatnonzero(self.size > LONG).tolist():
+                h[i] = int.from_bytes(hashlib.blake2b(self._buf[self._start[i] : self._end[i]].tobytes(), digest_size=8).digest(), "little")
+            self._hashes = h
+        return self._hashes
+
+
+def _differ(seg: Segments, i: np.ndarray, lane: np.ndarray, begin: np.ndarray, size: np.ndarray, j: np.ndarray) -> np.ndarray:
+    out = seg.size[i] != size[j]
+    same = np.flatnonzero(~out)
+    a, b, n = seg.begin[i[same]], begin[j[same]], seg.lanes[i[same]]
+    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    bad = seg.lane[np.repeat(a, n) + nth] != lane[np.repeat(b, n) + nth]
+    if bad.any():
+        out[same[np.repeat(np.arange(len(same)), n)[bad]]] = True
+    return out
+
+
+def kmers(buf: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-byte strings of a buffer, by their start; equal strings have equal hashes."""
+    n = len(buf) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    words = words_of(buf)
+    h = np.full(n, 0x632BE59BD9B4E019, U64)
+    for at in range(0, max(k - 7, 1), 8) if k % 8 == 0 or k < 8 else [*range(0, k - 8, 8), k - 8]:
+        lane = np.ndarray((n,), "<u8", words, at, (1,))
+        h ^= lane & _MASK[k] if k < 8 else lane
+        h *= U64(0xD6E8FEB86659FD93)
+        h ^= h >> U64(29)
+    return mix(h)
 
 
 def packed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,9 +153,13 @@ def lut(chars: bytes) -> np.ndarray:
 
 
 class Memo:
-    """What is known of each hashed unit: a sorted array of hashes, and numbers packed in one flat array.
+    """What is known of each unit: a sorted array of hashes, the units' bytes, and numbers packed in one flat array.
+
+    A unit is known only if its bytes equal the stored ones; another unit of the same hash is made anew each time.  It holds
+    `most` units, and ROOM words of bytes and numbers, or one batch more; beyond that it starts anew, which costs time and
+    changes no result."""
 
-    It holds `most` units at most; beyond that it starts anew, which costs time and changes no result."""
+    ROOM = 1 << 23
 
     def __init__(self, dtype, most: int = 1_000_000):
         self.most, self.dtype = most, dtype
@@ -126,11 +167,21 @@ class Memo:
 
     def clear(self) -> None:
         self.keys, self.begin, self.length = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.text_at, self.text_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.text, self.text_used = np.zeros(1 << 16, U64), 0
 
-    def lookup(self, hashes: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
-        """Where the numbers of each hash stand; make(indices of first occurrences) gives (flat, lengths) of new units."""
-        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    def _put(self, flat: np.ndarray) -> int:
+        """Where flat now stands."""
+        at, self.used = self.used, self.used + len(flat)
+        self.flat = _held(self.flat, at, flat)
+        return at
+
+    def lookup(self, units: Segments, make) -> tuple[np.ndarray, np.ndarray]:
+        """Where the numbers of each unit stand; make(indices of units) gives (flat, lengths) of new units."""
+        if self.used > self.ROOM or self.text_used > self.ROOM:
+            self.clear()
+        keys, first, back = np.unique(units.hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == keys[known]
@@ -141,16 +192,31 @@ class Memo:
         if not known.all():
             new = ~known
             flat, length = make(first[new])
-            if self.used + len(flat) > len(self.flat):
-                grown = np.zeros(max(2 * len(self.flat), self.used + len(flat)), self.dtype)
-                grown[: self.used] = self.flat[: self.used]
-                self.flat = grown
-            self.flat[self.used : self.used + len(flat)] = flat
-            begin = self.used + np.concatenate(([0], np.cumsum(length)[:-1])).astype(np.int64)
-            self.used += len(flat)
+            begin = self._put(flat) + np.concatenate(([0], np.cumsum(length)[:-1])).astype(np.int64)
+            lane = ragged(units.lane, units.begin[first[new]], units.lanes[first[new]])
+            text_at = self.text_used + np.cumsum(units.lanes[first[new]]) - units.lanes[first[new]]
+            self.text, self.text_used = _held(self.text, self.text_used, lane), self.text_used + len(lane)
             put = at[new]
             self.keys = np.insert(self.keys, put, keys[new])
             self.begin = np.insert(self.begin, put, begin)
             self.length = np.insert(self.length, put, length)
+            self.text_at = np.insert(self.text_at, put, text_at)
+            self.text_size = np.insert(self.text_size, put, units.size[first[new]])
             at = np.searchsorted(self.keys, keys)
-        return self.begin[at][back], self.length[at][back]
+        at = at[back]
+        begin, length = self.begin[at], self.length[at]
+        other = np.flatnonzero(_differ(units, np.arange(len(units)), self.text, self.text_at, self.text_size, at))
+        if len(other):  # of the same hash, but not the same bytes
+            flat, size = make(other)
+            begin[other] = self._put(flat) + np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
+            length[other] = size
+        return begin, length
+
+
+def _held(room: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    if used + len(more) > len(room):
+        grown = np.zeros(max(2 * len(room), used + len(more)), room.dtype)
+        grown[:used] = room[:used]
+        room = grown
+    room[used : used + len(more)] = more
+    return room

@@ -61,6 +61,21 @@ def test_suffix_dedup_brute_force(docs):
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"]
 
 
+@pytest.mark.parametrize(("length", "heavy"), [(8, 256), (9, 0), (50, 0), (61, 2), (64, 256), (64, 1)])
+def test_suffix_dedup_other_lengths_and_hot_anchors(spark, length, heavy, monkeypatch):
+    """Whole-length repeats at any place; with `heavy` anchors are split by their surroundings."""
+    monkeypatch.setattr(suffixdedup, "HEAVY", heavy)
+    rng = np.random.default_rng(length + heavy)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    hot = word(length // 2 - 1)
+    pool = [word(length) for _ in range(8)] + [word(int(rng.integers(5, 30))) + hot + word(int(rng.integers(5, 30))) for _ in range(8)]
+    texts = {i: "".join(word(int(rng.integers(0, 40))) + str(rng.choice(pool)) for _ in range(3)) for i in range(90)}
+    got = by_id(suffixdedup.remove(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), length))
+    want = removed_by_hand(texts, length)
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+    assert sum(w[1] > 0 for w in want.values()) > 60
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_suffix_dedup_small_alphabets(spark, seed):
     rng = np.random.default_rng(seed)
@@ -160,20 +175,44 @@ def test_jaccard_join_brute_force(spark, words, per_cent, monkeypatch):
     assert len(set(want.values())) < len(want) - 40
 
 
+def test_divide_skip_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        lists = [sorted(set(rng.integers(0, 40, int(rng.integers(0, int(rng.choice([4, 60]))))).tolist())) for _ in range(int(rng.integers(0, 14)))]
+        count = defaultdict(int)
+        for x in lists:
+            for v in x:
+                count[v] += 1
+        for need in (1, 2, 3, 7, 12):
+            want = {v: c for v, c in count.items() if c >= need}
+            assert dict(jaccard.merge_skip(lists, need)) == want
+            assert dict(jaccard.divide_skip(list(lists), need)) == want
+
+
 def test_jaccard_search_between_blocks():
-    """Sets of another block are found by their true overlap, where most of a query's shingles are not in the index."""
+    """Sets of another block are found by their true overlap, where most of a query's shingles are not in the index; groups that are
+    joined already stay so."""
     rng = np.random.default_rng(7)
     tokens = np.sort(rng.integers(0, 2**63, 90, dtype=np.uint64))
     for per_cent in (80, 90):
         base = rng.permutation(90)[:60]
         sets = [np.sort(tokens[np.union1d(rng.permutation(base)[: 60 - int(rng.integers(0, 9))], rng.integers(0, 90, int(rng.integers(0, 6))))]) for _ in range(120)]
-        lists, near = jaccard.Lists(sets[:60], per_cent), 0
-        for q in sets[60:]:
-            common = [len(np.intersect1d(q, x)) for x in sets[:60]]
-            want = [i for i, c in enumerate(common) if 100 * c >= per_cent * (len(q) + len(sets[i]) - c)]
-            near += sum(100 * c >= (per_cent - 4) * (len(q) + len(sets[i]) - c) for i, c in enumerate(common)) - len(want)
-            assert sorted(lists.search(q, lambda n: np.zeros(len(n), bool))) == want
-        assert near > 20  # pairs just below the threshold
+        alike = lambda a, b, p: 100 * (c := len(np.intersect1d(a, b))) >= p * (len(a) + len(b) - c)
+        assert sum(alike(sets[i], q, per_cent - 4) and not alike(sets[i], q, per_cent) for q in sets[60:] for i in range(60)) > 20
+
+        def grouped(pairs, start):
+            root = list(start)
+            for a, b in pairs:
+                root = [root[a] if r == root[b] else r for r in root]
+            return [min(i for i in range(120) if root[i] == r) for r in root]
+
+        for start in (list(range(120)), [i % 50 for i in range(120)]):
+            want = grouped([(i, j) for i in range(60) for j in range(60, 120) if alike(sets[i], sets[j], per_cent)], start)
+            g = jaccard.Groups(sets, per_cent, start)
+            g.by_lists(list(range(60)), list(range(60, 120)))
+            assert grouped(g.links, start) == want and grouped([], [g.find(k) for k in range(120)]) == want
+        want = grouped([(i, j) for i in range(120) for j in range(i) if alike(sets[i], sets[j], per_cent)], range(120))
+        assert grouped(jaccard.links_within(sets, per_cent), range(120)) == want
 
 
 def test_jaccard_large_family_below_threshold(spark):
@@ -397,7 +436,6 @@ def test_token_files(odd, spark):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rows = sorted(((r["doc_id"], r["text"]) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     files = tokenfile.write(odd, path, end_id=2)
     got = sorted(tokenfile.read(files, ids=True).collect(), key=lambda r: r["start"])
@@ -434,23 +472,48 @@ def test_token_files_quote_special_tokens(spark):
 # 10
 
 
-def test_automaton_counts_longest_phrases():
-    text, a = b" abra cad abra ", langid.Automaton(b" abra cad abra ")
-
-    def count(word):
-        n, i = 0, 0
-        while i < len(word):
-            j = i + 1
-            while j < len(word) and word[i : j + 1] in text:
-                j += 1
-            n, i = n + 1, j
-        return n
-
-    words = [b" abra ", b" cadabra ", b" zzz ", b" abcad ", b" ab\xc3\xa9 "]
-    m = np.full((len(words), max(map(len, words))), 32, np.uint8)
-    for i, w in enumerate(words):
-        m[i, : len(w)] = list(w)
-    assert a.phrases(m, np.array([len(w) for w in words])).tolist() == [count(w) for w in words]
+def phrases_by_hand(text: bytes, own: bytes) -> int:
+    n, i = 0, 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in own:
+            j += 1
+        n, i = n + 1, j
+    return n
+
+
+@pytest.mark.parametrize("side", [1, 3, 48, 10**6])
+def test_automaton_counts_longest_phrases(side, monkeypatch):
+    """Across words, and alike for texts that step side by side and for those that go on alone."""
+    monkeypatch.setattr(langid, "SIDE_BY_SIDE", side)
+    rng = np.random.default_rng(side)
+    own = b" abra cad abra dab "
+    texts = [b" abra ", b" cad abra ", b" zzz ", b" abcad ", b" ab\xc3\xa9 ", b"", b"z"] + [bytes(rng.choice(list(b"abrcd z"), int(rng.integers(0, 60)))) for _ in range(60)]
+    buf, off = vec.packed(pa.array(texts, pa.binary()))
+    assert langid.Automaton(own).phrases(buf, off).tolist() == [phrases_by_hand(t, own) for t in texts]
+
+
+def test_language_by_hand(spark, docs, monkeypatch):
+    """Every document's rates and language against a plain parse; capitals of other scripts change nothing."""
+    learned, real = [], langid.Automaton
+    with monkeypatch.context() as m:
+        m.setattr(langid, "Automaton", lambda data: (learned.append(data), real(data))[1])
+        automata = langid.fit(docs, train_docs=6, train_bytes=3000)
+    owns = dict(zip(automata, learned, strict=True))
+    rows = [(i, t[:400]) for i, t in list(plain(docs).items())[:60]] + [(10**6, None), (10**6 + 1, "12 !"), (10**6 + 2, "😀 → ☂"), (10**6 + 3, "日本語のテキスト")]
+    got = by_id(langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), automata, ["doc_id"]))
+    top = np.log(max(map(len, owns.values())))
+    for i, t in rows:
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        if not words:
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+            continue
+        own = f" {' '.join(words)} ".encode()
+        rate = {k: phrases_by_hand(own, x) * np.log(len(x)) / top / len(own) for k, x in owns.items()}
+        assert abs(got[i]["rate"] - min(rate.values())) < 1e-9 and rate[got[i]["lang_pred"]] <= min(rate.values()) + 1e-9
+    model = langid.Model({"ru": langid.Automaton(langid.letters(pa.array(["Однажды весною, в час небывало жаркого заката, в Москве"]))[0].as_py().encode())})
+    rate, _ = model.rates(pa.array(["в час небывало жаркого заката", "В ЧАС НЕБЫВАЛО ЖАРКОГО ЗАКАТА"]))
+    assert rate[0, 0] == rate[1, 0] < 0.1
 
 
 def test_language_sample_shares_its_bytes():
@@ -464,9 +527,13 @@ def test_language_on_held_out(docs, odd):
     got = by_id(langid.identify(docs, langid.fit(docs), ["doc_id", "lang"]))
     held = [r for i, r in got.items() if zlib.crc32(str(i).encode()) % 3 == 1]
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
-    strange = langid.identify(odd, langid.fit(docs), odd.columns).collect()
-    assert len(strange) == odd.count() and all(r["lang_pred"] == "und" and r["score"] == 0 for r in strange if r["doc_id"] in (0, 1, 5))
+    strange = langid.identify(odd, langid.fit(docs), odd.columns, names=("lang_pred", "own", "rate")).collect()
+    assert len(strange) == odd.count() and all(r["lang_pred"] == "und" and r["own"] == 0 for r in strange if r["doc_id"] in (0, 1, 5))
     assert {r["lang_pred"] for r in langid.identify(odd, {}, ["doc_id"]).collect()} == {"und"}
+    with pytest.raises(ValueError, match="score"):
+        langid.identify(odd, {}, odd.columns)
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(docs, langs_most=1)
 
 
 # 2
@@ -524,6 +591,56 @@ def test_odd_rows_everywhere(odd):
 
 
 def test_segment_hashes_do_not_depend_on_place():
-    a = np.frombuffer(b"hello world hello", np.uint8)
-    h = vec.Rolling(a).segments(np.array([0, 6, 12]), np.array([5, 11, 17]))
-    assert h[0] == h[2] != h[1]
+    a = np.frombuffer(b"hello world hello, " + b"x" * 300 + b"hello", np.uint8)
+    h = vec.Segments(a, np.array([0, 6, 12, 319, 3, 19, 20]), np.array([5, 11, 17, 324, 3, 219, 220])).hashes
+    assert h[0] == h[2] == h[3] != h[1] and h[5] == h[6] and len(set(h.tolist())) == 4
+    assert (vec.kmers(a, 24)[[19, 20]] == vec.kmers(a[19:], 24)[0]).all() and vec.kmers(a, 5)[0] == vec.kmers(a, 5)[12] != vec.kmers(a, 5)[6]
+
+
+def test_memo_compares_bytes(monkeypatch):
+    """Units that share a hash keep their own numbers."""
+    monkeypatch.setattr(vec.Segments, "hashes", property(lambda s: np.zeros(len(s), np.uint64)))
+    memo = vec.Memo(np.int64)
+    for words in ([b"ab", b"cd", b"ab", b"ab\0", b"longer than eight"], [b"cd", b"cd", b"longer than eighT", b"ab"]):
+        end = np.cumsum([len(w) for w in words])
+        units = vec.Segments(np.frombuffer(b"".join(words), np.uint8), end - [len(w) for w in words], end)
+        begin, length = memo.lookup(units, lambda i, w=words: (np.array([c for k in i for c in w[k]], np.int64), np.array([len(w[k]) for k in i])))
+        assert [bytes(memo.flat[b : b + n].tolist()) for b, n in zip(begin, length, strict=True)] == words
+
+
+def thue_morse(n: int, pair: str = "ab") -> str:
+    return "".join(pair[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 128, 1024, 4096])
+def test_words_made_to_collide(spark, n):
+    """Words whose polynomial hashes modulo a power of two are equal for every base."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    a, b = thue_morse(n), thue_morse(n, "ba")
+    texts = [f"{x} {y}" for x in (a, b) for y in ("", "and more", f"{b} {a}")] + [a, b, "é" + a, "é" + b, f"'{a}", f"'{b}"]
+    packed = vec.packed(pa.array(texts))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(path, public_tokenizers.PATTERN)
+    ids, counts = codec.encode(*packed)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [enc.encode_ordinary(t) for t in texts]
+    back, at = codec.decode(ids, counts)
+    assert [back[i:j].tobytes().decode() for i, j in zip(at[:-1], at[1:], strict=True)] == texts
+    tok = Tokenizer.from_file(words := public_tokenizers.path("word_bpe_49k.json"))
+    ids, counts = tokenfile.Encoder(words).encode(*packed)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    sh, off = jaccard.shingles(pa.array(texts), 3)
+    assert len(set(sh.tolist())) == len({tuple(t.split()[k : k + 3]) for t in texts for k in range(max(1, len(t.split()) - 2))})
+    assert len(set(pii._hash([a.encode(), b.encode()]).tolist())) == 2
+
+
+def test_words_made_to_collide_end_to_end(spark):
+    a, b = thue_morse(2048), thue_morse(2048, "ba")
+    df = spark.createDataFrame([(0, f"{a} one two three four five"), (1, f"{b} one two three four five"), (2, a), (3, b), (4, a)], "doc_id long, text string")
+    got = by_id(jaccard.join(df))
+    assert [got[i]["component_id"] for i in range(5)] == [0, 1, 2, 3, 2]
+    want = removed_by_hand({r["doc_id"]: r["text"] for r in df.collect()})
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in by_id(suffixdedup.remove(df)).items()} == want
