@@ -1,15 +1,20 @@
 """Language identification by cross-parsing entropy.
 
-Each language has a suffix automaton of labelled text.  A text is parsed greedily into the longest phrases that occur in that
-text; the language that needs the fewest phrases for each byte of letters wins.  A phrase ends at the latest where its word
-ends (a word is a run of letters with a blank before and after, and runs are cut every 64 bytes), so each distinct word is
-parsed once and remembered, and all words of a batch step through the automaton side by side.
+Each language has a suffix automaton of labelled text.  A text is parsed greedily, across its words, into the longest phrases that
+occur in that labelled text; the language that needs the fewest normalised phrases wins.  Normalised phrases are the number of
+phrases for each byte of the text, times the logarithm of the labelled text's size (what it takes to name a place in it) over that
+of the largest one.  Before, texts are put in lower case and everything between letters (with their marks) becomes one blank, in
+labelled texts and others alike.
 
-Training reads a bounded sample: labelled texts picked by a hash, with equal shares of `train_bytes` a language, to which long ones are cut
-(FIT: about `train_docs` texts a language are fetched to the driver; the automata are `train_bytes` x languages in size).
+Many texts step through an automaton side by side; the last few, long ones go on one by one, with the same result.
+
+Training reads a bounded sample: `train_docs` labelled texts a language at most, about, picked by a hash, with equal shares of
+`train_bytes` a language.  Both are parameters of the fit, which is the only place where texts are cut.  More than `langs_most`
+different labels raise ValueError, as automata for all go to every worker.
 
 Cases: a null text or one without a letter is `und` with score 0; ties go to the language that sorts first; without any labelled
-text all is `und`; repeated rows keep their own result; a null key is not held out and never trained on; an empty table gives an empty table; extra columns are never read.
+text all is `und`; repeated rows keep their own result; a null key is not held out and never trained on; an empty table gives an empty
+table; extra columns are never read; a kept column that has one of the result's names raises ValueError.
 """
 
 from __future__ import annotations
@@ -22,10 +27,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import units, vec
-from .common import cache, enter
+from . import vec
+from .common import cache, enter, free
+
+#: Texts step side by side while so many are left.
+SIDE_BY_SIDE = 48
+
 
-WORD_MOST = 64
+def letters(texts: pa.Array) -> pa.Array:
+    """Lower-case letters and their marks, one blank for all between, before and behind; a text without a letter, or null, is empty."""
+    low = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), r"[^\p{L}\p{M}]+", " ")
+    trimmed = pc.utf8_trim(low, " ")
+    has = pc.match_substring_regex(trimmed, r"\p{L}")
+    blank, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+    return pc.if_else(has, pc.binary_join_element_wise(blank, trimmed, blank, none), none)
 
 
 class Automaton:
@@ -60,27 +75,52 @@ class Automaton:
         pairs = sorted((s << 8 | c, t) for s, d in enumerate(step) for c, t in d.items())
         self.keys = np.array([k for k, _ in pairs], np.int64)
         self.to = np.array([t for _, t in pairs], np.int32)
-
-    def phrases(self, words: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """How many phrases each row of a matrix of bytes needs; a byte that the text lacks is a phrase of its own."""
-        n = len(words)
-        state, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        if not len(self.keys):
-            return length.astype(np.int64)
-        root = np.zeros(256, np.int64)
-        first = self.keys < 256
-        root[self.keys[first]] = self.to[first]
-        for j in range(int(length.max(initial=0))):
-            live = np.flatnonzero(length > j)
-            c = words[live, j].astype(np.int64)
-            key = state[live] << 8 | c
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            count[live] += ~hit & (state[live] > 0)
-            alone = ~hit & (root[c] == 0)
-            count[live] += alone
-            state[live] = np.where(hit, self.to[at], root[c])
-        return count + (state > 0)
+        self.states, self.size = len(step), len(data)
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """(class of each byte, state after each state and class); bytes that the text lacks are class 0, no step is 0."""
+        found = np.unique(self.keys & 255)
+        cls = np.zeros(256, np.int64)
+        cls[found] = np.arange(1, len(found) + 1)
+        to = np.zeros((self.states, len(found) + 1), np.int32)
+        to[self.keys >> 8, cls[self.keys & 255]] = self.to
+        return cls, to
+
+    def phrases(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """How many phrases each packed text needs; a byte that the automaton's text lacks is a phrase of its own."""
+        cls, to = self.table()
+        width, flat, size = to.shape[1], to.ravel(), np.diff(off)
+        order = np.argsort(-size, kind="stable")
+        start, length, at = off[:-1][order], size[order], cls[buf]
+        count, state = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        left = len(length) - np.searchsorted(length[::-1], np.arange(int(length.max(initial=0)) + 1), "right")  # texts longer than j
+        j, m = 0, int(left[0])
+        while m >= SIDE_BY_SIDE:
+            c = at[start[:m] + j]
+            old = state[:m]
+            new = flat[old * width + c]
+            miss = new == 0
+            count[:m] += miss & (old > 0)
+            state[:m] = np.where(miss, flat[c], new)
+            count[:m] += miss & (state[:m] == 0)  # a byte of no phrase
+            j += 1
+            m = int(left[j])
+        if m:
+            step = memoryview(flat)
+            for i in range(m):
+                s, n = int(state[i]), 0
+                for c in at[start[i] + j : start[i] + length[i]].tolist():
+                    t = step[s * width + c]
+                    if not t:
+                        n += s > 0
+                        t = step[c]
+                        n += not t
+                    s = t
+                state[i] = s
+                count[i] += n
+        out = np.empty(len(size), np.int64)
+        out[order] = count + (state > 0)
+        return out
 
 
 def held_out(key: str):
@@ -88,10 +128,12 @@ def held_out(key: str):
     return F.coalesce(F.expr(f"crc32(CAST(CAST(`{key}` AS STRING) AS BINARY)) % 3 = 1"), F.lit(False))
 
 
-def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = 60, train_bytes: int = 40_000) -> dict[str, Automaton]:
+def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = 60, train_bytes: int = 40_000, langs_most: int = 2000) -> dict[str, Automaton]:
     """Automata by language, from rows that are not held out."""
     rows = df.selectExpr(f"`{key}` AS key", f"`{text}` AS text", f"`{lang}` AS lang").where(F.col("key").isNotNull() & ~held_out("key") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(langs_most + 1).collect()}  # a row for each language
+    if len(count) > langs_most:
+        raise ValueError(f"more than {langs_most} languages")
     if not count:
         return {}
     share = F.create_map(*[x for k, n in sorted(count.items()) for x in (F.lit(k), F.lit(min(1.0, train_docs / n)))])
@@ -102,9 +144,10 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
         texts[r["lang"]].append((r["order"], r["key"], r["text"]))
     out = {}
     for k, found in texts.items():
-        data = b" ".join(_shared([t.lower().encode() for _, _, t in sorted(found, key=lambda x: (x[0], str(x[1])))], train_bytes))
-        if data.strip():
-            out[k] = Automaton(b" ".join(_words(data)))
+        own = letters(pa.array([t for _, _, t in sorted(found, key=lambda x: (x[0], str(x[1])))], pa.string())).to_pylist()
+        data = b"".join(_shared([t.encode() for t in own if t], train_bytes))
+        if data:
+            out[k] = Automaton(data)
     return out
 
 
@@ -119,67 +162,26 @@ def _shared(texts: list[bytes], most: int) -> list[bytes]:
     return [t if len(t) <= share else t[:share].decode(errors="ignore").encode() for t in texts]
 
 
-def _words(data: bytes) -> list[bytes]:
-    buf = np.frombuffer(data, np.uint8)
-    s, e = _letters(buf, np.array([0, len(buf)]))
-    return [data[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-
-
-def _letters(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cls = units.classes(buf)
-    letter = (cls == units.LETTER) | (buf >= 0x80)
-    s, e = vec.runs(letter, off)
-    keep = letter[s] if len(s) else np.zeros(0, bool)
-    return units.no_longer(s[keep], e[keep], WORD_MOST)
-
-
 class Model:
     def __init__(self, automata: dict[str, Automaton]):
         self.langs = sorted(automata)
         self.automata = [automata[k] for k in self.langs]
-        self.memo = vec.Memo(np.uint16)
-        self.lower = np.arange(256, dtype=np.uint8)
-        self.lower[65:91] += 32
+        size = np.array([max(2, a.size) for a in self.automata] or [2])
+        self.weight = np.log(size) / np.log(size.max())
 
     def rates(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases for each byte of letters, by text and language; and the bytes of letters."""
-        buf, off = vec.packed(texts)
-        buf, n, m = self.lower[buf], len(off) - 1, len(self.langs)
-        lead = np.flatnonzero(buf == 0xC3)  # upper case of the Latin-1 block
-        if len(lead):
-            at = lead[(buf[lead + 1] >= 0x80) & (buf[lead + 1] <= 0x9E) & (buf[lead + 1] != 0x97)] + 1
-            buf[at] += 0x20
-        start, end = _letters(buf, off)
-        size = np.bincount(vec.rows_of(start, off), end - start, n) if len(start) else np.zeros(n)
-        total = np.zeros((n, m))
-        if len(start) and m:
-
-            def make(first):
-                s, length = start[first], (end - start)[first]
-                out = np.empty((len(first), m), np.uint16)
-                order = np.argsort(length, kind="stable")
-                for i in range(0, len(order), 16384):
-                    o = order[i : i + 16384]
-                    ln = length[o] + 2
-                    words = np.full((len(o), int(ln.max())), 32, np.uint8)
-                    idx = s[o][:, None] + np.arange(words.shape[1] - 2)
-                    inside = np.arange(words.shape[1] - 2) < length[o][:, None]
-                    words[:, 1:-1] = np.where(inside, buf[np.minimum(idx, len(buf) - 1)], 32)
-                    for j, a in enumerate(self.automata):
-                        out[o, j] = a.phrases(words, ln)
-                return out.ravel(), np.full(len(first), m)
-
-            begin, _ = self.memo.lookup(vec.Rolling(buf).segments(start, end), make)
-            row = vec.rows_of(start, off)
-            for j in range(m):
-                total[:, j] = np.bincount(row, self.memo.flat[begin + j], n)
-        return total / np.maximum(size, 1)[:, None], size
+        """Normalised phrases for each byte of letters, by text and language; and the bytes of letters with their blanks."""
+        buf, off = vec.packed(letters(texts))
+        size = np.diff(off)
+        rate = np.zeros((len(size), len(self.langs)))
+        for j, a in enumerate(self.automata):
+            rate[:, j] = a.phrases(buf, off) * self.weight[j]
+        return rate / np.maximum(size, 1)[:, None], size
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (how far the best rate lies below the second, as a share of it) and best rate of each text."""
-        rate, _ = self.rates(texts)
-        n = len(rate)
-        letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+        rate, size = self.rates(texts)
+        n, letter = len(rate), size > 0
         if not self.langs:
             return ["und"] * n, np.zeros(n), np.full(n, np.inf)
         best = rate.argmin(axis=1)
@@ -203,11 +205,10 @@ def _model(token: int, shared) -> Model:
 
 
 def identify(df: DataFrame, automata: dict[str, Automaton], keep: list[str], text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rate")) -> DataFrame:
-    """The columns `keep` with language, score and rate (phrases for each byte of letters) of every whole text.
-
-    Columns of `keep` that have one of the three names are left out."""
-    keep = [k for k in keep if k.lower() not in names]
-    shared = df.sparkSession.sparkContext.broadcast(automata)  # at most some 40 bytes for each byte of training text
+    """The columns `keep` with language, score and rate (normalised phrases for each byte of letters) of every whole text."""
+    if clash := {k.lower() for k in keep} & {k.lower() for k in names}:
+        raise ValueError(f"columns {sorted(clash)} are kept and made; give other names")
+    shared = df.sparkSession.sparkContext.broadcast(automata)  # at most some 40 bytes for each byte of training text, langs_most languages
     token = zlib.crc32(repr(sorted((k, len(a.keys), int(a.keys.sum())) for k, a in automata.items())).encode())
     kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep]
 
@@ -215,9 +216,9 @@ def identify(df: DataFrame, automata: dict[str, Automaton], keep: list[str], tex
         enter("langid")
         model = _model(token, shared)
         for b in batches:
-            for i, n in vec.slices(b, len(keep)):
+            for i, n in vec.slices(b, len(keep), 4 << 20):
                 part = b.slice(i, n)
                 lang, score, rate = model.predict(part.column(len(keep)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], [*keep, *names])
 
-    return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias("_spanisle_text")).mapInArrow(run, ", ".join([*kinds, f"{names[0]} string, {names[1]} double, {names[2]} double"]))
+    return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias(free(df, "text"))).mapInArrow(run, ", ".join([*kinds, f"{names[0]} string, {names[1]} double, {names[2]} double"]))

@@ -89,13 +89,3 @@ def cut(buf: np.ndarray, off: np.ndarray, spaces: bool) -> tuple[np.ndarray, np.
         order = np.argsort(start, kind="stable")
         start, end, plain = start[order], end[order], plain[order]
     return start, end, plain
-
-
-def no_longer(start: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same segments, cut every `most` bytes."""
-    n = -(-(end - start) // most)
-    if not len(n) or n.max() <= 1:
-        return start, end
-    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    s = np.repeat(start, n) + nth * most
-    return s, np.minimum(s + most, np.repeat(end, n))
