@@ -1,31 +1,44 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one for each shard.
 
 Equal vectors are first taken together, so a vector that fills a third of the table is indexed once.  Distinct vectors are
-dealt to shards by a hash; every shard builds a graph of its vectors and is asked for all vectors.  Beams of many queries run
-side by side in numpy.  In every block of queries an audit compares some with a full scan of the shard; while links are
-missed the beam is doubled and the block is run again, up to a full scan.  A beam that is half full of links is doubled too,
-so large groups are found whole.  Links are verified by cosine in double precision.
+dealt to shards by a hash, and the number of shards follows the bytes of the vectors alone.  One task builds a shard's graph, and
+the graphs are written once; then every shard is queried for every vector, the queries of a shard split over tasks of which each
+reads the graph.  Beams of many queries run side by side in numpy.
+
+Audits.  With its graph a shard gets a beam width: PROBES of its own vectors, picked by a seed, are turned by angles up to the
+threshold's, and the beam is doubled until the graph finds RECALL of all links that a full scan finds for these probes.  Each
+probe has a link at least, so no audit is empty, and its cost is in proportion to the shard.
+
+A beam of a query that is half full of links is widened on the graph; where even WIDEST places fill with links, the query is in a
+group of hundreds, and its links in the shard are counted exactly by products of tiles.  All links are verified by cosine in double
+precision, after scaling by the largest component, so no norm overflows or vanishes.
 
 A shard answers with a number of links for each query, one edge from the query to a linked vector, and a spanning forest of
-its own vectors, so what it emits does not grow with the square of a group.  The number of shards follows the cores of the
-cluster, or the number of vectors where SHARD_MOST would be passed, which bounds a task's memory.
+the vectors that its queries have joined, so what it emits does not grow with the square of a group.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own
-component, as are rows with a null id; vectors of different lengths do not link; repeated ids are taken as one vector each row; an empty table gives an
-empty table; extra columns are never read.
+component, as are rows with a null id; vectors of different lengths do not link; repeated ids are taken as one vector each row; an
+empty table gives an empty table; extra columns are never read; ids that are no integers raise TypeError.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import dealt, saved
-
-SHARD_MOST, BLOCK, AUDIT, RECALL = 500_000, 512, 24, 0.99
+from .common import dealt, integer, saved
+
+#: Bytes of double-precision vectors in a shard, shards at least, and queries that one task puts to a shard.
+SHARD_BYTES, SHARDS_LEAST, ASK_ROWS = 192 << 20, 4, 50_000
+BLOCK, PROBES, RECALL, WIDEST = 512, 256, 0.99, 256
+#: Places of the table of what a query has seen; a node that is displaced there is looked at again, if met again.
+SEEN = 1 << 14
+CHUNK = 16 << 20
 M = 12
 
 
@@ -50,8 +63,8 @@ class Layer:
 def _search(x: np.ndarray, layer: Layer, q: np.ndarray, entry: np.ndarray, ef: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """The ef best found places in a layer for each query, best first, and their similarities; -1 where there are fewer."""
     n, rows = len(layer.members), np.arange(len(q))[:, None]
-    seen = np.zeros((len(q), n + 1), bool)
-    seen[:, n] = True  # of no neighbour
+    slots = min(SEEN, 1 << n.bit_length())
+    seen = np.full((len(q), slots), n, np.int32)
     ids = np.full((len(q), ef), n, np.int64)
     sim = np.full((len(q), ef), -np.inf, np.float32)
     k = min(entry.shape[1], ef)
@@ -59,7 +72,7 @@ def _search(x: np.ndarray, layer: Layer, q: np.ndarray, entry: np.ndarray, ef: i
     members = np.append(layer.members, 0)
     ids[:, :k] = first
     sim[:, :k] = np.where(first < n, np.einsum("qkd,qd->qk", x[members[first]], q), -np.inf)
-    seen[rows, first] = True
+    seen[rows, first & slots - 1] = first
     done = sim == -np.inf
     live = np.arange(len(q))
     while len(live):
@@ -78,12 +91,15 @@ def _search(x: np.ndarray, layer: Layer, q: np.ndarray, entry: np.ndarray, ef: i
         to = np.where(good[:, :, None] & (to >= 0), to, n).reshape(len(live), -1)
         to.sort(axis=1)
         to[:, 1:][to[:, 1:] == to[:, :-1]] = n
-        to[seen[live[:, None], to]] = n
-        seen[live[:, None], to] = True
+        to[seen[live[:, None], to & slots - 1] == to] = n
+        if n >= slots:  # what the table has lost may still be in the beam
+            to[(to[:, :, None] == ids[live][:, None, :]).any(axis=2)] = n
         cols = (to < n).sum(axis=1).max()
         if cols == 0:
             continue
         to = np.sort(to, axis=1)[:, :cols]
+        at, place = np.nonzero(to < n)
+        seen[live[at], to[at, place] & slots - 1] = to[at, place]
         new = np.where(to < n, np.einsum("qkd,qd->qk", x[members[to]], q[live]), -np.inf).astype(np.float32)
         all_sim, all_ids = np.concatenate((sim[live], new), axis=1), np.concatenate((ids[live], to), axis=1)
         all_done = np.concatenate((done[live], new == -np.inf), axis=1)
@@ -121,6 +137,19 @@ class Index:
             self._insert(np.arange(at, at + size), level[at : at + size])
             at += size
 
+    @classmethod
+    def of(cls, vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> Index:
+        """An index of which the layers' members and neighbours are known."""
+        out = object.__new__(cls)
+        out.x, out.layers = vectors.astype(np.float32), []
+        for members, near in layers:
+            layer = Layer(near.shape[1])
+            layer.members, layer.near = members, near
+            layer.place = np.full(len(vectors), -1)
+            layer.place[members] = np.arange(len(members))
+            out.layers.append(layer)
+        return out
+
     def _insert(self, members: np.ndarray, level: np.ndarray) -> None:
         x, q = self.x, self.x[members]
         entry = np.full((len(members), 1), -1)
@@ -193,116 +222,177 @@ class Index:
         return np.full((len(q), 0), -1), np.zeros((len(q), 0), np.float32)
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1 in double precision, whatever the size of their components."""
+    if not len(vectors):
+        return vectors.astype(np.float64)
+    v = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 class Shard:
-    """An index with ids, weights and what the links found so far have joined."""
+    """An index with ids, weights, the beam that its audit asks for, and what the links found so far have joined."""
 
     def __init__(self, ids: np.ndarray, weight: np.ndarray, vectors: np.ndarray, threshold: float, ef: int):
         self.ids, self.weight, self.t, self.ef = ids, weight, threshold, ef
-        self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) if len(vectors) else vectors
+        self.unit = unit(vectors)
         self.index = Index(self.unit)
-        self.root = np.arange(len(ids))
-        self.low = np.float32(threshold - 1e-4)
+        self._ready()
+        self.recall = self._audit()
+
+    def _ready(self) -> None:
+        self.root = np.arange(len(self.ids))
+        self.low = np.float32(self.t - 1e-4)
+
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        layers = {f"{k}{i}": v for i, a in enumerate(self.index.layers) for k, v in (("members", a.members), ("near", a.near))}
+        np.savez(out, ids=self.ids, weight=self.weight, unit=self.unit, t=self.t, ef=self.ef, recall=self.recall, layers=len(self.index.layers), **layers)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> Shard:
+        s, z = object.__new__(cls), np.load(io.BytesIO(data), allow_pickle=False)
+        s.ids, s.weight, s.unit, s.t, s.ef, s.recall = z["ids"], z["weight"], z["unit"], float(z["t"]), int(z["ef"]), float(z["recall"])
+        s.index = Index.of(s.unit, [(z[f"members{i}"], z[f"near{i}"]) for i in range(int(z["layers"]))])
+        s._ready()
+        return s
+
+    def _scan(self, q: np.ndarray) -> list[np.ndarray]:
+        """The links of each query by products of tiles."""
+        n, out = max(1, len(self.ids)), []
+        step = max(1, (1 << 22) // n)
+        for i in range(0, len(q), step):
+            out += [np.flatnonzero(r) for r in q[i : i + step].astype(np.float32) @ self.index.x.T >= self.low]
+        return out
 
-    def _find(self, i: int) -> int:
-        root = self.root
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    def _audit(self) -> float:
+        """Widens the beam until probes find their links; returns the recall."""
+        n, d = self.unit.shape
+        if not n:
+            return 1.0
+        rng = np.random.default_rng(20240611)
+        u = self.unit[rng.integers(0, n, PROBES)]
+        side = rng.normal(size=(PROBES, d))
+        side -= (side * u).sum(axis=1, keepdims=True) * u
+        side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
+        angle = np.arccos(min(1.0, max(-1.0, self.t + 1e-3))) * np.sqrt(rng.random((PROBES, 1)))
+        probe = unit(np.cos(angle) * u + np.sin(angle) * side)
+        truth = self._scan(probe)
+        total = sum(map(len, truth))
+        while True:
+            found = sum(len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(self._linked(probe, self.ef), truth, strict=True))
+            if found >= RECALL * total or self.ef >= n:
+                return found / max(1, total)
+            self.ef *= 2
 
     def _linked(self, q: np.ndarray, ef: int) -> list[np.ndarray]:
-        n = len(self.ids)
-        if 2 * ef >= n:
-            near = q.astype(np.float32) @ self.index.x.T >= self.low
-            return [np.flatnonzero(r) for r in near]
         found, sim = self.index.search(q.astype(np.float32), ef)
         near = sim >= self.low
         out = [np.sort(f[k]) for f, k in zip(found, near, strict=True)]
         full = np.flatnonzero(near.sum(axis=1) * 2 >= ef)
         if len(full):
-            for i, got in zip(full.tolist(), self._linked(q[full], 2 * ef), strict=True):
+            more = self._linked(q[full], 4 * ef) if 4 * ef <= WIDEST else self._scan(q[full])
+            for i, got in zip(full.tolist(), more, strict=True):
                 out[i] = got
         return out
 
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        """The last root of each, which then hangs below it at once."""
+        r = self.root[at]
+        while (up := self.root[r]).tolist() != r.tolist():
+            r = up
+        self.root[at] = r
+        return r
+
     def links(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each query: the weight of the vectors it links with, and one of their ids (-1 for none)."""
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
-        probe = np.arange(0, len(q), max(1, len(q) // AUDIT))
-        truth = [np.flatnonzero(r) for r in q[probe].astype(np.float32) @ self.index.x.T >= self.low]
-        while True:
-            got = self._linked(q, self.ef)
-            hit = sum(len(np.intersect1d(got[p], t, assume_unique=True)) for p, t in zip(probe.tolist(), truth, strict=True))
-            if hit >= RECALL * sum(map(len, truth)) or 2 * self.ef >= len(self.ids):
-                break
-            self.ef *= 2
+        q = unit(q)
         total, one = np.zeros(len(q), np.int64), np.full(len(q), -1, np.int64)
-        for i, near in enumerate(got):
+        for i, near in enumerate(self._linked(q, self.ef)):
             if not len(near):
                 continue
             near = near[(self.unit[near] @ q[i] >= self.t) & (self.ids[near] != ids[i])]
             if len(near):
                 total[i], one[i] = self.weight[near].sum(), self.ids[near[0]]
-                r = self._find(int(near[0]))
-                for j in near[1:].tolist():
-                    s = self._find(j)
-                    if s != r:
-                        self.root[s] = r
+                r = np.unique(self.roots(near))
+                self.root[r[1:]] = r[0]
         return total, one
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, ef: int = 48) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, ef: int = 16) -> DataFrame:
     """(key, n_links, component_id, kept): one row for each row of df."""
     spark = df.sparkSession
+    integer(df, key)
     v = F.col("v")
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
     fine = F.col("id").isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("h", F.when(fine, F.struct(F.xxhash64("v"), F.xxhash64(F.lit(1), "v"))))
     classes = saved(rows.where("h IS NOT NULL").groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
-    n = classes.count()
-    shards = max(2, spark.sparkContext.defaultParallelism, -(-n // SHARD_MOST))
-    indexed = classes.select(F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "rep", "n", "v")
-    asked = classes.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "rep", "n", "v")
+    n, size = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    shards = max(SHARDS_LEAST, -(-8 * size // SHARD_BYTES))
+    asks = max(1, -(-n // ASK_ROWS), -(-2 * spark.sparkContext.defaultParallelism // shards))
+
+    def grouped(batches):
+        """(length, rows of kept columns, matrix) of the vectors of each length in each batch."""
+        for b in batches:
+            off = b.column("v").offsets.to_numpy()
+            flat = b.column("v").values.to_numpy(zero_copy_only=False)
+            rep, weight = (b.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n"))
+            for d in np.unique(np.diff(off)).tolist():
+                m = np.flatnonzero(np.diff(off) == d)
+                yield d, rep[m], weight[m], flat[off[m][:, None] + np.arange(d)]
+
+    def build(batches):
+        from pyspark import TaskContext
+
+        own: dict[int, list] = {}
+        for d, *x in grouped(batches):
+            own.setdefault(d, []).append(x)
+        for d in sorted(own):
+            data = Shard(*(np.concatenate(x) for x in zip(*own.pop(d), strict=True)), threshold, ef).dump()
+            for seq, at in enumerate(range(0, len(data), CHUNK)):
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([d], pa.int32()), pa.array([seq], pa.int32()), pa.array([data[at : at + CHUNK]], pa.binary())], ["shard", "width", "seq", "data"])
 
     def run(batches):
         names = ["rep", "links", "a", "b"]
-        own: list = []
+        parts: dict[int, list] = {}
         made: dict[int, Shard] = {}
-        built = False
-
-        def build():
-            width = np.array([len(x) for _, _, x in own])
-            for d in np.unique(width).tolist():
-                m = np.flatnonzero(width == d)
-                made[d] = Shard(np.array([own[i][0] for i in m]), np.array([own[i][1] for i in m]), np.stack([own[i][2] for i in m]), threshold, ef)
 
-        for b in batches:
-            off = b.column("v").offsets.to_numpy()
-            flat = b.column("v").values.to_numpy(zero_copy_only=False)
-            kind, rep, weight = (b.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "rep", "n"))
-            own += [(rep[i], weight[i], flat[off[i] : off[i + 1]].copy()) for i in np.flatnonzero(kind == 0).tolist()]
-            ask = np.flatnonzero(kind == 1)
-            if len(ask) and not built:
-                build()
-                built = True
-                own.clear()
-            for d in np.unique(np.diff(off)[ask]).tolist():
-                mine = ask[np.diff(off)[ask] == d]
-                for i in range(0, len(mine) if d in made else 0, BLOCK):
-                    m = mine[i : i + BLOCK]
-                    total, one = made[d].links(rep[m], flat[off[m][:, None] + np.arange(d)])
-                    some = np.flatnonzero(one >= 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[m][some]), pa.array(total[some]), pa.array(rep[m][some]), pa.array(one[some])], names)
+        def asked():
+            for b in batches:
+                index = b.column("seq").to_numpy() >= 0
+                for i in np.flatnonzero(index).tolist():
+                    parts.setdefault(b.column("width")[i].as_py(), []).append(b.column("data")[i].as_py())
+                yield b.filter(pa.array(~index))
+
+        for d, rep, _, q in grouped(asked()):
+            if d not in made and d in parts:
+                made[d] = Shard.load(b"".join(parts.pop(d)))
+            for i in range(0, len(rep) if d in made else 0, BLOCK):
+                total, one = made[d].links(rep[i : i + BLOCK], q[i : i + BLOCK])
+                some = np.flatnonzero(one >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[i + some]), pa.array(total[some]), pa.array(rep[i + some]), pa.array(one[some])], names)
         for s in made.values():
-            at = np.array([s._find(i) for i in range(len(s.ids))])
+            at = s.roots(np.arange(len(s.ids)))
             some = np.flatnonzero(at != np.arange(len(at)))
             none = pa.nulls(len(some), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, pa.array(s.ids[some]), pa.array(s.ids[at[some]])], names)
 
-    found = saved(dealt(indexed.union(asked), shards, "shard").sortWithinPartitions("kind", "rep").mapInArrow(run, "rep long, links long, a long, b long"))
+    of = lambda *by, most: F.pmod(F.xxhash64(*by), F.lit(most)).cast("int")
+    every = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+    index = saved(dealt(classes.withColumn("shard", of("rep", most=shards)), shards, "shard").select("rep", "n", "v").mapInArrow(build, "shard int, width int, seq int, data binary"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    graphs = index.withColumn("ask", every(asks)).select((F.col("shard") * asks + F.col("ask")).alias("part"), "seq", "width", "data", none("long", "rep"), none("long", "n"), F.array().cast("array<double>").alias("v"))
+    queries = classes.withColumn("ask", of(F.lit(7), "rep", most=asks)).withColumn("shard", every(shards))
+    queries = queries.select((F.col("shard") * asks + F.col("ask")).alias("part"), F.lit(-1).alias("seq"), F.lit(0).alias("width"), none("binary", "data"), "rep", "n", "v")
+    # what holds no query comes first: the chunks of the graph, in their order
+    together = dealt(graphs.union(queries), shards * asks, "part").sortWithinPartitions(F.col("seq") < 0, "width", "seq")
+    found = saved(together.select("seq", "width", "data", "rep", "n", "v").mapInArrow(run, "rep long, links long, a long, b long"))
     links = found.where("rep IS NOT NULL").groupBy("rep").agg(F.sum("links").alias("links"))
     comp = graph.components(found.select("a", "b")).select(F.col("node").alias("rep"), "component")
     known = classes.select("h", "rep", "n").join(links, "rep", "left").join(comp, "rep", "left").where("n > 1 OR links IS NOT NULL OR component IS NOT NULL")
-    known = known.select(F.col("h").alias("_h"), "rep", "n", "links", "component")
+    known = saved(known.select(F.col("h").alias("_h"), "rep", "n", "links", "component"))
     out = graph.spread(rows.select("id", "h"), known, "h", "_h")
     comp_id = F.coalesce("component", "rep", "id")
     return out.select(F.col("id").alias(key), (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), comp_id.alias("component_id"), comp_id.eqNullSafe(F.col("id")).alias("kept"))

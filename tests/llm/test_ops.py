@@ -278,6 +278,72 @@ def test_transport_stream_round_trip(n):
     assert all(media[a] == 0x47 for a in s.access_at)
 
 
+def parsed_by_hand(media: bytes) -> tuple[dict, bytes, list, list, int]:
+    """Tables, payload, timestamps, access points and packets of a stream, one packet after the other."""
+    tables, payload, times, access, counters, left = {}, bytearray(), [], [], {}, 0
+    for n in range(0, len(media), 188):
+        p = media[n : n + 188]
+        assert p[0] == 0x47
+        pid, control = (p[1] & 31) << 8 | p[2], p[3] >> 4 & 3
+        assert counters.setdefault(pid, p[3] & 15) == p[3] & 15
+        counters[pid] = (p[3] + 1) & 15
+        adapt = p[4] + 1 if control & 2 else 0
+        body = p[4 + adapt :]
+        if pid in (0, tables.get(0)):
+            section = body[1 + body[0] :]
+            size = 3 + ((section[1] & 15) << 8 | section[2])
+            c = 0xFFFFFFFF
+            for byte in section[:size]:
+                for bit in range(7, -1, -1):
+                    c = (c << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if (c >> 31) ^ (byte >> bit & 1) else 0)
+            assert c == 0
+            tables[pid] = (section[10] & 31) << 8 | section[11] if pid == 0 else (section[13] & 31) << 8 | section[14]
+            continue
+        assert pid == tables[tables[0]]
+        if p[1] & 0x40:
+            assert body[:3] == b"\0\0\1" and left == 0
+            left = (body[4] << 8 | body[5]) - 3 - body[8]
+            t = body[9:14]
+            times.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1)
+            if adapt > 1 and p[5] & 0x40:
+                access.append(len(times) - 1)
+                base = p[6] << 25 | p[7] << 17 | p[8] << 9 | p[9] << 1 | p[10] >> 7
+                assert base == times[-1]
+            body = body[9 + body[8] :]
+        payload += body
+        left -= len(body)
+    assert left == 0
+    return tables, bytes(payload), times, access, len(media) // 188
+
+
+@pytest.mark.parametrize("n", [192, 1536, 1728, 40_000 * 192 // 192 * 192])
+def test_transport_stream_by_hand(n):
+    data = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes()
+    media = mpegts.mux(data)
+    tables, payload, times, access, packets = parsed_by_hand(media)
+    s = mpegts.demux(media)
+    assert payload == data and times == s.pts.tolist() and access == s.access.tolist() and (tables[0], packets) == (0x1000, s.packets)
+    assert mpegts.feature(s) == f"program=1 pid={tables[0x1000]} type=6 packets={packets} gaps=0 units={len(times)} access={len(access)} pts={min(times)}-{max(times)}"
+
+
+def test_transport_stream_discontinuity():
+    """A jump of the counter that a packet announces is no gap."""
+    media = bytearray(mpegts.mux(mpegts.padded(b"x" * 60000)))
+    at = next(a for a in mpegts.demux(bytes(media)).access_at.tolist() if a > 1000)
+    cut = media[: at - 188 * 3] + media[at:]
+    assert mpegts.demux(bytes(cut)).gaps >= 1
+    told, es = bytearray(cut), 0
+    for n in range(0, len(told), 188):
+        if n >= at - 188 * 3 and told[n + 3] & 0x20 and told[n + 4]:
+            told[n + 5] |= 0x80
+    es = mpegts.demux(bytes(cut)).gaps - mpegts.demux(bytes(told)).gaps
+    assert es >= 1
+    with pytest.raises(ValueError, match="188"):
+        mpegts.demux(bytes(media[:-1]))
+    with pytest.raises(ValueError, match="188"):
+        mpegts.demux_many(np.frombuffer(bytes(media), np.uint8), np.array([0, 188, len(media) - 5]))
+
+
 def test_transport_stream_faults():
     media = mpegts.mux(mpegts.padded(b"x" * 20000))
     lost = mpegts.demux(media[: 188 * 7] + media[188 * 8 :])
@@ -297,6 +363,9 @@ def test_media_columns(odd):
     for r in got:
         if r["doc_id"] is not None:
             assert sums[r["payload_sha256"]] == r["tail_crc32"]
+    for r in mpegts.store(odd).collect():
+        tables, payload, times, access, _ = parsed_by_hand(bytes(r["media"]))
+        assert payload[: r["n_bytes"]].decode() in want and r["pts"] == times and [a["unit"] for a in r["access"]] == access
     one = mpegts.store(odd.where("doc_id = 7")).collect()[0]
     assert mpegts.demux(bytes(one["media"])).payload.startswith(b"mail a@b.co") and one["access"][0]["unit"] == 0
 
@@ -351,9 +420,64 @@ def test_disclosing_terms_of_whole_documents(spark):
     assert all([s.split(":")[0] for s in x.split(",")] == ["email", "removed", "removed", "removed"] for x in spans)
 
 
+def terms_by_hand(texts: list, alpha: float, least: int) -> list:
+    """All spans of each row, by counting rows."""
+    words = [{w.lower() for w in re.findall("[A-Za-z\x80-\U0010ffff]+", t or "")} for t in texts]
+    own = [{(k, (t or "")[a:b].lower()) for k, a, b in spans_by_hand(t or "")} for t in texts]
+    n, n_c, n_t, n_ct = len(texts), defaultdict(int), defaultdict(int), defaultdict(int)
+    for w, o in zip(words, own, strict=True):
+        for t in w:
+            n_t[t] += 1
+        for c in o:
+            n_c[c] += 1
+            for t in w:
+                n_ct[c, t] += 1
+    out = []
+    for text, w, o in zip(texts, words, own, strict=True):
+        spans, told = spans_by_hand(text or ""), {}
+        for c in o:
+            for t in w:
+                if n_c[c] >= least and n_ct[c, t] >= least and n_c[c] < n:
+                    pmi, ic = np.log2(n_ct[c, t] * n / (n_c[c] * n_t[t])), np.log2(n / n_c[c])
+                    if pmi >= alpha * ic:
+                        told[t] = told.get(t, False) or pmi >= ic
+        extra = [("removed" if told[m[0].lower()] else "term", *m.span()) for m in re.finditer("[A-Za-z\x80-\U0010ffff]+", text or "") if m[0].lower() in told and not any(a < m.end() and m.start() < b for _, a, b in spans)]
+        out.append(",".join(f"{k}:{a}:{b}" for k, a, b in spans + sorted(extra)))
+    return out
+
+
+@pytest.mark.parametrize("alpha", [0.6, 0.9])
+def test_disclosing_terms_brute_force(spark, alpha):
+    """Against plain counts, with rows that repeat, share a key or have none, and long texts of many spans."""
+    rng = np.random.default_rng(int(alpha * 10))
+    mails = [f"p{i}@mail.example.com" for i in range(6)]
+    vocab = [f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz"] + ["Zoë", "李明", "X"]
+    rows = []
+    for i in range(160):
+        t = list(rng.choice(vocab, 8))
+        if i % 3 == 0:
+            m = int(rng.integers(6))
+            t += [mails[m], f"Own{'abcdef'[m]}", vocab[m]]
+        rows.append((i // 2 if i % 5 else None, " ".join(map(str, rng.permutation(t)))))
+    rows += rows[:20] + [(900, None), (901, ""), (902, " ".join(["10.0.0.1 and Host", *mails] * 400)), (903, "see 10.0.0.1 Host")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((i is None, i or 0, s) for (i, _), s in zip(rows, terms_by_hand([t for _, t in rows], alpha, 2), strict=True))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["spans"]) for r in pii.detect(df, alpha=alpha).collect())
+    assert got == want and sum("removed" in s for *_, s in want) > 20
+
+
+def test_pii_many_spans_in_linear_time():
+    import time
+
+    t = "a1@b.co Ann 10.1.2.3 +44 20 7946 0958, " * 20_000
+    began = time.time()
+    assert len(pii.base_spans(t)) == 60_000 and time.time() - began < 20
+
+
 def test_pii_odd_rows(odd):
     got = pii.detect(odd).collect()
     assert len(got) == odd.count() and sum(r["n_email"] for r in got) == 2
+    odd = odd.withColumnRenamed("block", "_spanisle_spans").withColumnRenamed("key", "_spanisle_row")
     clean = pii.sanitise(odd)
     assert clean.columns == odd.columns and clean.count() == odd.count() and clean.where("text LIKE '%@%'").count() == 0
     assert pii.rewrite("ab cd ef", ["email:0:4", "term:3:5", "removed:6:8"]) == "[EMAIL] "
@@ -370,6 +494,72 @@ def test_quality_on_held_out_labels(spark, sf, docs):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def boosted_by_hand(x, y, trees, depth, rate, bins, least, ridge):
+    """Trees as nested tuples, grown one node after the other with plain loops; gives scores of the rows."""
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    out = np.full(len(x), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-out))
+        g, h = p - y, p * (1 - p)
+
+        def grow(rows, d):
+            if d == depth:
+                out[rows] -= rate * g[rows].sum() / (h[rows].sum() + ridge)
+                return
+            best, split_at = 1e-9, None
+            for j, c in enumerate(cuts):
+                for v in c:
+                    a = rows & (x[:, j] <= v)
+                    hl, ht = h[a].sum(), h[rows].sum()
+                    if hl < least or ht - hl < least:
+                        continue
+                    gl, gt = g[a].sum(), g[rows].sum()
+                    gain = gl**2 / (hl + ridge) + (gt - gl) ** 2 / (ht - hl + ridge) - gt**2 / (ht + ridge)
+                    if gain > best + 1e-12:
+                        best, split_at = gain, (j, v)
+            if split_at is None:
+                grow(rows, depth)
+                return
+            a = x[:, split_at[0]] <= split_at[1]
+            grow(rows & a, d + 1)
+            grow(rows & ~a, d + 1)
+
+        grow(np.ones(len(x), bool), 0)
+    return 1 / (1 + np.exp(-out))
+
+
+def test_boosted_trees_by_hand():
+    rng = np.random.default_rng(6)
+    x = rng.random((300, 4)).astype(np.float32)
+    y = (x[:, 0] + x[:, 2] ** 2 + 0.3 * rng.random(300) > 0.9).astype(float)
+    model = quality.Boosted(trees=5, depth=3, bins=12).fit(x, y)
+    want = boosted_by_hand(x, y, 5, 3, model.rate, 12, model.least, model.ridge)
+    assert np.allclose(model.score(x), want, atol=1e-9)
+    for row, s in zip(x[:50], model.score(x[:50]), strict=True):  # one row at a time through the flattened trees
+        total = model.base
+        for feature, cut, leaf in zip(model.feature, model.cut, model.leaf, strict=True):
+            at = 0
+            for _ in range(model.depth):
+                at = 2 * at + (2 if row[feature[at]] > cut[at] else 1)
+            total += leaf[at - (2**model.depth - 1)]
+        assert abs(1 / (1 + np.exp(-total)) - s) < 1e-12
+
+
+def test_statistics_by_hand(docs):
+    texts = [*[t for t in plain(docs).values() if t][:40], "", "One one TWO, two 3x\n\nline!\n", "é à 日本"]
+    x = {k: quality.statistics(pa.array(texts))[:, i] for i, k in enumerate(quality.NAMES)}
+    for i, t in enumerate(texts):
+        b, w, lines = t.encode(), re.split(r"[ \t\n\r\x0b\x0c]+", t.strip(" \t\n\r\x0b\x0c")) if t.strip() else [], [a for a in t.split("\n") if a]
+        want = {
+            "log_bytes": np.log1p(len(b)), "upper": sum(65 <= c <= 90 for c in b) / max(1, len(b)), "high": sum(c >= 128 for c in b) / max(1, len(b)), "newline": b.count(b"\n") / max(1, len(b)),
+            "entropy": -sum(c / len(b) * np.log2(c / len(b)) for c in np.bincount(list(b)) if c) if b else 0, "log_words": np.log1p(len(w)), "word_mean": sum(len(v.encode()) for v in w) / max(1, len(w)), "word_longest": max((len(v.encode()) for v in w), default=0),
+            "distinct_words": len(set(w)) / max(1, len(w)), "most_word": max((w.count(v) for v in set(w)), default=0) / max(1, len(w)), "repeat_next": sum(a == c for a, c in zip(w, w[1:], strict=False)) / max(1, len(w)), "log_lines": np.log1p(len(lines)),
+            "distinct_lines": len(set(lines)) / max(1, len(lines)), "line_longest": max((len(a.encode()) for a in lines), default=0), "distinct_pairs": len(set(zip(w, w[1:], strict=False))) / max(1, len(w) - 1),
+        }
+        for k, v in want.items():
+            assert abs(float(x[k][i]) - v) <= 1e-4 * max(1, abs(v)), (k, t[:50])
+
+
 def test_boosted_trees_and_odd_rows(odd, spark):
     rng = np.random.default_rng(1)
     x = rng.random((600, 5)).astype(np.float32)
@@ -409,14 +599,51 @@ def test_hnsw_links_against_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(n, n + 6))
 
 
-def test_hnsw_beams_reach_recall():
+def links_by_hand(x):
+    u = x.astype(float) / np.abs(x).max(axis=1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    return near
+
+
+@pytest.mark.parametrize("seen", [32, hnsw.SEEN])
+def test_hnsw_beams_reach_recall(seen, monkeypatch):
+    """Partners at many angles, with a table of seen nodes that is far too small, and after a shard is written and read."""
+    monkeypatch.setattr(hnsw, "SEEN", seen)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 16))
     x[1500:] = x[:1500] + 0.05 * rng.normal(size=(1500, 16))
-    s = hnsw.Shard(np.arange(3000), np.ones(3000, int), x, 0.95, 48)
+    s = hnsw.Shard.load(hnsw.Shard(np.arange(3000), np.ones(3000, int), x, 0.95, 8).dump())
+    assert s.recall >= hnsw.RECALL
     found = sum(int(s.links(np.arange(i, i + 500), x[i : i + 500])[0].sum()) for i in range(0, 3000, 500))
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    assert found >= 0.97 * ((u @ u.T >= 0.95).sum() - 3000)
+    assert found >= 0.97 * links_by_hand(x).sum()
+
+
+def test_hnsw_one_large_group(spark):
+    """A group of distinct near copies that is far wider than any beam is counted whole, and its members are one component."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(1, 24))
+    x = np.concatenate([base + 0.03 * rng.normal(size=(1500, 24)), rng.normal(size=(800, 24)), -base + 0.05 * rng.normal(size=(300, 24))])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = by_id(hnsw.near_duplicates(df), "vec_id")
+    near = links_by_hand(x)
+    want, found = near.sum(axis=1), np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+    assert {got[i]["component_id"] for i in np.flatnonzero(near[0])} == {0}
+
+
+def test_hnsw_norms_of_any_size(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e-200, 0.0]), (2, [1e200, 1e190]), (3, [-1e300, 0.0]), (4, [0.0, 1e-310]), (5, [0.0, 3.0])]
+    got = by_id(hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "vec_id")
+    assert [got[i]["component_id"] for i in range(6)] == [0, 0, 0, 3, 4, 4] and [got[i]["n_links"] for i in range(6)] == [2, 2, 2, 0, 1, 1]
+
+
+def test_keys_that_are_no_integers(spark):
+    df = spark.createDataFrame([("a", "x y z", [1.0])], "doc_id string, text string, embedding array<double>")
+    for made in (lambda: suffixdedup.remove(df), lambda: jaccard.join(df), lambda: hnsw.near_duplicates(df, "doc_id"), lambda: tokenfile.write(df, public_tokenizers.path("word_bpe_49k.json"), 2)):
+        with pytest.raises(TypeError, match="integers"):
+            made()
 
 
 # 9

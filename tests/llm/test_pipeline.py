@@ -35,3 +35,39 @@ def test_stages(spark, sf):
 def test_run_is_the_stages(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.count() > 0 and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+ODD = [
+    (1, "Le petit chat dort sur la grande table de la cuisine.", "fr", "src1", 5, "a"), (1, "Le petit chat dort sur la grande table de la cuisine.", "fr", "src1", 5, "a"),
+    (2, None, None, None, None, None), (3, "", "en", "src2", 0, "b"), (4, "12 !?", "en", "x", 4, "c"), (None, "the cat and the dog sleep on the old table in the kitchen today", "en", "src2", 9, "d"),
+    (5, "the cat and the dog sleep on the old table in the kitchen today", "en", "src3", 9, "e"), (6, "the cat and the dog sleep on the old table in the kitchen today", None, None, 9, "e"),
+    (7, "write to a@b.co about the old table " * 300, "en", "src3", 1, "f"), (8, "\u00e9\u00e8 \u65e5\u672c", "en", "src1", 3, "g"),
+]
+
+
+def test_odd_tables(spark, sf):
+    """Nulls in every column, empty and long texts, repeated rows, and columns named as operators name theirs inside."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, _spanisle_lang string"
+    docs = spark.createDataFrame(ODD, kinds)
+    docs = docs.withColumnRenamed("_spanisle_lang", "_spanisle_row").withColumn("_spanisle_k", F.lit(1)).withColumn("score", F.lit(2)).withColumn("_spanisle_bit", F.lit(None).cast("int"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns and got.count() <= len(ODD)
+        assert stage(spark, docs.where("false"), sf).count() == 0
+        assert stage(spark, docs.where("doc_id = 2"), sf).count() <= 1
+    language, near, private, mix = (f for _, f in corpus_pipeline.STAGES[:-1])
+    assert sorted(r["doc_id"] or -1 for r in language(spark, docs, sf).collect() if r["doc_id"] not in (8, 7)) in ([-1, 1, 1, 5, 6], [-1, 5, 6])
+    assert sorted(r["doc_id"] or -1 for r in near(spark, docs, sf).collect()) == [-1, 1, 1, 2, 3, 4, 5, 7, 8]
+    assert private(spark, docs, sf).count() == len(ODD) and private(spark, docs.drop("n_chars"), sf).where("text LIKE '%@%'").count() == 0
+    assert {r["doc_id"] for r in mix(spark, docs, sf).collect()}.isdisjoint({2, 3})
+    encoded = corpus_pipeline.encode(spark, docs, sf)
+    assert encoded.count() == len(ODD) and corpus_pipeline.encode(spark, docs.where("false"), sf).count() == 0
+    # without a label to learn from, nothing is rejected
+    assert language(spark, docs.withColumn("lang", F.lit(None).cast("string")), sf).count() == len(ODD)
+
+
+def test_language_keeps_capitals(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    shouted = docs.where("doc_id % 7 = 0").select((F.col("doc_id") + 10**6).alias("doc_id"), F.upper("text").alias("text"), "lang", "source", "n_chars")
+    got = corpus_pipeline.language(spark, docs.union(shouted), sf)
+    assert got.where("doc_id >= 1000000").count() == shouted.where("text RLIKE '\\\\p{L}'").count()
