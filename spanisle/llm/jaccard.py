@@ -1,40 +1,45 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, by T-occurrence search over inverted lists.
 
 1. Each text becomes its set of hashed shingles; texts with equal sets are one class from here on.
-2. Candidates.  Two similar sets of sizes up to n agree on so much that of their rarest shingles (n - ceil(t * n) + 1 of them,
+2. Who may meet.  Two similar sets of sizes up to n agree on so much that of their rarest shingles (n - ceil(t * n) + 1 of them,
    in one order for all sets) one is common to both; so only short inverted lists need to be met on, and long ones never
    are.  Shards of texts send their distinct shingles, packed and truncated, to be counted; they get back a rank by document
    frequency (a byte each), and send the rarest ones that are not of one document alone.  A list with several classes yields a
-   star of edges.  Components of those edges are the candidate clusters.
-3. Search.  Within a cluster each set queries the inverted lists of the others with DivideSkip: the longest lists are set
-   aside, the short ones are merged (by a heap, or by numpy's merge of runs where they hold many postings), and what occurs
-   often enough is looked up in the long ones by binary search.  Overlaps are verified exactly.  Large clusters are cut into
-   blocks, and every pair of blocks is searched in a task of its own, so no task holds a whole large cluster.
-   Sets that are joined already need no further search.
+   star of edges.  Components of those edges are clusters, outside of which no set has a link.
+3. Search.  Each set of a cluster queries inverted lists with DivideSkip: it must occur on T of them, so the longest are set aside,
+   the short ones are merged by a heap that skips what can't occur often enough, and what is left is looked up in the long
+   ones by binary search.  First the lists hold one set for each group joined so far, so copies cost a look at a few lists.  Then
+   those sets that share one of their rarest shingles with another group query the lists of all.
+4. Clusters too large for one task are searched in blocks, each within itself; then representatives of the groups so found, a block
+   at a time, until that joins no more.  If several groups are left, all members but those of the largest group query the members of
+   all blocks: a family of copies is never paired block by block, and no task holds a whole large cluster.
 
 Cases: a null or empty text, or one without words, has an empty set and links with nothing; a text with fewer words than a
 shingle is one shingle; repeated rows share a class; an empty table gives an empty table; extra columns are never read; texts
-of any length are read whole.  Keys are integers; a row with a null key joins the class of equal sets, if other rows
-have one, and leads none.
+of any length are read whole.  Keys that are no integers raise TypeError; a row with a null key joins the class of equal sets, if
+other rows have one, and leads none.
 """
 
 from __future__ import annotations
 
-from heapq import merge as heap_merge
+from bisect import bisect_left
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, vec
-from .common import dealt, enter, parts, saved, sharded, split_by
+from .common import dealt, enter, integer, parts, saved, sharded, split_by
 
 U = np.uint64
 _WHITE = vec.lut(bytes([0x20, *range(9, 14)]))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-BLOCK_DOCS, BLOCK_SHINGLES = 128, 60_000
+#: Sets and shingles of a block.
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 120_000
 
 
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +49,7 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     s, e = vec.runs(_WHITE[buf], off)
     keep = ~_WHITE[buf[s]] if len(s) else np.zeros(0, bool)
     s, e = s[keep], e[keep]
-    h, row = vec.Rolling(buf).segments(s, e), vec.rows_of(s, off)
+    h, row = vec.Segments(buf, s, e).hashes, vec.rows_of(s, off)
     count = np.bincount(row, minlength=n)
     last = np.cumsum(count)
     left = last[row] - np.arange(len(row))  # words from here to the end of the text
@@ -78,75 +83,143 @@ def _least(size: int, p: int) -> int:
     return -(-p * size // 100)
 
 
-class Lists:
-    """Inverted lists over sets; tokens are numbered."""
-
-    def __init__(self, sets: list[np.ndarray], per_cent: int):
-        self.p = per_cent
-        self.size = np.array([len(s) for s in sets])
-        doc = np.repeat(np.arange(len(sets)), self.size)
-        token = np.concatenate(sets) if sets else np.zeros(0, U)
-        order = np.lexsort((doc, token))
-        self.doc = doc[order]
-        self.token, self.begin = np.unique(token[order], return_index=True)
-        self.end = np.append(self.begin[1:], len(order))
-        self.key = np.searchsorted(self.token, token[order]) * len(sets) + self.doc
-
-    def search(self, q: np.ndarray, skip) -> list[int]:
-        """Sets similar to q; those for which skip(numbers) is true are not looked at."""
-        at = np.searchsorted(self.token, q)
-        inside = at < len(self.token)
-        at, found = at[inside], q[inside]
-        at = at[self.token[at] == found]
-        need = max(1, _least(len(q), self.p))
-        if len(at) < need:
-            return []
-        length = self.end[at] - self.begin[at]
-        order = np.argsort(length, kind="stable")
-        at, length = at[order], length[order]
-        aside = min(need - 1, int(need / (0.01 * np.log2(max(2, int(length[-1]))) + 1)))
-        short, long = at[: len(at) - aside], at[len(at) - aside :]
-        if int(length[: len(short)].sum()) <= 64:
-            ids, counts = [], []
-            for d in heap_merge(*(self.doc[self.begin[t] : self.end[t]].tolist() for t in short.tolist())):
-                if ids and ids[-1] == d:
-                    counts[-1] += 1
-                else:
-                    ids.append(d)
-                    counts.append(1)
-            ids, counts = np.array(ids, np.int64), np.array(counts, np.int64)
+def merge_skip(lists: list[list[int]], t: int) -> Iterator[tuple[int, int]]:
+    """(number, on how many lists) of the numbers on t or more of the ascending lists, by a heap of their heads.
+
+    Where the least number is on too few lists, t - 1 lists are moved on to the head that is then the least: no number before
+    it can be on t lists."""
+    heap = [(x[0], k) for k, x in enumerate(lists) if x]
+    heapify(heap)
+    place = [0] * len(lists)
+    while len(heap) >= t:
+        top, out = heap[0][0], []
+        while heap and heap[0][0] == top:
+            out.append(heappop(heap)[1])
+        if len(out) >= t:
+            yield top, len(out)
+            for k in out:
+                place[k] += 1
+                if place[k] < len(lists[k]):
+                    heappush(heap, (lists[k][place[k]], k))
+            continue
+        while len(out) < t - 1:
+            out.append(heappop(heap)[1])
+        to = heap[0][0]
+        for k in out:
+            place[k] = at = bisect_left(lists[k], to, place[k])
+            if at < len(lists[k]):
+                heappush(heap, (lists[k][at], k))
+
+
+def divide_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
+    """(number, on how many lists) of the numbers on `need` or more lists."""
+    if len(lists) < need:
+        return
+    lists.sort(key=len)
+    # how many long lists are only probed: the more, the fewer numbers are merged, and the more are candidates
+    aside = min(need - 1, int(need / (0.01 * np.log2(max(2, len(lists[-1]))) + 1)))
+    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    for number, count in merge_skip(short, need - aside):
+        left = aside
+        for x in reversed(long):
+            if count + left < need:
+                break
+            at = bisect_left(x, number)
+            left -= 1
+            count += at < len(x) and x[at] == number
         else:
-            ids, counts = np.unique(vec.ragged(self.doc, self.begin[short], self.end[short] - self.begin[short]), return_counts=True)
-        ok = (counts >= need - aside) & (100 * self.size[ids] >= self.p * len(q)) & (100 * len(q) >= self.p * self.size[ids])
-        ids, counts = ids[ok], counts[ok]
-        fresh = ~skip(ids)
-        ids, counts = ids[fresh], counts[fresh]
-        if not len(ids):
-            return []
-        if len(long):
-            probe = (long * len(self.size))[:, None] + ids
-            where = np.minimum(np.searchsorted(self.key, probe), len(self.key) - 1)
-            counts = counts + (self.key[where] == probe).sum(axis=0)
-        return ids[100 * counts >= self.p * (len(q) + self.size[ids] - counts)].tolist()
-
-
-def _links(ids: list[int], sets: list[np.ndarray], block: list[int], i: int, j: int, per_cent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between block i and block j of a cluster (within the block if i = j)."""
-    left = [k for k, b in enumerate(block) if b == i]
-    right = left if i == j else [k for k, b in enumerate(block) if b == j]
-    if not left or not right or len(ids) < 2:
-        return []
-    lists = Lists([sets[k] for k in left], per_cent)
-    root = np.arange(len(ids))  # always the final root: a join relabels the smaller part
-    left_at, out = np.array(left), []
-    for k in right:
-        mine = root[k]
-        for d in lists.search(sets[k], lambda n: root[left_at[n]] == mine):  # noqa: B023
-            other = left[d]
-            if root[other] != root[k]:
-                out.append((ids[other], ids[k]))
-                root[root == root[other]] = root[k]
-    return out
+            if count >= need:
+                yield number, count
+
+
+class Groups:
+    """Sets and which of them links have joined; `links` are the links that joined two groups."""
+
+    def __init__(self, sets: list[np.ndarray], per_cent: int, group: list[int] | None = None):
+        self.sets, self.p, self.links = [s.tolist() for s in sets], per_cent, []
+        self.arrays = sets
+        self.root = list(range(len(sets)))
+        first: dict[int, int] = {}
+        for k, g in enumerate(group or []):
+            self.root[k] = first.setdefault(g, k)
+
+    def find(self, k: int) -> int:
+        root = self.root
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    def _alike(self, a: int, b: int, common: int) -> bool:
+        return 100 * common >= self.p * (len(self.sets[a]) + len(self.sets[b]) - common)
+
+    def _join(self, a: int, b: int) -> None:
+        x, y = self.find(a), self.find(b)
+        if x != y:
+            self.links.append((a, b))
+            self.root[y] = x
+
+    def by_representatives(self) -> None:
+        """Joins every set with the groups whose representative it is similar to; a set of no group represents a new one."""
+        index: dict[int, list[int]] = {}
+        for k, q in enumerate(self.sets):
+            need = max(1, _least(len(q), self.p))
+            found = [x for s in q if (x := index.get(s)) is not None]
+            alike = [r for r, c in divide_skip(found, need) if self._alike(k, r, c)]
+            for r in alike:
+                self._join(r, k)
+            if not alike and self.find(k) == k:
+                for s in q:
+                    index.setdefault(s, []).append(k)
+
+    def by_lists(self, index: list[int], queries: list[int]) -> None:
+        """Joins each query with the similar sets of the index.  Sets of one group need no further search, so a query that shares
+        none of its rarest shingles with a set of another group is left out."""
+        if not index or not queries:
+            return
+        token = np.concatenate([self.arrays[k] for k in index])
+        doc = np.repeat(index, [len(self.sets[k]) for k in index])
+        order = np.lexsort((doc, token))
+        doc = doc[order]
+        unique, begin = np.unique(token[order], return_index=True)
+        if not len(unique):
+            return
+        end = np.append(begin[1:], len(order))
+        roots = np.array([self.find(k) for k in range(len(self.sets))])
+        low, high = np.minimum.reduceat(roots[doc], begin), np.maximum.reduceat(roots[doc], begin)
+        size = np.array([len(self.sets[k]) for k in queries])
+        asked, row = np.concatenate([self.arrays[k] for k in queries]), np.repeat(np.arange(len(queries)), size)
+        at = np.minimum(np.searchsorted(unique, asked), len(unique) - 1)
+        inside = unique[at] == asked
+        order = np.lexsort((asked, np.where(inside, (end - begin)[at], 0), row))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+        rare = order[place < (size - -(-self.p * size // 100) + 1)[row]]
+        own = roots[np.array(queries)][row[rare]]
+        other = inside[rare] & ((low[at[rare]] != own) | (high[at[rare]] != own))
+        cut = np.concatenate(([0], np.cumsum(size))).tolist()
+        lists: dict[int, list[int]] = {}
+
+        def postings(t: int) -> list[int]:
+            if t not in lists:
+                lists[t] = doc[begin[t] : end[t]].tolist()
+            return lists[t]
+
+        for i in np.unique(row[rare[other]]).tolist():
+            k = queries[i]
+            hit = slice(cut[i], cut[i + 1])
+            found = [postings(t) for t in at[hit][inside[hit]].tolist()]
+            for d, c in divide_skip(found, max(1, _least(len(self.sets[k]), self.p))):
+                if self.find(d) != self.find(k) and self._alike(k, d, c):
+                    self._join(d, k)
+
+
+def links_within(sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets."""
+    g = Groups(sets, per_cent)
+    g.by_representatives()
+    if len({g.find(k) for k in range(len(sets))}) > 1:
+        g.by_lists(list(range(len(sets))), list(range(len(sets))))
+    return g.links
 
 
 def sets_of(df: DataFrame, words: int, key: str, text: str) -> DataFrame:
@@ -202,7 +275,7 @@ def _whole(raw: np.ndarray, width: int) -> np.ndarray:
 
 def _candidates(df: DataFrame, words: int, per_cent: int, key: str, text: str) -> DataFrame:
     """(a, b): classes, by their first hash, whose sets have a rare shingle in common; k classes on a list give k - 1 edges."""
-    n = parts(df.sparkSession)
+    n = parts(df)
     texts = sharded(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), n, "key").select("shard", "text")
 
     def rows(shard, part, block) -> pa.Table:
@@ -272,53 +345,104 @@ def _candidates(df: DataFrame, words: int, per_cent: int, key: str, text: str) -
     return dealt(sent, n, "part").mapInArrow(meet, "a long, b long")
 
 
-def join(df: DataFrame, words: int = 3, per_cent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of every row; two documents link when 100 * intersection >= per_cent * union."""
-    sets = saved(sets_of(df, words, key, text))
-    classes = saved(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")))
-    clusters = graph.components(_candidates(df, words, per_cent, key, text))
-    member = saved(classes.join(clusters, classes["s1"] == clusters["node"]).select("rep", "n", F.col("component").alias("cluster")))
-    blocks = member.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"))
-    large = blocks.where("blocks > 1").select(F.col("cluster").alias("_c"), "blocks")
-    member = graph.spread(member.select("rep", "cluster"), large, "cluster", "_c").select("rep", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    member = saved(member.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")))
-    texts = df.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("text"))
-    asked = split_by(texts, "rep", member.select("rep"))[0].join(member, "rep")
-    asked = asked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asked = asked.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "text")
+def _search(asked: DataFrame, words: int, per_cent: int, n: int) -> DataFrame:
+    """(a, b): links found among rows (cluster, i, j, kind, grp, rep, text) with equal cluster, i and j: rows of kind 0 among one
+    another, rows of kind 2 with those of kind 1.  grp is the group of a row, of which links are known already."""
 
     def run(batches):
         enter("jaccard")
-        now, ids, block, rows = None, [], [], []
+        now, rows = None, []
 
         def solve():
-            seen: dict[int, int] = {}  # a repeated key counts once
-            for k, r in enumerate(ids):
-                seen.setdefault(r, k)
+            seen: dict[int, tuple] = {}  # a repeated key counts once
+            for r in rows:
+                seen.setdefault(r[2], r)
             pick = list(seen.values())
-            sh, off = shingles(pa.array([rows[k] for k in pick], pa.string()), words)
-            return _links([ids[k] for k in pick], [sh[off[k] : off[k + 1]] for k in range(len(pick))], [block[k] for k in pick], now[1], now[2], per_cent)
+            ids, kind = [r[2] for r in pick], [r[0] for r in pick]
+            sh, off = shingles(pa.array([r[3] for r in pick], pa.string()), words)
+            sets = [sh[off[k] : off[k + 1]] for k in range(len(pick))]
+            if kind[0] == 0:
+                out = links_within(sets, per_cent)
+            else:
+                g = Groups(sets, per_cent, [r[1] for r in pick])
+                queries = {r[2] for r in rows if r[0] == 2}
+                g.by_lists([k for k, x in enumerate(kind) if x == 1], [k for k, x in enumerate(ids) if x in queries])
+                out = g.links
+            out = np.array([(ids[a], ids[b]) for a, b in out], np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
         for b in batches:
-            out = []
-            c, i, j, bl, rep = (b.column(x).to_pylist() for x in ("cluster", "i", "j", "block", "rep"))
-            for k in range(b.num_rows):
-                if (c[k], i[k], j[k]) != now:
-                    if now is not None:
-                        out += solve()
-                    now, ids, block, rows = (c[k], i[k], j[k]), [], [], []
-                ids.append(rep[k])
-                block.append(bl[k])
-                rows.append(b.column("text")[k].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-        if now is not None:
-            out = solve()
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-
-    n = parts(df.sparkSession)
-    links = asked.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
-    comp = graph.components(links)
-    known = classes.join(comp, classes["rep"] == comp["node"], "left").where("copies > 1 OR component IS NOT NULL")
+            at = list(zip(*(b.column(x).to_pylist() for x in ("cluster", "i", "j")), strict=True))
+            own = list(zip(*(b.column(x).to_pylist() for x in ("kind", "grp", "rep")), strict=True))
+            for k, key in enumerate(at):
+                if key != now:
+                    if rows:
+                        yield solve()
+                    now, rows = key, []
+                rows.append((*own[k], b.column("text")[k].as_py()))
+        if rows:
+            yield solve()
+
+    by = ["cluster", "i", "j"]
+    return asked.select(*by, "kind", "grp", "rep", "text").repartition(n, *by).sortWithinPartitions(*by, "kind", "rep").mapInArrow(run, "a long, b long")
+
+
+def _every(n) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def _large_clusters(big: DataFrame, links: DataFrame, words: int, per_cent: int, n: int) -> DataFrame:
+    """(a, b): links within blocks and all others of clusters of several blocks; big has (cluster, blocks, rep, n, text)."""
+    before = None
+    while True:
+        comp = graph.components(links).select(F.col("node").alias("_n"), "component")
+        now = saved(big.select("cluster", "blocks", "rep", "n").join(comp, F.col("rep") == F.col("_n"), "left").select("cluster", "blocks", "rep", "n", F.coalesce("component", "rep").alias("grp")))
+        groups = saved(now.groupBy("cluster", "grp").agg(F.count("*").alias("docs"), F.sum("n").alias("size"), F.max(F.when(F.col("rep") == F.col("grp"), F.col("n"))).alias("own")))
+        per = groups.groupBy("cluster").agg(F.count("*").alias("groups"), F.sum("own").alias("own"), F.max_by("grp", F.struct("docs", "grp")).alias("largest"), F.sum("docs").alias("docs"), F.sum("size").alias("size"), F.max("docs").alias("most"))
+        open_ = saved(per.where("groups > 1"))
+        count = open_.agg(F.coalesce(F.sum("groups"), F.lit(0))).first()[0]
+        few = open_.count()
+        if not count:
+            return links
+        if before is not None and 10 * count > 9 * before:
+            break
+        before = count
+        # the group's least key is its representative
+        reps = graph.spread(groups.select("cluster", F.col("grp").alias("r")), open_.select(F.col("cluster").alias("_c"), _blocks("groups", "own").alias("b")), "cluster", "_c", "inner", few)
+        asked = big.select("rep", "text").join(reps.select(F.col("r").alias("rep"), "cluster", F.pmod(F.xxhash64("r", F.lit(count)), F.col("b")).cast("int").alias("i")), "rep")
+        links = saved(links.union(_search(asked.select("cluster", "i", F.lit(0).alias("j"), F.lit(0).alias("kind"), F.col("rep").alias("grp"), "rep", "text"), words, per_cent, n)))
+    rest = graph.spread(now, open_.select(F.col("cluster").alias("_c"), "largest", _blocks("docs", "size").alias("b"), _blocks(F.col("docs") - F.col("most"), F.col("size") * (1 - F.col("most") / F.col("docs"))).alias("q")), "cluster", "_c", "inner", few)
+    deal = lambda most: F.pmod(F.xxhash64("rep"), most).cast("int")
+    index = rest.select("cluster", deal(F.col("b")).alias("i"), _every(F.col("q")).alias("j"), F.lit(1).alias("kind"), "grp", "rep")
+    queries = rest.where("grp <> largest").select("cluster", _every(F.col("b")).alias("i"), deal(F.col("q")).alias("j"), F.lit(2).alias("kind"), "grp", "rep")
+    asked = index.union(queries).join(big.select("rep", "text"), "rep")
+    return links.union(_search(asked, words, per_cent, n))
+
+
+def _blocks(docs, size) -> Column:
+    of = lambda x, most: F.ceil((F.col(x) if isinstance(x, str) else x) / most)
+    return F.greatest(F.lit(1), of(docs, BLOCK_DOCS), of(size, BLOCK_SHINGLES)).cast("int")
+
+
+def join(df: DataFrame, words: int = 3, per_cent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) of every row; two documents link when 100 * intersection >= per_cent * union."""
+    integer(df, key)
+    n = parts(df)
+    sets = saved(sets_of(df, words, key, text))
+    classes = saved(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")))
+    clusters = graph.components(_candidates(df, words, per_cent, key, text))
+    member = saved(classes.where("rep IS NOT NULL").join(clusters.hint("merge"), classes["s1"] == clusters["node"]).select("rep", "n", F.col("component").alias("cluster")))
+    large = saved(member.groupBy("cluster").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks")).where("blocks > 1"))
+    several = large.count()
+    member = saved(graph.spread(member, large.withColumnRenamed("cluster", "_c"), "cluster", "_c", rows=several).select("rep", "n", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks")))
+    texts = df.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("text"))
+    asked = split_by(texts, "rep", member.select("rep"))[0].join(member.hint("merge"), "rep")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    links = saved(_search(asked.select("cluster", block.alias("i"), F.lit(0).alias("j"), F.lit(0).alias("kind"), F.col("rep").alias("grp"), "rep", "text"), words, per_cent, n))
+    if several:
+        links = _large_clusters(saved(asked.where("blocks > 1")), links, words, per_cent, n)
+    comp = saved(graph.components(links))
+    known = classes.join(comp.hint("merge"), classes["rep"] == comp["node"], "left").where("copies > 1 OR component IS NOT NULL")
     known = known.select(F.struct("s1", "s2").alias("_h"), F.coalesce("component", "rep").alias("component"))
     rows = sets.select("id", "n", F.when(F.col("n") > 0, F.struct("s1", "s2")).alias("h"))
     return graph.spread(rows, known, "h", "_h").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
