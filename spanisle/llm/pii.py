@@ -5,15 +5,18 @@ strongly a term reveals an entity: with n documents in all, n_c with the entity,
 PMI = log2(n_ct * n / (n_c * n_t)) is held against the entity's own information IC = log2(n / n_c).  A term with
 PMI >= ALPHA * IC, seen with the entity in MIN_DOCS documents or more, discloses it; in documents with that entity all its
 occurrences outside base spans are sanitised: removed where PMI >= IC (the term never occurs without the entity), else
-generalised.  All counts cover whole documents, base spans too; documents without an entity are left alone.  An entity of
-fewer than MIN_DOCS documents can't have such terms, so its documents' words are not paired with it.
+generalised to `[TERM]`, for a corpus has no taxonomy of its words.  All counts cover whole documents, base spans too; documents
+without an entity are left alone.  An entity of fewer than MIN_DOCS documents can't have such terms, so its documents' words are not
+paired with it.
 
-A term is a run of ASCII letters and characters beyond ASCII, of any length, in lower case as to A-Z.
+A term is a run of ASCII letters and characters beyond ASCII, of any length, in lower case as to A-Z.  A document is a row, whatever
+its key: rows of one key, or of none, each count and are each sanitised by their own entities.
+
+Texts are matched once; the table of what was found is written, and the counts and results are made from it.
 
 Cases: a null or empty text has no spans (and stays null where texts are returned); texts of any length are read whole, in
-linear time; overlapping spans are merged when texts are rewritten; repeated keys count once in statistics and keep all their
-rows; an empty table gives an empty table; extra columns pass through `sanitise` and are never read.  Rows with a null key count as one document and get no terms; columns
-named _spanisle_* are reserved.
+linear time; overlapping spans are merged when texts are rewritten; an empty table gives an empty table; extra columns pass through
+`sanitise`, whatever their names, and are never read by `detect`.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, vec
-from .common import dealt, enter, parts, saved
+from .common import dealt, enter, free, parts, saved
 
 ALPHA, MIN_DOCS = 0.9, 2
 KINDS = ("email", "ip", "card", "phone")
@@ -87,7 +91,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def _hash(words: list[bytes]) -> np.ndarray:
     buf = np.frombuffer(b"".join(words), np.uint8)
     end = np.cumsum([len(w) for w in words])
-    return vec.Rolling(buf).segments(end - [len(w) for w in words], end).view(np.int64) if words else np.zeros(0, np.int64)
+    return vec.Segments(buf, end - [len(w) for w in words], end).hashes.view(np.int64) if words else np.zeros(0, np.int64)
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +101,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     s, e = vec.runs(_WORD[buf], off)
     keep = _WORD[buf[s]] if len(s) else np.zeros(0, bool)
     s, e = s[keep], e[keep]
-    h, row = vec.Rolling(buf).segments(s, e), vec.rows_of(s, off)
+    h, row = vec.Segments(buf, s, e).hashes, vec.rows_of(s, off)
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
@@ -105,29 +109,40 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[new], row[new]
 
 
-def _hits(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows with base spans, their spans, and the hashes of their entities."""
+class _Names:
+    """Names of columns that a table does not have."""
+
+    def __init__(self, df: DataFrame):
+        self.row, self.spans, self.own, self.terms, self.all = (free(df, x) for x in ("row", "spans", "own", "terms", "all"))
+
+
+def _scan(df: DataFrame, text: str, names: _Names, plain: bool) -> DataFrame:
+    """Every row with a number, its base spans, and the hashes of its entities; without `plain`, texts of no span become null."""
     keep = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches):
         enter("pii")
         for b in batches:
-            rows, spans, own = [], [], []
-            for i, t in enumerate(b.column(keep.index(text)).to_pylist()):
-                if t and (s := base_spans(t)):
-                    rows.append(i)
-                    spans.append([f"{k}:{x}:{y}" for k, x, y in s])
-                    own.append(np.unique(_hash([f"{k}:{t[x:y]}".translate(_FOLD).encode() for k, x, y in s])))
-            got = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*got.columns, pa.array(spans, pa.list_(pa.string())), pa.array(own, pa.list_(pa.int64()))], [*keep, "_spanisle_spans", "_spanisle_own"])
-
-    return df.mapInArrow(run, f"{schema}, _spanisle_spans array<string>, _spanisle_own array<long>")
+            spans, own, some = [], [], []
+            for t in b.column(keep.index(text)).to_pylist():
+                s = base_spans(t) if t else []
+                some.append(bool(s))
+                spans.append([f"{k}:{x}:{y}" for k, x, y in s])
+                own.append(np.unique(_hash([f"{k}:{t[x:y]}".translate(_FOLD).encode() for k, x, y in s])) if s else ())
+            cols = list(b.columns)
+            if not plain:
+                i = keep.index(text)
+                cols[i] = pc.if_else(pa.array(some, pa.bool_()), cols[i], pa.scalar(None, cols[i].type))
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, pa.list_(pa.string())), pa.array(own, pa.list_(pa.int64()))], [*keep, names.spans, names.own])
+
+    found = df.mapInArrow(run, f"{schema}, {names.spans} array<string>, {names.own} array<long>")
+    return saved(found.withColumn(names.row, F.monotonically_increasing_id()))
 
 
 def _document_counts(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """(t, n_t): in how many rows each wanted term occurs.  All terms are counted: each task sums its own, packed by hash range."""
-    n = parts(df.sparkSession)
+    n = parts(df)
 
     def count(batches):
         enter("pii")
@@ -176,13 +191,12 @@ def _document_counts(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return dealt(blocks.union(asked), n, "part").mapInArrow(add, "t long, n_t long")
 
 
-def _disclosing(df: DataFrame, hits: DataFrame, key: str, text: str, alpha: float, min_docs: int) -> DataFrame:
-    """(_spanisle_k, _spanisle_terms array<struct<t, gone>>): for each document with entities the terms that disclose one of them."""
-    own = hits.select(F.col(f"`{key}`").alias("k"), F.explode("_spanisle_own").alias("e")).distinct()
-    own = saved(own)
+def _disclosing(df: DataFrame, hits: DataFrame, text: str, names: _Names, alpha: float, min_docs: int) -> DataFrame:
+    """(_row, _terms array<struct<t, gone>>): for each row with entities the terms that disclose one of them."""
+    own = hits.select(F.col(names.row).alias("k"), F.explode(names.own).alias("e"))
     n = df.count()
     n_c = saved(own.groupBy("e").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= min_docs))
-    often = graph.spread(own, n_c.select(F.col("e").alias("_e")), "e", "_e", "inner").groupBy("k").agg(F.collect_set("e").alias("es"))
+    often = graph.spread(own, n_c.select(F.col("e").alias("_e")), "e", "_e", "inner", n_c.count()).groupBy("k").agg(F.collect_list("e").alias("es"))
 
     def run(batches):
         enter("pii")
@@ -193,35 +207,34 @@ def _disclosing(df: DataFrame, hits: DataFrame, key: str, text: str, alpha: floa
                 at = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=m))))
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("es"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(t.view(np.int64)))], ["k", "es", "ts"])
 
-    texts = hits.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("text"))
-    found = texts.join(often, texts["_k"].eqNullSafe(often["k"])).select("k", "es", "text")
-    whole = found.mapInArrow(run, f"k {df.schema[key].dataType.simpleString()}, es array<long>, ts array<long>")
-    each = whole.select("k", F.explode("es").alias("e"), "ts").select("k", "e", F.explode("ts").alias("t"))
-    each = saved(each.distinct())  # rows of one key are one document
+    texts = hits.select(F.col(names.row).alias("_k"), F.col(f"`{text}`").alias("text"))
+    whole = texts.join(often, F.col("_k") == F.col("k")).select("k", "es", "text").mapInArrow(run, "k long, es array<long>, ts array<long>")
+    each = saved(whole.select("k", F.explode("es").alias("e"), "ts").select("k", "e", F.explode("ts").alias("t")))
     n_ct = each.groupBy("e", "t").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= min_docs)
     pairs = saved(n_ct.join(n_c, "e"))
     n_t = _document_counts(df, text, pairs.select("t").distinct())
     pmi = F.log2(F.col("n_ct") * F.lit(float(n)) / (F.col("n_c") * F.greatest("n_t", "n_ct")))
     ic = F.log2(F.lit(float(n)) / F.col("n_c"))
     found = pairs.join(n_t, "t").withColumn("pmi", pmi).withColumn("ic", ic).where((F.col("ic") > 0) & (F.col("pmi") >= alpha * F.col("ic")))
-    found = found.select(F.struct("e", "t").alias("_et"), (F.col("pmi") >= F.col("ic")).alias("gone"))
-    met = graph.spread(each.select("k", F.struct("e", "t").alias("et"), "t"), found, "et", "_et", "inner")
-    return met.groupBy("k", "t").agg(F.max("gone").alias("gone")).groupBy(F.col("k").alias("_spanisle_k")).agg(F.sort_array(F.collect_list(F.struct("t", "gone"))).alias("_spanisle_terms"))
+    found = saved(found.select(F.struct("e", "t").alias("_et"), (F.col("pmi") >= F.col("ic")).alias("gone")))
+    met = graph.spread(each.select("k", F.struct("e", "t").alias("et"), "t"), found, "et", "_et", "inner", found.count())
+    return met.groupBy("k", "t").agg(F.max("gone").alias("gone")).groupBy(F.col("k").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("t", "gone"))).alias("_terms"))
 
 
-def _with_terms(df: DataFrame, key: str, text: str, alpha: float, min_docs: int) -> DataFrame:
-    """Rows with base spans, and `_spanisle_all`: all their spans as kind:start:end, by kind and start."""
-    hits = saved(_hits(df, key, text))
-    terms = _disclosing(df, hits, key, text, alpha, min_docs)
-    rows = hits.join(terms, hits[key] == terms["_spanisle_k"], "left")
+def _with_terms(df: DataFrame, text: str, names: _Names, plain: bool, alpha: float, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with base spans, and all their spans as kind:start:end, by kind and start; rows without)."""
+    found = _scan(df, text, names, plain)
+    hits = found.where(F.size(names.spans) > 0)
+    terms = _disclosing(df, hits, text, names, alpha, min_docs)
     keep = df.columns
+    rows = hits.join(terms, F.col(names.row) == F.col("_row"), "left").select(*[F.col(f"`{c}`") for c in keep], names.spans, F.col("_terms").alias(names.terms))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches):
         enter("pii")
         for b in batches:
             out = []
-            for t, spans, terms in zip(b.column(keep.index(text)).to_pylist(), b.column("_spanisle_spans").to_pylist(), b.column("_spanisle_terms").to_pylist(), strict=True):
+            for t, spans, terms in zip(b.column(keep.index(text)).to_pylist(), b.column(names.spans).to_pylist(), b.column(names.terms).to_pylist(), strict=True):
                 extra = []
                 if terms:
                     gone = {x["t"]: x["gone"] for x in terms}
@@ -235,33 +248,21 @@ def _with_terms(df: DataFrame, key: str, text: str, alpha: float, min_docs: int)
                             if i < 0 or reach[i] <= m.start():
                                 extra.append(("removed" if gone[h] else "term", m.start(), m.end()))
                 out.append(spans + [f"{k}:{s}:{e}" for k, s, e in sorted(extra)])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], b.column("_spanisle_spans"), pa.array(out, pa.list_(pa.string()))], [*keep, "_spanisle_spans", "_spanisle_all"])
-
-    return rows.select(*[F.col(f"`{c}`") for c in keep], "_spanisle_spans", "_spanisle_terms").mapInArrow(run, f"{schema}, _spanisle_spans array<string>, _spanisle_all array<string>")
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], b.column(names.spans), pa.array(out, pa.list_(pa.string()))], [*keep, names.spans, names.all])
 
-
-def _plain(df: DataFrame, text: str) -> DataFrame:
-    """Rows without base spans."""
-    keep = df.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-    def run(batches):
-        enter("pii")
-        for b in batches:
-            yield b.filter(pa.array([not (t and base_spans(t)) for t in b.column(keep.index(text)).to_pylist()], pa.bool_()))
-
-    return df.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"{schema}, {names.spans} array<string>, {names.all} array<string>"), found.where(F.size(names.spans) == 0).select(*[F.col(f"`{c}`") for c in keep])
 
 
 def detect(df: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms) of every row."""
     own = df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
-    found = _with_terms(own, key, text, alpha, min_docs)
-    base, all_ = F.col("_spanisle_spans"), F.col("_spanisle_all")
+    names = _Names(own)
+    found, rest = _with_terms(own, text, names, False, alpha, min_docs)
+    base, all_ = F.col(names.spans), F.col(names.all)
     of = lambda k: F.size(F.filter(base, lambda s: s.startswith(f"{k}:"))).cast("long").alias(f"n_{k}")
-    hit = found.select(F.col(key), *(of(k) for k in KINDS), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(all_, ",").alias("spans"), (F.size(all_) - F.size(base)).cast("long").alias("n_terms"))
+    hit = found.select(F.col(f"`{key}`"), *(of(k) for k in KINDS), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(all_, ",").alias("spans"), (F.size(all_) - F.size(base)).cast("long").alias("n_terms"))
     none = hashlib.sha256(b"").hexdigest()
-    rest = _plain(own, text).select(F.col(key), *(F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS), F.lit(none).alias("base_sha256"), F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_terms"))
+    rest = rest.select(F.col(f"`{key}`"), *(F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS), F.lit(none).alias("base_sha256"), F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_terms"))
     return hit.union(rest)
 
 
@@ -281,19 +282,19 @@ def rewrite(text: str, spans: list[str]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(df: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
+def sanitise(df: DataFrame, text: str = "text", alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
     """df with sanitised texts; rows without an entity are unchanged."""
-    keep = df.columns
+    keep, names = df.columns, _Names(df)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches):
         enter("pii")
         for b in batches:
             i = keep.index(text)
-            new = [rewrite(t, s) for t, s in zip(b.column(i).to_pylist(), b.column("_spanisle_all").to_pylist(), strict=True)]
+            new = [rewrite(t, s) for t, s in zip(b.column(i).to_pylist(), b.column(names.all).to_pylist(), strict=True)]
             cols = list(b.columns[: len(keep)])
             cols[i] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(cols, keep)
 
-    found = _with_terms(df, key, text, alpha, min_docs)
-    return found.select(*[F.col(f"`{c}`") for c in keep], "_spanisle_all").mapInArrow(run, schema).union(_plain(df, text))
+    found, rest = _with_terms(df, text, names, True, alpha, min_docs)
+    return found.select(*[F.col(f"`{c}`") for c in keep], names.all).mapInArrow(run, schema).union(rest)
