@@ -3,11 +3,13 @@
 `mux` stores a payload of 8-bit samples as a transport stream: a program association and a program map table before each
 random-access point, then one elementary stream of packets (PES) with presentation timestamps, a program clock reference and
 the random-access flag.  `demux` parses any stream of this kind: tables with their checksums, continuity counters,
-reassembled elementary packets, timestamps and random-access points.
+reassembled elementary packets, timestamps and random-access points.  `store` makes the media column with its index, `read` parses
+what was stored; `digests` writes the column as a table and reads it back.
 
 Cases: a null or empty text is stored as one padded unit; texts of any length are stored whole; equal texts give equal bytes;
-an empty table gives an empty table; extra columns are never read.  A stream with lost packets yields what can be put
-together and counts the gaps.
+rows with a null key and repeated rows are stored as any other and keep their key; an empty table gives an empty table; extra
+columns are never read, whatever their names.  A stream with lost packets yields what can be put together and counts the gaps, but
+for those that a discontinuity indicator announces; bytes that are no whole packets raise ValueError.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import vec
-from .common import enter
+from .common import enter, saved
 
 PACKET, UNIT, FRAMES, EVERY = 188, 192, 8, 8
 PMT_PID, ES_PID, PRIVATE, STREAM_ID = 0x1000, 0x100, 0x06, 0xBD
@@ -159,8 +161,15 @@ def _sections(pk: np.ndarray, begin: np.ndarray) -> tuple[list[bytes], int]:
     return good, bad
 
 
+def _discontinuous(pk: np.ndarray) -> np.ndarray:
+    """Packets whose adaptation field says that the counter may jump here."""
+    return (pk[:, 3] & 0x20 > 0) & (pk[:, 4] > 0) & (pk[:, 5] & 0x80 > 0)
+
+
 def demux(media: bytes) -> Stream:
     """The first elementary stream of the first program."""
+    if len(media) % PACKET:
+        raise ValueError("a stream must be whole packets of 188 bytes")
     pk = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if (pk[:, 0] != 0x47).any():
         raise ValueError("a packet lacks its sync byte")
@@ -189,13 +198,14 @@ def demux(media: bytes) -> Stream:
     if at + 5 > len(s) - 4:
         return out
     out.kind, out.pid = s[at], (s[at + 1] & 31) << 8 | s[at + 2]
+    told = _discontinuous(pk)
     for p in (0, pmt, out.pid):
-        c = (pk[(pid == p) & has, 3] & 15).astype(np.int64)
-        step = np.diff(c) & 15
-        out.gaps += int((step > 1).sum())  # a step of 0 is a packet sent twice
+        m = (pid == p) & has
+        step = np.diff((pk[m, 3] & 15).astype(np.int64)) & 15
+        out.gaps += int(((step > 1) & ~told[m][1:]).sum())  # a step of 0 is a packet sent twice
     where = np.flatnonzero((pid == out.pid) & has)
     if len(where) > 1:
-        again = np.concatenate(([False], np.diff((pk[where, 3] & 15).astype(np.int64)) == 0))
+        again = np.concatenate(([False], (np.diff((pk[where, 3] & 15).astype(np.int64)) == 0) & ~told[where][1:]))
         where = where[~again]
     es, b, f = pk[where], begin[where], first[where]
     started = np.cumsum(f) > 0
@@ -227,6 +237,8 @@ def demux(media: bytes) -> Stream:
 def demux_many(media: np.ndarray, off: np.ndarray) -> list[Stream]:
     """demux of consecutive streams; those that share their tables are parsed together, others one by one."""
     one_by_one = lambda: [demux(media[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    if (np.diff(off) % PACKET).any():
+        return one_by_one()
     pk, n = media.reshape(-1, PACKET), len(off) - 1
     doc = np.repeat(np.arange(n), np.diff(off) // PACKET)
     pid = (pk[:, 1] & 31).astype(np.int64) << 8 | pk[:, 2]
@@ -234,7 +246,7 @@ def demux_many(media: np.ndarray, off: np.ndarray) -> list[Stream]:
     control = pk[:, 3] >> 4 & 3
     begin = np.where(control & 2, 5 + pk[:, 4].astype(np.int64), 4)
     has = (control & 1) > 0
-    if not n or (pk[:, 0] != 0x47).any() or not has.all():
+    if not n or (pk[:, 0] != 0x47).any() or not has.all() or _discontinuous(pk).any():
         return one_by_one()
     m = (pid == 0) & first
     pats, bad = _sections(pk[m], begin[m])
@@ -296,26 +308,20 @@ def feature(s: Stream) -> str:
     return f"program={s.program} pid={s.pid} type={s.kind} packets={s.packets} gaps={s.gaps} units={len(s.pts)} access={len(s.access)} pts={first}-{last}"
 
 
-def store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, media binary, pts array<long>, access array<struct<unit, pts, at>>): each text as a stream, with its index."""
+def _binary(data: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data)])
 
-    def run(batches):
-        enter("mpegts")
-        for b in batches:
-            for i, t in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
-                m = mux(padded(t or b""))
-                s = demux(m)
-                points = [{"unit": int(u), "pts": int(s.pts[u]), "at": int(a)} for u, a in zip(s.access, s.access_at, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("key").slice(i, 1), pa.array([m], pa.binary()), pa.array([s.pts.tolist()], pa.list_(pa.int64())), pa.array([points], pa.list_(pa.struct([("unit", pa.int64()), ("pts", pa.int64()), ("at", pa.int64())])))], ["key", "media", "pts", "access"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, f"key {kind}, media binary, pts array<long>, access array<struct<unit:long,pts:long,at:long>>").withColumnRenamed("key", key)
+def _rows(cols: list, lists: list[np.ndarray], kind: pa.DataType | None = None) -> pa.Array:
+    off = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))), pa.int32())
+    return pa.ListArray.from_arrays(off, cols[0] if kind is None else pa.StructArray.from_arrays(cols, fields=list(kind)))
 
 
-def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """What was stored of each text and read back, as digests; storing and reading happen in one pass."""
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+_POINT = pa.struct([("unit", pa.int64()), ("pts", pa.int64()), ("at", pa.int64())])
+
+
+def store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, media binary, pts array<long>, access array<struct<unit, pts, at>>): each text as a stream, with its index."""
 
     def run(batches):
         enter("mpegts")
@@ -329,11 +335,37 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 data = np.full(int(to[-1]), 32, np.uint8)
                 data[np.arange(len(buf)) + np.repeat(to[:-1] - off[:-1], size)] = buf
                 media, at = mux_many(data, to)
-                raw, at = memoryview(media.tobytes()), at.tolist()
-                rows = []
-                for j, s in enumerate(demux_many(np.frombuffer(raw, np.uint8), np.array(at))):
-                    rows.append((int(size[j]), len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), at[j + 1] - at[j], hashlib.sha256(raw[at[j] : at[j + 1]]).hexdigest(), feature(s)))
-                yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["key", *names])
+                found = demux_many(media, at)
+                unit, pts, place = (np.concatenate(x) for x in zip(*((s.access, s.pts[s.access], s.access_at) for s in found), strict=True))
+                points = _rows([pa.array(unit), pa.array(pts), pa.array(place)], [s.access for s in found], _POINT)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(size), _binary(media, at), _rows([pa.array(np.concatenate([s.pts for s in found]))], [s.pts for s in found]), points], ["key", "n_bytes", "media", "pts", "access"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("key", key)
+    return df.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, f"key {kind}, n_bytes long, media binary, pts array<long>, access array<struct<unit:long,pts:long,at:long>>").withColumnRenamed("key", key)
+
+
+def read(files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Digests of stored streams, of what they are parsed to, and a line on their structure."""
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def run(batches):
+        enter("mpegts")
+        for b in batches:
+            for i, n in vec.slices(b, "media", 1 << 20):
+                part = b.slice(i, n)
+                media, at = vec.packed(part.column("media"))
+                raw, rows = memoryview(media.tobytes()), []
+                size, cut = part.column("n_bytes").to_pylist(), at.tolist()
+                for j, s in enumerate(demux_many(media, at)):
+                    own = raw[cut[j] : cut[j + 1]]
+                    rows.append((size[j], len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(own), hashlib.sha256(own).hexdigest(), feature(s)))
+                yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["key", *names])
+
+    kind = files.schema[key].dataType.simpleString()
+    return files.selectExpr(f"`{key}` AS key", "n_bytes", "media").mapInArrow(run, f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("key", key)
+
+
+def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """What was stored of each text in a written media column, and what was read back, as digests."""
+    return read(saved(store(df, key, text)), key)
