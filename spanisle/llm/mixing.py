@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import saved
+from .common import free, saved
 
 BUCKET_DOCS, LEAVES_MOST = 2000, 20_000
 NONE = "none"
@@ -97,9 +97,10 @@ def select(df: DataFrame, key: str = "doc_id", **kind) -> DataFrame:
     """The documents of df that are selected, whole and with all their columns, once for each epoch that selects them.
 
     Rows that share a key are selected together, each as often as the most often selected one."""
-    chosen = mix(df, key=key, **kind).groupBy(F.col(key).alias("_spanisle_k")).agg(F.max("epoch").alias("_spanisle_e"))
-    rows = df.join(chosen, df[key].eqNullSafe(chosen["_spanisle_k"]))
-    return rows.withColumn("_spanisle_e", F.explode(F.sequence(F.lit(0).cast("long"), "_spanisle_e"))).drop("_spanisle_k", "_spanisle_e")
+    k, e = free(df, "k"), free(df, "e")
+    chosen = mix(df, key=key, **kind).groupBy(F.col(f"`{key}`").alias(k)).agg(F.max("epoch").alias(e))
+    rows = df.join(chosen, df[f"`{key}`"].eqNullSafe(chosen[k]))
+    return rows.withColumn(e, F.explode(F.sequence(F.lit(0).cast("long"), e))).drop(k, e)
 
 
 def oracle(weights: dict[str, dict[str, int]], default: int, share: float, epochs: int, seed: str, domain_sql: str) -> str:
