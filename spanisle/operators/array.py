@@ -203,8 +203,11 @@ AGGREGATES = {
 
 def _aggregate_column(fn: str, arg: str, order: list[str]) -> Column:
     fn = fn.lower()
-    if fn not in AGGREGATES or fn in ("mad", "quantile"):
+    if fn not in AGGREGATES or fn == "mad":
         raise ArrayError(f"no aggregate is named {fn}")
+    if fn == "quantile":
+        arg, _, p = arg.partition(",")
+        return F.percentile(F.col(f"`{arg.strip()}`"), float(p or 0.5))
     if fn == "prod":
         return F.product(F.col(f"`{arg}`"))
     return F.expr(AGGREGATES[fn].format(arg if arg == "*" else f"`{arg}`", order=f"struct({', '.join(order)})"))
@@ -254,17 +257,16 @@ def window(a: Array, bounds: list[tuple[int, int]], calls: list[tuple[str, str,
     attrs = []
     if len(wide) <= 1:
         i = wide[0] if wide else 0
-        w = Window.partitionBy(*(d for j, d in enumerate(dims) if j != i)).orderBy(dims[i]).rangeBetween(-bounds[i][0], bounds[i][1])
-        df = a.df
-        for fn, arg, name in calls:
-            df = df.withColumn(name, _aggregate_column(fn, arg, dims).over(w))
+        df, by, own = _along(a.df, [d for j, d in enumerate(dims) if j != i], dims[i], *bounds[i])
+        w = Window.partitionBy(*by).orderBy(dims[i]).rangeBetween(-bounds[i][0], bounds[i][1])
+        df = df.select("*", *(_aggregate_column(fn, arg, dims).over(w).alias(name) for fn, arg, name in calls)).where(own)
     else:
         size = 1
         for low, high in bounds:
             size *= low + high + 1
         if size > CELLS_MOST:
             raise ArrayError(f"a neighbourhood of {size} cells is more than {CELLS_MOST}")
-        need = sorted({arg for _, arg, _ in calls if arg != "*"})
+        need = sorted({arg.partition(",")[0].strip() for _, arg, _ in calls if arg != "*"})
         cells = a.df.select(*dims, *need)
         for d, (low, high) in zip(dims, bounds, strict=True):
             if (low, high) != (0, 0):
@@ -276,6 +278,134 @@ def window(a: Array, bounds: list[tuple[int, int]], calls: list[tuple[str, str,
     return a.renamed(list(a.schema.dimensions), attrs, df)
 
 
+#: Cells along one dimension that one task takes where an array has no other dimension to be dealt by.
+RUN = 1_000_000
+
+
+def _along(df: DataFrame, by: list[str], place: str, low: int, high: int) -> tuple[DataFrame, list[str], Column]:
+    """(df, columns to deal it by, rows that are results) for frames from `low` before to `high` after along a column.
+
+    Without other columns to deal by, runs of the column are dealt, and rows near the ends of a run go to its neighbours too."""
+    if by:
+        return df, by, F.lit(True)
+    size = max(RUN, low + high + 1)
+    run = lambda shift: F.floor((F.col(f"`{place}`") + shift) / size)
+    df = df.withColumn("_run", F.explode(F.array_distinct(F.array(run(-high), run(0), run(low)))))
+    return df, ["_run"], F.col("_run") == run(0)
+
+
+#: How running values of a run continue those of all runs before.
+_CARRIED = {"sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b), "count": lambda a, b: a + F.coalesce(b, F.lit(0)), "min": lambda a, b: F.least(a, b), "max": lambda a, b: F.greatest(a, b)}
+
+
+def cumulate(a: Array, calls: list[tuple[str, str, str]], dim: str | None = None) -> Array:
+    """Running sums, counts, minima or maxima along a dimension (the first, if none is named), runs of it side by side."""
+    dim = next((d for d in a.schema.dims if d.lower() == (dim or a.schema.dims[0]).lower()), None)
+    if dim is None:
+        raise ArrayError("cumulate goes along a dimension of the array")
+    if bad := [fn for fn, _, _ in calls if fn.lower() not in _CARRIED]:
+        raise ArrayError(f"cumulate knows no {bad[0]}")
+    by = [d for d in a.schema.dims if d != dim]
+    cells = a.df.withColumn("_run", F.floor(F.col(f"`{dim}`") / RUN))
+    whole = cells.groupBy(*by, "_run").agg(*(_aggregate_column(fn, arg, [dim]).alias(f"_c{n}") for n, (fn, arg, _) in enumerate(calls)))
+    before = Window.partitionBy(*by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    carry = whole.select(*by, "_run", *({"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}[fn.lower()](f"_c{n}").over(before).alias(f"_b{n}") for n, (fn, _, _) in enumerate(calls)))
+    within = Window.partitionBy(*by, "_run").orderBy(dim).rowsBetween(Window.unboundedPreceding, 0)
+    df = cells.select("*", *(_aggregate_column(fn, arg, [dim]).over(within).alias(f"_c{n}") for n, (fn, arg, _) in enumerate(calls)))
+    df = df.join(carry, [*by, "_run"])
+    for n, (fn, _, name) in enumerate(calls):
+        df = df.withColumn(name, _CARRIED[fn.lower()](F.col(f"_c{n}"), F.col(f"_b{n}")))
+    return a.renamed(list(a.schema.dimensions), [Attribute(name, _type_of(df.schema[name].dataType.simpleString())) for _, _, name in calls], df)
+
+
+def variable_window(a: Array, dim: str, left: int, right: int, calls: list[tuple[str, str, str]]) -> Array:
+    """For each cell the aggregate of `left` cells that are not empty before it to `right` after it along a dimension."""
+    by = [d for d in a.schema.dims if d.lower() != dim.lower()]
+    if len(by) == len(a.schema.dims):
+        raise ArrayError("variable_window goes along a dimension of the array")
+    df, place = (a.df, dim) if by else (numbered(a.df, "_at", [F.col(f"`{dim}`")]), "_at")
+    df, by, own = _along(df, by, place, left, right)
+    w = Window.partitionBy(*by).orderBy(place).rowsBetween(-left, right)
+    df = df.select("*", *(_aggregate_column(fn, arg, a.schema.dims).over(w).alias(name) for fn, arg, name in calls)).where(own)
+    return a.renamed(list(a.schema.dimensions), [Attribute(name, _type_of(df.schema[name].dataType.simpleString())) for _, _, name in calls], df)
+
+
+def rank(a: Array, attr: str, by: list[str]) -> Array:
+    """The attribute with its rank, from 1, among the cells that agree on the named dimensions; equal values share the least rank."""
+    x = F.col(f"`{attr}`")
+    if by:
+        df = a.df.withColumn(f"{attr}_rank", F.rank().over(Window.partitionBy(*by).orderBy(x.asc_nulls_last())).cast("bigint"))
+    else:
+        at = numbered(a.df.select(x.alias("_x")), "_at", [F.col("_x").asc_nulls_last()]).groupBy("_x").agg((F.min("_at") + 1).alias(f"{attr}_rank"))
+        df = a.df.join(at, x.eqNullSafe(F.col("_x")))
+    kind = next(t for t in a.schema.attributes if t.name.lower() == attr.lower())
+    return a.renamed(list(a.schema.dimensions), [kind, Attribute(f"{attr}_rank", "int64", False)], df)
+
+
+def substitute(a: Array, b: Array, attrs: list[str]) -> Array:
+    """Nulls of the attributes (all, if none is named) become the first attribute of b's cell at 0."""
+    one = b.df.where(F.col(f"`{b.schema.dims[0]}`") == 0).agg(F.first(F.col(f"`{b.schema.attrs[0]}`")).alias("_new"))  # one row
+    df = a.df.crossJoin(F.broadcast(one))
+    for x in attrs or a.schema.attrs:
+        df = df.withColumn(x, F.coalesce(F.col(f"`{x}`"), F.col("_new").cast(a.df.schema[x].dataType)))
+    return Array(df.drop("_new"), a.schema)
+
+
+def thin(a: Array, steps: list[tuple[int, int]]) -> Array:
+    """Every step-th cell from a start along each dimension, numbered from 0."""
+    if len(steps) != len(a.schema.dims):
+        raise ArrayError("thin takes a start and a step for each dimension")
+    df = a.df
+    for d, (start, step) in zip(a.schema.dims, steps, strict=True):
+        at = F.col(f"`{d}`") - start
+        df = df.where((at >= 0) & (at % step == 0)).withColumn(d, F.expr(f"(`{d}` - {start}) DIV {step}"))
+    high = [None if d.high is None else (d.high - start) // step for d, (start, step) in zip(a.schema.dimensions, steps, strict=True)]
+    return a.renamed([replace(d, low=0, high=h) for d, h in zip(a.schema.dimensions, high, strict=True)], list(a.schema.attributes), df)
+
+
+def xgrid(a: Array, times: list[int]) -> Array:
+    """Each cell repeated that often along each dimension."""
+    if len(times) != len(a.schema.dims):
+        raise ArrayError("xgrid takes a number for each dimension")
+    df, dims = a.df, []
+    for d, n in zip(a.schema.dimensions, times, strict=True):
+        first = (F.col(f"`{d.name}`") - d.low) * n + d.low
+        df = df.withColumn(d.name, F.explode(F.sequence(first, first + n - 1)))
+        dims.append(replace(d, high=None if d.high is None else (d.high - d.low + 1) * n + d.low - 1))
+    return a.renamed(dims, list(a.schema.attributes), df)
+
+
+def reshape(a: Array, schema: ArraySchema | str) -> Array:
+    """The cells under other dimensions, of as many cells in all, in the same order by the last dimension first."""
+    schema = parse_schema(schema) if isinstance(schema, str) else schema
+    size = lambda dims: [d.high - d.low + 1 for d in dims]
+    if any(d.high is None for d in (*a.schema.dimensions[1:], *schema.dimensions[1:])):
+        raise ArrayError("reshape needs bounds of all dimensions but the first")
+    at = F.lit(0).cast("bigint")
+    for d in a.schema.dimensions:
+        at = at * (1 if d is a.schema.dimensions[0] else size([d])[0]) + F.col(f"`{d.name}`") - d.low
+    df, rest = a.df.withColumn("_at", at), F.col("_at")
+    for d in reversed(schema.dimensions[1:]):
+        n = size([d])[0]
+        df = df.withColumn(f"_d_{d.name}", rest % n + d.low).withColumn("_at", F.expr(f"_at DIV {n}"))
+    df = df.withColumn(f"_d_{schema.dims[0]}", F.col("_at") + schema.dimensions[0].low)
+    df = df.select(*(F.col(f"`_d_{d}`").alias(d) for d in schema.dims), *(F.col(f"`{x}`").alias(y) for x, y in zip(a.schema.attrs, schema.attrs, strict=True)))
+    return Array(df, ArraySchema(a.schema.attributes, schema.dimensions))
+
+
+def build(spark, schema: ArraySchema | str, expression: str) -> Array:
+    """An array of bounded dimensions with one attribute, an expression of them."""
+    schema = parse_schema(schema) if isinstance(schema, str) else schema
+    if any(d.high is None for d in schema.dimensions) or len(schema.attrs) != 1:
+        raise ArrayError("build takes one attribute and bounds of all dimensions")
+    df = None
+    for d in schema.dimensions:
+        one = spark.range(d.low, d.high + 1).withColumnRenamed("id", d.name)
+        df = one if df is None else df.crossJoin(one)
+    kind = TYPES.get(schema.attributes[0].type, schema.attributes[0].type)
+    return Array(df.select(*schema.dims, F.expr(expression).cast(kind).alias(schema.attrs[0])), schema)
+
+
 def sort(a: Array, *attrs: str) -> Array:
     """Attributes in ascending order along a new dimension n from 0; ties follow the old dimensions."""
     df = numbered(a.df, "n", [F.col(f"`{x}`").asc_nulls_last() for x in attrs] + [F.col(f"`{d}`") for d in a.schema.dims])
@@ -325,11 +455,14 @@ def distinct(a: Array) -> Array:
 
 
 def uniq(a: Array) -> Array:
-    """A sorted one-dimensional array without repeated neighbours."""
+    """A one-dimensional array without cells whose first attribute equals that of the cell before; 1, 2, 1 keeps all three."""
+    if len(a.schema.dims) != 1:
+        raise ArrayError("uniq takes an array of one dimension")
     x = a.schema.attrs[0]
-    d = a.df.groupBy(x).agg(F.min(a.schema.dims[0]).alias("_at"))
-    df = numbered(d, "i", [F.col("_at")])
-    return a.renamed([Dimension("i")], [a.schema.attributes[0]], df)
+    df = numbered(a.df.select(*a.schema.dims, x), "_at", [F.col(f"`{a.schema.dims[0]}`")])
+    before = df.select((F.col("_at") + 1).alias("_next"), F.col(f"`{x}`").alias("_before"))
+    df = df.join(before, F.col("_at") == F.col("_next"), "left").where(F.col("_next").isNull() | ~F.col(f"`{x}`").eqNullSafe(F.col("_before")))
+    return a.renamed([Dimension("i")], [a.schema.attributes[0]], numbered(df.select("_at", x), "i", [F.col("_at")]))
 
 
 def transpose(a: Array) -> Array:
