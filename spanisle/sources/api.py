@@ -6,7 +6,10 @@ they are parsed on the driver; a table of stored responses is flattened by execu
 from __future__ import annotations
 
 import base64
+import hmac
 import json
+import secrets
+import time
 import urllib.parse
 import urllib.request
 from collections.abc import Callable
@@ -44,11 +47,43 @@ def parse_call(text: str) -> dict:
     return q
 
 
+def _escaped(text: str) -> str:
+    return urllib.parse.quote(text, safe="-._~")
+
+
+def oauth1_header(auth: dict[str, str], method: str, url: str, params: list[tuple[str, str]], nonce: str | None = None, stamp: int | None = None) -> str:
+    """The Authorization header of OAuth 1.0 (RFC 5849) with HMAC-SHA1; params are those of the query and of a form body."""
+    own = {"oauth_consumer_key": auth["consumer_key"], "oauth_nonce": nonce or secrets.token_hex(16), "oauth_signature_method": "HMAC-SHA1", "oauth_timestamp": str(stamp or int(time.time())), "oauth_version": "1.0"}
+    if "access_token" in auth:
+        own["oauth_token"] = auth["access_token"]
+    base, _, tail = url.partition("?")
+    signed = sorted((_escaped(k), _escaped(v)) for k, v in [*own.items(), *params, *urllib.parse.parse_qsl(tail, True)])
+    text = "&".join([method, _escaped(base), _escaped("&".join(f"{k}={v}" for k, v in signed))])
+    key = f"{_escaped(auth['consumer_secret'])}&{_escaped(auth.get('access_secret', ''))}"
+    own["oauth_signature"] = base64.b64encode(hmac.new(key.encode(), text.encode(), "sha1").digest()).decode()
+    return "OAuth " + ", ".join(f'{k}="{_escaped(v)}"' for k, v in sorted(own.items()))
+
+
+def oauth2_token(auth: dict[str, str]) -> str:
+    """A bearer token by the client credentials grant of OAuth 2.0 (RFC 6749)."""
+    form = {"grant_type": "client_credentials"} | ({"scope": auth["scope"]} if "scope" in auth else {})
+    who = base64.b64encode(f"{urllib.parse.quote_plus(auth['client_id'])}:{urllib.parse.quote_plus(auth['client_secret'])}".encode()).decode()
+    request = urllib.request.Request(auth["token_url"], urllib.parse.urlencode(form).encode(), {"Authorization": f"Basic {who}", "Content-Type": "application/x-www-form-urlencoded"})
+    with urllib.request.urlopen(request, timeout=60) as r:  # noqa: S310
+        return json.loads(r.read())["access_token"]
+
+
 def fetch(endpoint: Endpoint, query: dict | str | None) -> str:
-    """The response of an endpoint; auth is none, basic (user, password) or token."""
+    """The response of an endpoint; auth is none, basic (user, password), token, OAuth 1.0 (consumer_key, consumer_secret, and
+    access_token, access_secret) or OAuth 2.0 (client_id, client_secret, token_url)."""
     text = query if isinstance(query, str) else urllib.parse.urlencode(query or {})
     headers = {}
-    if "user" in endpoint.auth:
+    if "consumer_key" in endpoint.auth:
+        form = endpoint.method != "POST" or endpoint.body == "form"
+        headers["Authorization"] = oauth1_header(endpoint.auth, endpoint.method, endpoint.url, urllib.parse.parse_qsl(text, True) if form else [])
+    elif "client_id" in endpoint.auth:
+        headers["Authorization"] = f"Bearer {oauth2_token(endpoint.auth)}"
+    elif "user" in endpoint.auth:
         headers["Authorization"] = "Basic " + base64.b64encode(f"{endpoint.auth['user']}:{endpoint.auth.get('password', '')}".encode()).decode()
     elif "token" in endpoint.auth:
         headers["Authorization"] = f"Bearer {endpoint.auth['token']}"
