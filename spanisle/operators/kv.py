@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,13 +13,23 @@ from ..plans.tokens import QuerySyntaxError
 KEYS = ["row", "cf", "cq"]
 
 
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"' r"|'(?:[^'\\]|\\.)*'", re.S)
+
+
+def _double_quoted(m: re.Match) -> str:
+    """A quoted string as JSON has it; in one between double quotes an apostrophe is a letter as any."""
+    if m[0][0] == '"':
+        return m[0]
+    return '"' + re.sub(r"\\(.)|(\")", lambda x: "'" if x[1] == "'" else '\\"' if x[2] or x[1] == '"' else x[0], m[0][1:-1], flags=re.S) + '"'
+
+
 def parse_scan(text: str) -> dict:
     """`{'op': 'scan', 'table': t, 'range': {'start': [row, cf, cq], 'end': [...]}}`; single quotes are allowed."""
     try:
         q = json.loads(text)
     except json.JSONDecodeError:
         try:
-            q = json.loads(text.replace("\\'", "\u0001").replace("'", '"').replace("\u0001", "'"))
+            q = json.loads(_STRING.sub(_double_quoted, text))
         except json.JSONDecodeError as e:
             raise QuerySyntaxError(f"not a JSON query: {e}") from None
     if not isinstance(q, dict) or "op" not in q or "table" not in q:
@@ -84,14 +95,16 @@ def aggregate(df: DataFrame, fn: str, by: list[str]) -> DataFrame:
 def terms(df: DataFrame, key: str, text: str, prefix: str = "word") -> dict[str, DataFrame]:
     """The four tables of a text corpus: edges (document to term), their transpose, term degrees, and the raw text."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9]+"), lambda w: w != "")
-    each = df.select(F.col(key).cast("string").alias("row"), F.explode(words).alias("w"))
+    row = F.col(key).cast("string").alias("row")
+    each = df.select(row, F.explode(words).alias("w"))
+    once = df.select(row, F.explode(F.array_distinct(words)).alias("w")).distinct()  # rows may share a key
     n = each.groupBy("row", "w").agg(F.count("*").alias("n"))
     term = F.concat(F.lit(f"{prefix}|"), F.col("w"))
     edge = n.select("row", F.lit("").alias("cf"), term.alias("cq"), F.col("n").cast("string").alias("value"))
     return {
         "edge": edge,
         "transpose": edge.select(F.col("cq").alias("row"), "cf", F.col("row").alias("cq"), "value"),
-        "degree": n.groupBy("w").agg(F.count("*").alias("d")).select(term.alias("row"), F.lit("").alias("cf"), F.lit("degree").alias("cq"), F.col("d").cast("string").alias("value")),
+        "degree": once.groupBy("w").agg(F.count("*").alias("d")).select(term.alias("row"), F.lit("").alias("cf"), F.lit("degree").alias("cq"), F.col("d").cast("string").alias("value")),
         "text": df.select(F.col(key).cast("string").alias("row"), F.lit("").alias("cf"), F.lit("text").alias("cq"), F.col(text).alias("value")).where("value IS NOT NULL"),
     }
 
