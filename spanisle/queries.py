@@ -4,6 +4,9 @@ REL holds relational queries: the text between bdrel( and ), and the DuckDB SQL
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,8 @@ from .engine import Engine, cast
 from .operators import array as ops
 from .operators import kv
 from .plans import telemetry
-from .sources import api
+from .session import shared_dir, written
+from .sources import api, binary
 from .streaming import windows
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -159,6 +163,19 @@ REL: dict[str, str | tuple[str, str]] = {
         "select case when p_retailprice < 900 then 0 when p_retailprice >= 2000 then 11 else cast(floor((p_retailprice - 900) / 110) as bigint) + 1 end as b, count(*) as n from part group by 1"),
     "fn_integer_division": ("select n_nationkey div 4 as q, mod(n_nationkey, 4) as r from nation", "select n_nationkey // 4 as q, mod(n_nationkey, 4) as r from nation"),
     "fn_split": ("select doc_id, size(split(text, ' ')) as n from documents", "select doc_id, len(string_split(text, ' ')) as n from documents"),
+    "fn_division": ("select n_nationkey, n_nationkey / 4 as q, (n_nationkey + 7) / (n_regionkey + 1) / 2 as r, (0 - n_nationkey) / 4 as m, cast(n_nationkey / 4.0 as double precision) as f, cast(n_nationkey as double precision) / 4 as g from nation",
+        "select n_nationkey, n_nationkey // 4 as q, (n_nationkey + 7) // (n_regionkey + 1) // 2 as r, -(n_nationkey // 4) as m, cast(n_nationkey / 4.0 as double) as f, cast(n_nationkey as double) / 4 as g from nation"),
+    "fn_division_group": ("select p_size / 10 as tens, count(*) as n, sum(p_size) / count(*) as mean from part group by p_size / 10", "select p_size // 10 as tens, count(*) as n, cast(sum(p_size) // count(*) as bigint) as mean from part group by 1"),
+    "fn_age": ("select o_orderkey, extract(year from age(cast('2002-03-01' as timestamp), o_orderdate)) as y, extract(month from age(cast('2002-03-01' as timestamp), o_orderdate)) as m, extract(day from age(cast('2002-03-01' as timestamp), o_orderdate)) as d from orders",
+        "select o_orderkey, extract(year from age(timestamp '2002-03-01', o_orderdate)) as y, extract(month from age(timestamp '2002-03-01', o_orderdate)) as m, extract(day from age(timestamp '2002-03-01', o_orderdate)) as d from orders"),
+    "fn_to_char": ("select event_id, to_char(ts, 'YYYY-MM-DD HH24:MI:SS') as t, to_char(ts, 'DD/MM/YY') as d from events", "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as t, strftime(ts, '%d/%m/%y') as d from events"),
+    "fn_similar": ("select p_partkey from part where p_type similar to '(SMALL|LARGE)%' and p_name similar to '%[13]_'", "select p_partkey from part where regexp_full_match(p_type, '(SMALL|LARGE).*') and regexp_full_match(p_name, '.*[13].')"),
+    "filter_tsquery": ("select doc_id from documents where to_tsvector('english', text) @@ to_tsquery('english', 'the & !(of | and) | with')",
+        "select doc_id from (select doc_id, regexp_split_to_array(lower(text), '[^a-z0-9]+') as w from documents) where list_contains(w, 'the') and not (list_contains(w, 'of') or list_contains(w, 'and')) or list_contains(w, 'with')"),
+    "agg_json": ("select n_regionkey, json_agg(n_name order by n_name desc) as names from nation group by n_regionkey", "select n_regionkey, cast(to_json(list(n_name order by n_name desc)) as varchar) as names from nation group by n_regionkey"),
+    "agg_ordered": ("select o_custkey, string_agg(cast(o_orderkey as varchar(20)), ',' order by o_totalprice desc, o_orderkey) as keys, element_at(array_agg(o_orderkey order by o_orderdate, o_orderkey) filter (where o_orderstatus <> 'P'), 1) as first from orders group by o_custkey",
+        "select o_custkey, string_agg(cast(o_orderkey as varchar), ',' order by o_totalprice desc, o_orderkey) as keys, list(o_orderkey order by o_orderdate, o_orderkey) filter (where o_orderstatus <> 'P')[1] as first from orders group by o_custkey"),
+    "agg_xml": ("select n_regionkey, xmlagg('<n>' || n_name || '</n>' order by n_name) as doc from nation group by n_regionkey", "select n_regionkey, string_agg('<n>' || n_name || '</n>', '' order by n_name) as doc from nation group by n_regionkey"),
     "pivot": ("select * from (select o_orderstatus, o_orderpriority, 1 as one from orders) pivot (sum(one) as n for o_orderstatus in ('F' as f, 'O' as o, 'P' as p))",
         "select o_orderpriority, sum(case when o_orderstatus = 'F' then 1 end) as f, sum(case when o_orderstatus = 'O' then 1 end) as o, sum(case when o_orderstatus = 'P' then 1 end) as p from orders group by 1"),
     "cte_recursive": "with recursive t(n) as (select 1 union all select n + 1 from t where n < 20) select n from t",
@@ -213,6 +230,22 @@ ASKED: dict[str, tuple[str, str | None]] = {
     "arr_distinct": (f"bdarray(distinct(project({_PART}, n)))", f"select row_number() over (order by n) - 1 as i, n from (select distinct n from ({_A}))"),
     "arr_transpose": (f"bdarray(transpose({_PART}))", f"select j, i, v, n from ({_A})"),
     "arr_unpack": (f"bdarray(unpack({_PART}, k))", f"select row_number() over (order by i, j) - 1 as k, i, j, v, n from ({_A})"),
+    "arr_cumulate": (f"bdarray(cumulate({_PART}, sum(n) as s, max(n) as m, count(*) as c, j))", f"select i, j, sum(n) over w as s, max(n) over w as m, count(*) over w as c from ({_A}) window w as (partition by i order by j)"),
+    "arr_cumulate_1d": (f"bdarray(cumulate(project(unpack({_PART}, k), n), sum(n) as s))", f"select k, sum(n) over (order by k) as s from (select row_number() over (order by i, j) - 1 as k, n from ({_A}))"),
+    "arr_variable_window": (f"bdarray(variable_window({_PART}, j, 2, 1, sum(n) as s))", f"select i, j, sum(n) over (partition by i order by j rows between 2 preceding and 1 following) as s from ({_A})"),
+    "arr_variable_window_1d": (f"bdarray(variable_window(project(unpack({_PART}, k), n), k, 1, 3, max(n) as m))", f"select k, max(n) over (order by k rows between 1 preceding and 3 following) as m from (select row_number() over (order by i, j) - 1 as k, n from ({_A}))"),
+    "arr_rank": (f"bdarray(rank({_PART}, v, i))", f"select i, j, v, rank() over (partition by i order by v) as v_rank from ({_A})"),
+    "arr_rank_all": (f"bdarray(rank({_PART}, n))", f"select i, j, n, rank() over (order by n) as n_rank from ({_A})"),
+    "arr_substitute": (f"bdarray(substitute(apply({_PART}, q, iif(n > 2, null, n)), build(<w:int64>[x=0:0,1,0], -7), q))", f"select i, j, v, n, case when n > 2 then -7 else n end as q from ({_A})"),
+    "arr_thin": (f"bdarray(thin({_PART}, 4, 3, 1, 2))", f"select (i - 4) // 3 as i, (j - 1) // 2 as j, v, n from ({_A}) where i >= 4 and (i - 4) % 3 = 0 and (j - 1) % 2 = 0"),
+    "arr_xgrid": (f"bdarray(xgrid(aggregate({_PART}, sum(n) as s, i), 3))", f"select i * 3 + k as i, s from (select i, sum(n) as s from ({_A}) group by i) cross join (select unnest([0, 1, 2]) as k)"),
+    "arr_reshape": (f"bdarray(reshape({_PART}, <v:double,n:int64>[a=0:9,10,0,b=0:199,200,0]))", f"select (i * 50 + j - 1) // 200 as a, (i * 50 + j - 1) % 200 as b, v, n from ({_A})"),
+    "arr_build": ("bdarray(build(<w:int64>[x=0:9,10,0,y=2:4,3,0], x * 10 + y))", "select x, y, x * 10 + y as w from (select unnest(range(10)) as x) cross join (select unnest([2, 3, 4]) as y)"),
+    "arr_uniq": (f"bdarray(uniq(project(unpack({_PART}, k), n)))", f"select row_number() over (order by k) - 1 as i, n from (select k, n, lag(n) over (order by k) as p from (select row_number() over (order by i, j) as k, n from ({_A}))) where p is null or p <> n"),
+    "arr_quantile": (f"bdarray(aggregate({_PART}, quantile(v, 0.25) as q, approxdc(n) as d, i))", f"select i, quantile_cont(v, 0.25) as q, count(distinct n) as d from ({_A}) group by i"),
+    "arr_aggregate_ends": (f"bdrel(select i, f, l, round(x, 4) as x from bdcast(bdarray(aggregate({_PART}, first_value(v) as f, last_value(v) as l, var(v) as x, i)), t, '(i bigint, f double precision, l double precision, x double precision)', relational))",
+        f"select i, arg_min(v, j) as f, arg_max(v, j) as l, round(var_samp(v), 4) as x from ({_A}) group by i"),
+    "cast_array_rel_flat": (f"bdrel(select v, n from bdcast(bdarray(filter({_PART}, j > 10)), a, '(v double precision, n bigint)', relational))", f"select v, n from ({_A}) where j > 10"),
     "cast_rel_array": ("bdarray(scan(bdcast(bdrel(select o_orderkey, o_totalprice, o_orderdate from orders), o, '<o_totalprice:double,o_orderdate:datetime>[o_orderkey=0:*,1000,0]', array)))",
         "select o_orderkey, o_totalprice, date_trunc('second', o_orderdate) as o_orderdate from orders"),
     "cast_array_rel": (f"bdrel(select i, count(*) as n, max(v) as m from bdcast(bdarray(filter({_PART}, j > 10)), a, '(i bigint, j bigint, v double precision, n bigint)', relational) group by i)", f"select i, count(*) as n, max(v) as m from ({_A}) where j > 10 group by i"),
@@ -220,7 +253,7 @@ ASKED: dict[str, tuple[str, str | None]] = {
     "nested_three_level": (f"bdrel(select t.i, t.w, r.r_name from bdcast(bdarray(aggregate(apply({_PART}, w, v + n), max(w) as w, i)), t, '(i bigint, w double precision)', relational) t join region r on t.i = r.r_regionkey where t.w > 0)",
         f"select i, max(v + n) as w, r_name from ({_A}) join region on i = r_regionkey group by i, r_name"),
     "catalog_objects": ("bdcatalog(select count(*) as n from catalog.objects where name <> 'x')", "select 14 as n"),
-    "catalog_islands": ("bdcatalog(islands (scope_name))", None),
+    "catalog_islands": ("bdcatalog(islands (scope_name))", "select unnest(['RELATIONAL', 'ARRAY', 'TEXT', 'API', 'STREAM']) as scope_name"),
 }
 del ASKED["cast_rel_kv"]
 
@@ -250,6 +283,10 @@ def cast_kv_rel(spark, sf_dir):
     return _kv_engine(spark, sf_dir).query("bdrel(select n_regionkey, count(*) as n, max(n_name) as m from bdcast(bdtext({'op':'scan','table':'kv'}), t, '(n_nationkey int, n_name varchar(25), n_regionkey int)', relational) group by n_regionkey)")
 
 
+def cast_kv_range_rel(spark, sf_dir):
+    return _kv_engine(spark, sf_dir).query("bdrel(select n_nationkey, n_name, n_regionkey from bdcast(bdtext({'op':'scan','table':'kv','range':{'start':['1','',''],'end':['2','','']}}), t, '(n_nationkey int, n_name varchar(25), n_regionkey int)', relational))")
+
+
 def cast_rel_kv(spark, sf_dir):
     return cast(engine(spark, sf_dir).catalog.relation("nation"), "relational", "text", "n_nationkey")
 
@@ -277,6 +314,52 @@ def api_call(spark, sf_dir):
     return e.query("bdapi({'name': 'weather', 'endpoint': 'now', 'query': {'q': 'x'}, 'result-key': 'result.list'})")
 
 
+def _readings(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    e.apis.add("meter", "all", fixture='{"list": [{"pos": 0, "v": 1.5, "who": "a"}, {"pos": 2, "v": 2.5, "who": "b"}, {"pos": 5, "v": null, "who": "c"}]}')
+    return e
+
+
+_METER = "bdapi({'name': 'meter', 'endpoint': 'all', 'query': {}, 'result-key': 'list'})"
+_METERED = "(VALUES (0, 1.5::DOUBLE, 'a'), (2, 2.5, 'b'), (5, NULL, 'c')) m(pos, v, who)"
+
+
+def cast_api_array(spark, sf_dir):
+    return _readings(spark, sf_dir).query(f"bdarray(filter(bdcast({_METER}, m, '<v:double,who:string>[pos=0:*,100,0]', array), pos > 0))")
+
+
+def cast_api_kv(spark, sf_dir):
+    e = _readings(spark, sf_dir)
+    return cast(e.query(_METER), "api", "text", "pos")
+
+
+def union_islands(spark, sf_dir):
+    """Rows of an array and of a key-value table in one relational union."""
+    return _kv_engine(spark, sf_dir).query(f"""bdrel(select k, 'array' as src from bdcast(bdarray(aggregate({_PART}, max(n) as m, i)), a, '(k bigint, m bigint)', relational) union all
+        select n_nationkey, 'kv' from bdcast(bdtext({{'op':'scan','table':'kv'}}), t, '(n_nationkey int, n_name varchar(25), n_regionkey int)', relational))""")
+
+
+def table_made(spark, sf_dir):
+    """SELECT INTO writes a table that later queries name, and an array that is stored is one."""
+    e = engine(spark, sf_dir)
+    e.query("bdrel(select o_custkey, count(*) as n into busy from orders group by o_custkey having count(*) > 11)")
+    e.query(f"bdarray(store(aggregate({_PART}, sum(n) as s, i), sums))")
+    return e.query("bdrel(select b.o_custkey, b.n, t.s from busy b join bdcast(bdarray(scan(sums)), t, '(i bigint, s bigint)', relational) on b.n = t.i)")
+
+
+def _binary(source: str, target: str):
+    """A table through files of two binary formats and back."""
+
+    def run(spark, sf_dir):
+        df = engine(spark, sf_dir).query("bdrel(select event_id, cast(event_id % 2 = 0 as boolean) as even, case when event_type = 'click' then null else value end as v, cast(user_id as int) as u, ts, cast(ts as date) as day, nullif(event_type, 'view') as kind from events)")
+        return binary.from_binary(binary.transformed(binary.to_binary(df, source), df.schema, source, target), df.schema, target)
+
+    return run
+
+
+_EVENTS = "select event_id, event_id % 2 = 0 as even, case when event_type = 'click' then null else value end as v, cast(user_id as int) as u, ts, cast(ts as date) as day, nullif(event_type, 'view') as kind from events"
+
+
 def _counts():
     return {"n": F.count("*"), "total": F.round(F.sum("value"), 2)}
 
@@ -299,6 +382,24 @@ def stream_procedure(spark, sf_dir):
     return e.query("bdstream(spenders, 2, 'purchase')")
 
 
+def stream_drain(spark, sf_dir):
+    """A table as a stream, drained to another table, which is read."""
+    made = written(engine(spark, sf_dir).query("bdrel(select event_id, user_id, value from events where event_type = 'purchase')"))
+    out = f"{shared_dir(spark)}/spanisle-tables/{uuid.uuid4().hex}"
+    stream = windows.read(spark, made.inputFiles()[0].rsplit("/", 1)[0], made.schema)
+    windows.drain(stream, windows.to_parquet(f"{out}/rows"), f"{out}/state", None).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("event_id", "user_id", "value")
+
+
+def alert_delivery(spark, sf_dir):
+    """What a client that asks is told of an alert on counts by type."""
+    e = engine(spark, sf_dir)
+    client = e.alerts.register("counts")
+    e.alerts.sink(client.alert)(e.query("bdrel(select event_type, count(*) as n from events group by event_type having count(*) > 10)"), 0)
+    told = json.loads(e.alerts.status(client.id))["data"]
+    return spark.createDataFrame([(r["event_type"], r["n"]) for r in told], "event_type string, n long")
+
+
 def telemetry_distance(spark, sf_dir):
     """Distances between the signatures of three queries."""
     e = engine(spark, sf_dir)
@@ -314,6 +415,13 @@ FUNCTIONS = {
     "kv_aggregate": (kv_aggregate, f"SELECT cq, count(*) AS value FROM ({_KV}) GROUP BY 1"),
     "cast_rel_kv": (cast_rel_kv, _KV),
     "cast_kv_rel": (cast_kv_rel, "select n_regionkey, count(*) as n, max(n_name) as m from nation group by 1"),
+    "cast_kv_range_rel": (cast_kv_range_rel, "select n_nationkey, n_name, n_regionkey from nation where cast(n_nationkey as varchar) >= '1' and cast(n_nationkey as varchar) < '2'"),
+    "cast_api_array": (cast_api_array, f"SELECT * FROM {_METERED} WHERE pos > 0"),
+    "cast_api_kv": (cast_api_kv, f"SELECT CAST(pos AS VARCHAR) AS row, '1' AS cf, 'pos' AS cq, CAST(pos AS VARCHAR) AS value FROM {_METERED} UNION ALL SELECT CAST(pos AS VARCHAR), '2', 'v', CAST(v AS VARCHAR) FROM {_METERED} WHERE v IS NOT NULL UNION ALL SELECT CAST(pos AS VARCHAR), '3', 'who', who FROM {_METERED}"),
+    "union_islands": (union_islands, f"select distinct i as k, 'array' as src from ({_A}) union all select n_nationkey, 'kv' from nation"),
+    "table_made": (table_made, f"select o_custkey, b.n, s from (select o_custkey, count(*) as n from orders group by 1 having count(*) > 11) b join (select i, sum(n)::bigint as s from ({_A}) group by i) t on b.n = t.i"),
+    "binary_copy_cells": (_binary("copy", "cells"), _EVENTS),
+    "binary_cells_copy": (_binary("cells", "copy"), _EVENTS),
     "d4m_edge": (_terms("edge"), f"SELECT CAST(doc_id AS VARCHAR) AS row, '' AS cf, 'word|' || w AS cq, CAST(n AS VARCHAR) AS value FROM ({_WORDS})"),
     "d4m_transpose": (_terms("transpose"), f"SELECT 'word|' || w AS row, '' AS cf, CAST(doc_id AS VARCHAR) AS cq, CAST(n AS VARCHAR) AS value FROM ({_WORDS})"),
     "d4m_degree": (_terms("degree"), f"SELECT 'word|' || w AS row, '' AS cf, 'degree' AS cq, CAST(count(*) AS VARCHAR) AS value FROM ({_WORDS}) GROUP BY w"),
@@ -326,7 +434,11 @@ FUNCTIONS = {
     "stream_session": (stream_session, """SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, user_id, count(*) AS n FROM
         (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s"""),
     "stream_procedure": (stream_procedure, "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING count(*) >= 2"),
-    "telemetry_distance": (telemetry_distance, None),
+    "stream_drain": (stream_drain, "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase'"),
+    "alert_delivery": (alert_delivery, "SELECT event_type, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 10"),
+    # (2 * trees + predicates + literals + 2 * objects) / 6: 0 and 1 differ in their one literal alone; from them to 2 it takes 3 edits of
+    # 4 nodes, a predicate and a literal, and one object of two has no partner; from 2 its first object takes the partner of the second
+    "telemetry_distance": (telemetry_distance, """SELECT a, b, CAST(d AS DOUBLE) / 6 AS distance FROM (VALUES (0, 0, 0), (0, 1, 1), (0, 2, 4.5), (1, 0, 1), (1, 1, 0), (1, 2, 4.5), (2, 0, 5.5), (2, 1, 5.5), (2, 2, 0)) t(a, b, d)"""),
 }
 
 
