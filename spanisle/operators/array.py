@@ -245,11 +245,16 @@ def cross_join(a: Array, b: Array, left: str, right: str, pairs: list[tuple[str,
     return a.renamed([*a.schema.dimensions, *(replace(d, name=name(d.name)) for d in dims)], [*a.schema.attributes, *(replace(x, name=name(x.name)) for x in b.schema.attributes)], df)
 
 
+#: Aggregates that pass over nulls and can be framed.
+_FRAMED = ("sum", "count", "avg", "min", "max", "var", "stdev")
+
+
 def window(a: Array, bounds: list[tuple[int, int]], calls: list[tuple[str, str, str]]) -> Array:
     """For each cell the aggregate of its neighbourhood: `low` cells before to `high` cells after, for each dimension.
 
-    With one dimension bounded it is a range frame.  Else each cell goes to all centres it can reach, a product of the bounds
-    that is limited to CELLS_MOST, and centres that hold no cell are dropped."""
+    With one dimension bounded it is a range frame.  With more, each cell goes to all centres it can reach along all of them but
+    the widest, along which a range frame over cells and centres does the rest.  Aggregates that need the cells' order or all their
+    values take each cell to all centres, a product of the bounds that is limited to CELLS_MOST.  Centres that hold no cell are dropped."""
     dims = a.schema.dims
     if len(bounds) != len(dims):
         raise ArrayError("window takes two bounds for each dimension")
@@ -260,6 +265,16 @@ def window(a: Array, bounds: list[tuple[int, int]], calls: list[tuple[str, str,
         df, by, own = _along(a.df, [d for j, d in enumerate(dims) if j != i], dims[i], *bounds[i])
         w = Window.partitionBy(*by).orderBy(dims[i]).rangeBetween(-bounds[i][0], bounds[i][1])
         df = df.select("*", *(_aggregate_column(fn, arg, dims).over(w).alias(name) for fn, arg, name in calls)).where(own)
+    elif all(fn.lower() in _FRAMED for fn, _, _ in calls):
+        last = max(wide, key=lambda i: sum(bounds[i]))
+        cells, one = a.df.withColumn("_cell", F.lit(1)), F.col("_cell")
+        for i in wide:
+            if i != last:
+                cells = cells.withColumn(dims[i], F.explode(F.sequence(F.col(f"`{dims[i]}`") - bounds[i][1], F.col(f"`{dims[i]}`") + bounds[i][0])))
+        need = sorted({arg for _, arg, _ in calls if arg != "*"})
+        cells = cells.select(*dims, *need, "_cell").unionByName(a.df.select(*dims), allowMissingColumns=True)
+        w = Window.partitionBy(*(d for i, d in enumerate(dims) if i != last)).orderBy(dims[last]).rangeBetween(-bounds[last][0], bounds[last][1])
+        df = cells.select("*", *(_aggregate_column(fn, "_cell" if arg == "*" else arg, dims).over(w).alias(name) for fn, arg, name in calls)).where(one.isNull())
     else:
         size = 1
         for low, high in bounds:

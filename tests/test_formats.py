@@ -166,3 +166,20 @@ def test_export(spark, tmp_path):
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "t")).count() == 2
     with pytest.raises(ValueError, match="form"):
         e.export("bdrel(select * from t)", str(tmp_path / "x"), "xml")
+
+
+def test_windows_of_several_dimensions(spark):
+    """Sparse cells, uneven bounds and nulls; framed aggregates and those that see all values agree with plain loops."""
+    cells = {(i, j, k): None if (i + j + k) % 5 == 0 else i * 7 + j * 3 + k for i in range(5) for j in range(6) for k in range(4) if (i * j + k) % 3}
+    a = ops.to_array(spark.createDataFrame([(*at, v) for at, v in cells.items()], "i long, j long, k long, v int"), "<v:int32>[i=0:*,100,0,j=0:*,100,0,k=0:*,100,0]")
+    bounds = [(1, 0), (2, 1), (0, 1)]
+    reach = lambda at: [v for c, v in cells.items() if all(x - lo <= y <= x + hi for x, y, (lo, hi) in zip(at, c, bounds, strict=True))]
+    got = ops.window(a, bounds, [("sum", "v", "s"), ("count", "*", "n"), ("count", "v", "c"), ("max", "v", "m")]).df.collect()
+    assert len(got) == len(cells)
+    for r in got:
+        near = reach((r["i"], r["j"], r["k"]))
+        some = [v for v in near if v is not None]
+        assert (r["s"], r["n"], r["c"], r["m"]) == (sum(some) if some else None, len(near), len(some), max(some, default=None))
+    for r in ops.window(a, bounds, [("median", "v", "m")]).df.collect():
+        some = sorted(v for v in reach((r["i"], r["j"], r["k"])) if v is not None)
+        assert r["m"] == (None if not some else (some[(len(some) - 1) // 2] + some[len(some) // 2]) / 2)
