@@ -258,11 +258,22 @@ def test_jaccard_odd_rows(odd):
 # components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 30, graph.LOCAL_EDGES])
+def test_components(spark, local, monkeypatch):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, j) for j in range(101, 400)] + [(500, 500), (None, 3), (7, 9), (401, 400)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 400), 100), 400: 400, 401: 400}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    rng = np.random.default_rng(local)
+    a, b = rng.integers(0, 3000, 2000), rng.integers(0, 3000, 2000)
+    root = np.arange(3000)
+    for x, y in zip(a, b, strict=True):
+        root[root == max(root[x], root[y])] = min(root[x], root[y])
+    nodes, label = graph.labels_of(a, b)
+    assert (label == root[nodes]).all() and set(nodes.tolist()) == set(a.tolist()) | set(b.tolist())
+    got = graph.components(spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == {int(n): int(root[n]) for n in {*a[a != b].tolist(), *b[a != b].tolist()}}
 
 
 # 5
