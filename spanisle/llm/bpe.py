@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import units, vec
-from .common import cache, enter
+from .common import cache, enter, wide
 
 #: White space as the Unicode property has it.
 WHITE = r"\t-\r \u0085   -     　"
@@ -190,7 +190,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids.astype(np.int32)))], ["key", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return wide(df.selectExpr(f"`{key}` AS key", f"`{text}` AS text")).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -228,4 +228,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(counts), digest(raw, cut), digest(back, at)], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return wide(df.selectExpr(f"`{key}` AS key", f"`{text}` AS text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)

@@ -91,6 +91,16 @@ def saved(df: DataFrame) -> DataFrame:
     return Saved(df.sparkSession)(df)
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """df in as many partitions as the cluster has cores, at least, so that a table of few row groups keeps all of them busy.
+
+    Only a scan of fewer partitions is dealt anew; a table of many files never is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def dealt(df: DataFrame, n: int, by: str) -> DataFrame:
     """Rows dealt to partitions 0..n-1 by the integer column `by`, without hashing."""
     return df.repartitionById(n, F.col(by).cast("int"))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, vec
-from .common import dealt, enter, integer, parts, saved, sharded, split_by
+from .common import dealt, enter, integer, parts, saved, sharded, split_by, wide
 
 U = np.uint64
 _WHITE = vec.lut(bytes([0x20, *range(9, 14)]))
@@ -234,7 +234,7 @@ def sets_of(df: DataFrame, words: int, key: str, text: str) -> DataFrame:
                 s1, s2 = set_hashes(sh, off)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(off)), pa.array(s1), pa.array(s2)], ["id", "n", "s1", "s2"])
 
-    return df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "id long, n long, s1 long, s2 long")
+    return wide(df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))).mapInArrow(run, "id long, n long, s1 long, s2 long")
 
 
 class Tokens:

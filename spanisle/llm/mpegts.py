@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import vec
-from .common import enter, saved
+from .common import enter, saved, wide
 
 PACKET, UNIT, FRAMES, EVERY = 188, 192, 8, 8
 PMT_PID, ES_PID, PRIVATE, STREAM_ID = 0x1000, 0x100, 0x06, 0xBD
@@ -341,7 +341,7 @@ def store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(size), _binary(media, at), _rows([pa.array(np.concatenate([s.pts for s in found]))], [s.pts for s in found]), points], ["key", "n_bytes", "media", "pts", "access"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, f"key {kind}, n_bytes long, media binary, pts array<long>, access array<struct<unit:long,pts:long,at:long>>").withColumnRenamed("key", key)
+    return wide(df.selectExpr(f"`{key}` AS key", f"`{text}` AS text")).mapInArrow(run, f"key {kind}, n_bytes long, media binary, pts array<long>, access array<struct<unit:long,pts:long,at:long>>").withColumnRenamed("key", key)
 
 
 def read(files: DataFrame, key: str = "doc_id") -> DataFrame:

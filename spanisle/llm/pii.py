@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, vec
-from .common import dealt, enter, free, parts, saved
+from .common import dealt, enter, free, parts, saved, wide
 
 ALPHA, MIN_DOCS = 0.9, 2
 KINDS = ("email", "ip", "card", "phone")
@@ -136,7 +136,7 @@ def _scan(df: DataFrame, text: str, names: _Names, plain: bool) -> DataFrame:
                 cols[i] = pc.if_else(pa.array(some, pa.bool_()), cols[i], pa.scalar(None, cols[i].type))
             yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, pa.list_(pa.string())), pa.array(own, pa.list_(pa.int64()))], [*keep, names.spans, names.own])
 
-    found = df.mapInArrow(run, f"{schema}, {names.spans} array<string>, {names.own} array<long>")
+    found = wide(df).mapInArrow(run, f"{schema}, {names.spans} array<string>, {names.own} array<long>")
     return saved(found.withColumn(names.row, F.monotonically_increasing_id()))
 
 
@@ -185,7 +185,7 @@ def _document_counts(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
             total += np.bincount(at[hit], c[hit], len(want)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(want), pa.array(total)], ["t", "n_t"])
 
-    blocks = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "part int, block binary, t long")
+    blocks = wide(df.select(F.col(f"`{text}`").alias("text"))).mapInArrow(count, "part int, block binary, t long")
     top = F.shiftrightunsigned("t", 48)
     asked = wanted.select((F.shiftright(top * n, 16)).cast("int").alias("part"), F.lit(None).cast("binary").alias("block"), "t")
     return dealt(blocks.union(asked), n, "part").mapInArrow(add, "t long, n_t long")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import enter, saved
+from .common import enter, saved, wide
 
 FIT_ROWS = 20_000
 _UPPER, _LOWER, _DIGIT, _SPACE = vec.lut(bytes(range(65, 91))), vec.lut(bytes(range(97, 123))), vec.lut(b"0123456789"), vec.lut(b" \t\n\r\x0b\x0c")
@@ -157,7 +157,7 @@ def features(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))], ["key", "stats"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, f"key {kind}, stats array<float>").withColumnRenamed("key", key)
+    return wide(df.selectExpr(f"`{key}` AS key", f"`{text}` AS text")).mapInArrow(run, f"key {kind}, stats array<float>").withColumnRenamed("key", key)
 
 
 def held_out(key: str):
