@@ -2,7 +2,7 @@
 
 Every byte is removed that is covered by a string of `length` bytes which also starts in a document with a smaller key.
 
-Anchors.  Of each window of `length` bytes the k-byte string with the least hash (leftmost if equal) is its anchor.  Equal
+Anchors.  Of each window of `length` bytes the k-byte string with the least half of a hash (leftmost if equal) is its anchor.  Equal
 windows have equal anchors, so windows are compared only where anchors agree; the windows of one anchor are neighbours.
 1. Shards of documents send the hashes of their anchors; only anchors that occur in two documents go on.
 2. For each shared anchor the shard has a suffix that starts there, as far as its windows reach, and the bytes before it.
@@ -69,8 +69,8 @@ class LoserTree:
                 know[b] = len(t)
                 return a, b
             m = min(len(s), len(t))
-            while d < m and s[d] == t[d]:
-                d += 1
+            if d < m and s[d] == t[d]:  # the first byte that differs, by the highest bit of an exclusive or
+                d = m - (((int.from_bytes(s[d:m]) ^ int.from_bytes(t[d:m])).bit_length() + 7) >> 3)
             if d == m:
                 a, b = (a, b) if len(s) < len(t) else (b, a)
             elif s[d] > t[d]:
@@ -107,49 +107,55 @@ class LoserTree:
         return out_run, out_common, out_place
 
 
-def _anchors(buf: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, last window, anchor) of the anchors in packed texts, ascending."""
+def _anchors(buf: np.ndarray, off: np.ndarray, length: int, k: int, whole: bool) -> tuple[np.ndarray, ...]:
+    """(hash, first window, last window, anchor) of the anchors in packed texts, ascending; if `whole`, also a hash of all bytes
+    from the first window's start to the last one's end and the anchor's place in them, else zeros."""
     none = np.zeros(0, np.int64)
     if len(buf) < length:
-        return np.zeros(0, U), none, none, none
+        return np.zeros(0, U), none, none, none, np.zeros(0, U)
     value = vec.kmers(buf, k)
-    pos = np.arange(len(value), dtype=np.int32)
-    wide, left = 1, length - k + 1
-    low, at = value, pos
-    while wide < left:
-        step = min(wide, left - wide)
-        a, b = low[:-step], low[step:]
-        first = a <= b
-        low, at = np.where(first, a, b), np.where(first, at[:-step], at[step:])
-        wide += step
+    # least by the upper half of the hash, leftmost if equal: a place has 32 bits, as an Arrow text has no more
+    low = (value & U(0xFFFFFFFF00000000)) | np.arange(len(value), dtype=U)
+    reach, left = 1, length - k + 1
+    while reach < left:
+        step = min(reach, left - reach)
+        low = np.minimum(low[:-step], low[step:])
+        reach += step
+    at = (low & U(0xFFFFFFFF)).astype(np.int64)
     start = np.zeros(len(at), bool)
     for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
         if b - a >= length:
             start[a : b - length + 1] = True
     s = np.flatnonzero(start)
     if not len(s):
-        return np.zeros(0, U), none, none, none
-    a = at[s].astype(np.int64)
+        return np.zeros(0, U), none, none, none, np.zeros(0, U)
+    a = at[s]
     head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (s[1:] != s[:-1] + 1))))
     last = np.append(head[1:], len(s)) - 1
     # least hashes crowd at the low end, so they are mixed again before they are dealt to buckets
-    return vec.mix(value[a[head]] ^ U(0x2545F4914F6CDD1D)), s[head], s[last], a[head]
+    lo, hi, a = s[head], s[last], a[head]
+    all_ = np.zeros(len(a), U)
+    if whole:
+        all_ = (hi - lo).astype(U) << U(32) | (a - lo).astype(U)
+        for j in range(0, 2 * length - k + 1, k):  # k-byte strings that cover all
+            all_ = vec.mix(all_ ^ value[np.minimum(lo + j, hi + length - k)])
+    return vec.mix(value[a] ^ U(0x2545F4914F6CDD1D)), lo, hi, a, all_
 
 
 class Shard:
     """Texts of a shard with their anchors."""
 
-    def __init__(self, keys: np.ndarray, texts: pa.Array, length: int, k: int):
+    def __init__(self, keys: np.ndarray, texts: pa.Array, length: int, k: int, whole: bool = False):
         self.keys, self.length, self.k = keys, length, k
         self.buf, self.off = vec.packed(texts)
         found = []
         for i, j in self.pieces():
             base = self.off[i]
-            h, lo, hi, a = _anchors(self.buf[base : self.off[j]], self.off[i : j + 1] - base, length, k)
-            found.append((h, *((x + base).astype(np.int32 if len(self.buf) < 2**31 else np.int64) for x in (lo, hi, a))))
-        joined = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, U)] + [np.zeros(0, np.int32)] * 3
+            h, lo, hi, a, all_ = _anchors(self.buf[base : self.off[j]], self.off[i : j + 1] - base, length, k, whole)
+            found.append((h, *((x + base).astype(np.int32 if len(self.buf) < 2**31 else np.int64) for x in (lo, hi, a)), all_))
+        joined = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, U)] + [np.zeros(0, np.int32)] * 3 + [np.zeros(0, U)]
         found.clear()
-        self.hash, self.lo, self.hi, self.at = joined
+        self.hash, self.lo, self.hi, self.at, self.all = joined
         self.row = vec.rows_of(self.lo, self.off).astype(np.int32)
         self.unique, self.back = np.unique(self.hash, return_inverse=True)
 
@@ -187,12 +193,9 @@ class Shard:
         with the anchor in the same place.  Hashes find them and bytes decide; `first` is the one in the least document."""
         use = shared[self.back]
         self.hot = hot[self.back[use]]
-        self.lo, self.hi, self.at, self.row, self.hash = (x[use] for x in (self.lo, self.hi, self.at, self.row, self.hash))
-        self.back = self.unique = None
-        words, all_ = vec.words_of(self.buf), np.arange(len(self.lo))
-        end = self.hi + self.length
-        h = np.concatenate([s.hashes for s in self._segments(all_, self.lo, end, words)])
-        h = vec.mix(h ^ (self.at - self.lo).astype(U))
+        self.lo, self.hi, self.at, self.row, self.hash, h = (x[use] for x in (self.lo, self.hi, self.at, self.row, self.hash, self.all))
+        self.back = self.unique = self.all = None
+        words, end = vec.words_of(self.buf), self.hi + self.length
         order = np.lexsort((self.doc, h))
         new = np.ones(len(order), bool)
         new[1:] = h[order][1:] != h[order][:-1]
@@ -201,7 +204,7 @@ class Shard:
         size, before = end - self.lo, self.at - self.lo
         other = (size != size[mate]) | (before != before[mate])
         for i in range(0, len(other), 65536):
-            c = np.flatnonzero(~other[i : i + 65536]) + i
+            c = np.flatnonzero(~other[i : i + 65536] & (mate[i : i + 65536] != np.arange(i, min(i + 65536, len(mate))))) + i
             a, b = (vec.Segments(self.buf, self.lo[x].astype(np.int64), end[x].astype(np.int64), words) for x in (c, mate[c]))
             bad = a.lane != b.lane
             if bad.any():
@@ -305,17 +308,18 @@ def _repeated(runs: list[bytes], length: int) -> list[np.ndarray]:
         known[1:] = np.minimum(known[1:], np.minimum(before[order][1:], before[order][:-1]))
     bits = np.zeros(n, np.int64)
     for o in range(reach + 1):
-        has = np.flatnonzero((before >= o) & (size >= length - o))
+        alike = common >= length - o  # with the one before: a window without a neighbour of this prefix is alone
+        has = np.flatnonzero((before >= o) & (size >= length - o) & (alike | np.append(alike[1:], False)))
         if len(has) < 2:
             continue
-        right = np.cumsum(common < length - o)
+        right = np.cumsum(~alike)
         left = np.empty(n, np.int64)
         left[order] = np.cumsum(known < o) if o else 0
         key = right[has] * (n + 1) + left[has]
-        by = np.lexsort((doc[has], key))
-        k, d = key[by], doc[has][by]
+        by = np.argsort(key, kind="stable")
+        k, d = key[by], doc[has[by]]
         first = np.concatenate(([True], k[1:] != k[:-1]))
-        least = d[np.flatnonzero(first)][np.cumsum(first) - 1]
+        least = np.minimum.reduceat(d, np.flatnonzero(first))[np.cumsum(first) - 1]
         bits[has[by[d > least]]] |= 1 << o
     out = np.empty(n, np.int64)
     out[source] = bits
@@ -360,8 +364,8 @@ def remove(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "te
     texts = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(2**63 - 1)).alias("key"), F.col(f"`{text}`").alias("text"))
     texts = sharded(texts, n, "key")
 
-    def made(t: pa.Table) -> Shard:
-        return Shard(t.column("key").to_numpy(), t.column("text").combine_chunks(), length, k)
+    def made(t: pa.Table, whole: bool) -> Shard:
+        return Shard(t.column("key").to_numpy(), t.column("text").combine_chunks(), length, k, whole)
 
     def answers(t: pa.Table) -> dict[int, bytes]:
         return dict(zip(t.column("part").to_pylist(), t.column("block").to_pylist(), strict=True))
@@ -372,7 +376,7 @@ def remove(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "te
 
     def ask_anchors(group, t):
         enter("suffixdedup")
-        s = made(t)
+        s = made(t, False)
         flag, heavy = s.several(), s.heavy()
         low = s.unique.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         own = lambda a, b: heavy[np.searchsorted(heavy, a) : np.searchsorted(heavy, b)] - a
@@ -405,7 +409,7 @@ def remove(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "te
                 at += len(kx)
 
     def narrowed(t: pa.Table, reply: pa.Table) -> Shard:
-        s, got = made(t), answers(reply)
+        s, got = made(t, True), answers(reply)
         cut = np.searchsorted(bucket_of(s.unique, n), np.arange(n + 1)).tolist()
         shared, hot = np.zeros(len(s.unique), bool), np.zeros(len(s.unique), bool)
         for p in range(n):

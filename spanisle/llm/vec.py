@@ -84,14 +84,16 @@ def kmers(buf: np.ndarray, k: int) -> np.ndarray:
     n = len(buf) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    words = words_of(buf)
-    h = np.full(n, 0x632BE59BD9B4E019, U64)
+    words, h = words_of(buf), None
     for at in range(0, max(k - 7, 1), 8) if k % 8 == 0 or k < 8 else [*range(0, k - 8, 8), k - 8]:
         lane = np.ndarray((n,), "<u8", words, at, (1,))
-        h ^= lane & _MASK[k] if k < 8 else lane
+        lane = lane & _MASK[k] if k < 8 else lane
+        h = lane ^ U64(0x632BE59BD9B4E019) if h is None else np.bitwise_xor(h, lane, out=h)
         h *= U64(0xD6E8FEB86659FD93)
         h ^= h >> U64(29)
-    return mix(h)
+    h *= U64(0xBF58476D1CE4E5B9)
+    h ^= h >> U64(32)
+    return h
 
 
 def packed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
