@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import cache, enter, free
+from .common import cache, enter, free, wide
 
 #: Texts step side by side while so many are left.
 SIDE_BY_SIDE = 48
@@ -80,9 +80,9 @@ class Automaton:
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """(class of each byte, state after each state and class); bytes that the text lacks are class 0, no step is 0."""
         found = np.unique(self.keys & 255)
-        cls = np.zeros(256, np.int64)
+        cls = np.zeros(256, np.uint8)  # at most 255 classes: UTF-8 has no byte 255
         cls[found] = np.arange(1, len(found) + 1)
-        to = np.zeros((self.states, len(found) + 1), np.int32)
+        to = np.zeros((self.states, len(found) + 1), np.uint16 if self.states < 1 << 16 else np.int32)  # small, to stay in caches
         to[self.keys >> 8, cls[self.keys & 255]] = self.to
         return cls, to
 
@@ -91,25 +91,28 @@ class Automaton:
         cls, to = self.table()
         width, flat, size = to.shape[1], to.ravel(), np.diff(off)
         order = np.argsort(-size, kind="stable")
-        start, length, at = off[:-1][order], size[order], cls[buf]
+        place, length, at = off[:-1][order], size[order], cls[buf]
         count, state = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-        left = len(length) - np.searchsorted(length[::-1], np.arange(int(length.max(initial=0)) + 1), "right")  # texts longer than j
-        j, m = 0, int(left[0])
+        left = (len(length) - np.searchsorted(length[::-1], np.arange(int(length.max(initial=0)) + 1), "right")).tolist()  # texts longer than j
+        j, m = 0, left[0]
         while m >= SIDE_BY_SIDE:
-            c = at[start[:m] + j]
-            old = state[:m]
+            old, pos, done = state[:m], place[:m], count[:m]
+            c = at[pos].astype(np.int64)
             new = flat[old * width + c]
-            miss = new == 0
-            count[:m] += miss & (old > 0)
-            state[:m] = np.where(miss, flat[c], new)
-            count[:m] += miss & (state[:m] == 0)  # a byte of no phrase
+            miss = np.flatnonzero(new == 0)
+            done[miss] += old[miss] > 0
+            old[:] = new
+            again = flat[c[miss]]
+            old[miss] = again
+            done[miss] += again == 0  # a byte of no phrase
+            pos += 1
             j += 1
-            m = int(left[j])
+            m = left[j]
         if m:
             step = memoryview(flat)
             for i in range(m):
                 s, n = int(state[i]), 0
-                for c in at[start[i] + j : start[i] + length[i]].tolist():
+                for c in at[place[i] : place[i] + length[i] - j].tolist():
                     t = step[s * width + c]
                     if not t:
                         n += s > 0
@@ -221,4 +224,4 @@ def identify(df: DataFrame, automata: dict[str, Automaton], keep: list[str], tex
                 lang, score, rate = model.predict(part.column(len(keep)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], [*keep, *names])
 
-    return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias(free(df, "text"))).mapInArrow(run, ", ".join([*kinds, f"{names[0]} string, {names[1]} double, {names[2]} double"]))
+    return wide(df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias(free(df, "text")))).mapInArrow(run, ", ".join([*kinds, f"{names[0]} string, {names[1]} double, {names[2]} double"]))
