@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tokens import QuerySyntaxError
+from ..session import wide
 
 KEYS = ["row", "cf", "cq"]
 
@@ -94,6 +95,7 @@ def aggregate(df: DataFrame, fn: str, by: list[str]) -> DataFrame:
 
 def terms(df: DataFrame, key: str, text: str, prefix: str = "word") -> dict[str, DataFrame]:
     """The four tables of a text corpus: edges (document to term), their transpose, term degrees, and the raw text."""
+    df = wide(df.select(key, text))
     words = F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9]+"), lambda w: w != "")
     row = F.col(key).cast("string").alias("row")
     each = df.select(row, F.explode(words).alias("w"))

@@ -15,7 +15,7 @@ from .operators import array as ops
 from .operators import kv
 from .plans import telemetry
 from .session import shared_dir, written
-from .sources import api, binary
+from .sources import api, binary, files
 from .streaming import windows
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -360,6 +360,16 @@ def _binary(source: str, target: str):
 _EVENTS = "select event_id, event_id % 2 = 0 as even, case when event_type = 'click' then null else value end as v, cast(user_id as int) as u, ts, cast(ts as date) as day, nullif(event_type, 'view') as kind from events"
 
 
+def jdbc_round_trip(spark, sf_dir):
+    """A table through another SQL engine, the embedded one that Spark ships with, read back in parts."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url = f"jdbc:derby:memory:spanisle{uuid.uuid4().hex};create=true"
+    df = engine(spark, sf_dir).query("bdrel(select o_orderkey, o_custkey, o_orderstatus, o_totalprice, cast(o_orderdate as timestamp) as o_orderdate from orders)")
+    files.write_jdbc(df, url, "moved", "overwrite")
+    back = files.read_jdbc(spark, url, "moved", "O_ORDERKEY", 0, 20_000, 3)
+    return back.toDF(*(c.lower() for c in back.columns))
+
+
 def _counts():
     return {"n": F.count("*"), "total": F.round(F.sum("value"), 2)}
 
@@ -420,6 +430,7 @@ FUNCTIONS = {
     "cast_api_kv": (cast_api_kv, f"SELECT CAST(pos AS VARCHAR) AS row, '1' AS cf, 'pos' AS cq, CAST(pos AS VARCHAR) AS value FROM {_METERED} UNION ALL SELECT CAST(pos AS VARCHAR), '2', 'v', CAST(v AS VARCHAR) FROM {_METERED} WHERE v IS NOT NULL UNION ALL SELECT CAST(pos AS VARCHAR), '3', 'who', who FROM {_METERED}"),
     "union_islands": (union_islands, f"select distinct i as k, 'array' as src from ({_A}) union all select n_nationkey, 'kv' from nation"),
     "table_made": (table_made, f"select o_custkey, b.n, s from (select o_custkey, count(*) as n from orders group by 1 having count(*) > 11) b join (select i, sum(n)::bigint as s from ({_A}) group by i) t on b.n = t.i"),
+    "jdbc_round_trip": (jdbc_round_trip, "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate from orders"),
     "binary_copy_cells": (_binary("copy", "cells"), _EVENTS),
     "binary_cells_copy": (_binary("cells", "copy"), _EVENTS),
     "d4m_edge": (_terms("edge"), f"SELECT CAST(doc_id AS VARCHAR) AS row, '' AS cf, 'word|' || w AS cq, CAST(n AS VARCHAR) AS value FROM ({_WORDS})"),

@@ -13,7 +13,7 @@ from spanisle.engine import Engine
 from spanisle.operators import array as ops
 from spanisle.operators import kv
 from spanisle.plans import afl, dialect, telemetry
-from spanisle.sources import api, binary
+from spanisle.sources import api, binary, files
 
 ROW = [("a", "boolean", False), ("b", "boolean", True), ("c", "int", False), ("d", "int", True), ("e", "double", False), ("f", "double", True), ("g", "string", False), ("h", "string", True)]
 KINDS = [(k, n) for _, k, n in ROW]
@@ -183,3 +183,16 @@ def test_windows_of_several_dimensions(spark):
     for r in ops.window(a, bounds, [("median", "v", "m")]).df.collect():
         some = sorted(v for v in reach((r["i"], r["j"], r["k"])) if v is not None)
         assert r["m"] == (None if not some else (some[(len(some) - 1) // 2] + some[len(some) // 2]) / 2)
+
+
+def test_jdbc(spark):
+    """Types and nulls through an embedded engine; appending adds rows; a query may stand for a table."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url = "jdbc:derby:memory:spanisletest;create=true"
+    df = spark.createDataFrame([(1, "a'b", 1.5, True, datetime.datetime(2024, 1, 2, 3, 4, 5)), (2, None, None, None, None)], "k int, s string, x double, b boolean, t timestamp")
+    files.write_jdbc(df, url, "t", "overwrite")
+    files.write_jdbc(df.withColumn("k", df["k"] + 10), url, "t")
+    back = files.read_jdbc(spark, url, "t", "K", 0, 20, 4)
+    assert back.rdd.getNumPartitions() == 4 and sorted(map(tuple, back.collect()), key=str) == sorted([*map(tuple, df.collect()), *((k + 10, *r) for k, *r in df.collect())], key=str)
+    assert files.read_jdbc(spark, url, "(select count(*) as n from t) q").first()[0] == 4
+    assert [files.sql_type(t) for t in ("int unsigned", "tinyint(1)", "varchar(10)", "numeric(10, 2)", "datetime", "double precision", "timestamp with time zone")] == ["bigint", "boolean", "string", "decimal(10,2)", "timestamp_ntz", "double", "timestamp"]
