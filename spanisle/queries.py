@@ -173,7 +173,7 @@ REL: dict[str, str | tuple[str, str]] = {
     "filter_tsquery": ("select doc_id from documents where to_tsvector('english', text) @@ to_tsquery('english', 'the & !(of | and) | with')",
         "select doc_id from (select doc_id, regexp_split_to_array(lower(text), '[^a-z0-9]+') as w from documents) where list_contains(w, 'the') and not (list_contains(w, 'of') or list_contains(w, 'and')) or list_contains(w, 'with')"),
     "agg_json": ("select n_regionkey, json_agg(n_name order by n_name desc) as names from nation group by n_regionkey", "select n_regionkey, cast(to_json(list(n_name order by n_name desc)) as varchar) as names from nation group by n_regionkey"),
-    "agg_ordered": ("select o_custkey, string_agg(cast(o_orderkey as varchar(20)), ',' order by o_totalprice desc, o_orderkey) as keys, element_at(array_agg(o_orderkey order by o_orderdate, o_orderkey) filter (where o_orderstatus <> 'P'), 1) as first from orders group by o_custkey",
+    "agg_ordered": ("select o_custkey, string_agg(cast(o_orderkey as varchar(20)), ',' order by o_totalprice desc, o_orderkey) as keys, try_element_at(array_agg(o_orderkey order by o_orderdate, o_orderkey) filter (where o_orderstatus <> 'P'), 1) as first from orders group by o_custkey",
         "select o_custkey, string_agg(cast(o_orderkey as varchar), ',' order by o_totalprice desc, o_orderkey) as keys, list(o_orderkey order by o_orderdate, o_orderkey) filter (where o_orderstatus <> 'P')[1] as first from orders group by o_custkey"),
     "agg_xml": ("select n_regionkey, xmlagg('<n>' || n_name || '</n>' order by n_name) as doc from nation group by n_regionkey", "select n_regionkey, string_agg('<n>' || n_name || '</n>', '' order by n_name) as doc from nation group by n_regionkey"),
     "pivot": ("select * from (select o_orderstatus, o_orderpriority, 1 as one from orders) pivot (sum(one) as n for o_orderstatus in ('F' as f, 'O' as o, 'P' as p))",
