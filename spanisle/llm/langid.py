@@ -93,8 +93,8 @@ class Automaton:
         order = np.argsort(-size, kind="stable")
         place, length, at = off[:-1][order], size[order], cls[buf]
         count, state = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-        left = (len(length) - np.searchsorted(length[::-1], np.arange(int(length.max(initial=0)) + 1), "right")).tolist()  # texts longer than j
-        j, m = 0, left[0]
+        ends = length.tolist()
+        j, m = 0, int((length > 0).sum())  # m texts are longer than j
         while m >= SIDE_BY_SIDE:
             old, pos, done = state[:m], place[:m], count[:m]
             c = at[pos].astype(np.int64)
@@ -107,20 +107,21 @@ class Automaton:
             done[miss] += again == 0  # a byte of no phrase
             pos += 1
             j += 1
-            m = left[j]
-        if m:
-            step = memoryview(flat)
-            for i in range(m):
-                s, n = int(state[i]), 0
-                for c in at[place[i] : place[i] + length[i] - j].tolist():
+            while m and ends[m - 1] <= j:
+                m -= 1
+        step = memoryview(flat)
+        for i in range(m):
+            s, n, first, last = int(state[i]), 0, int(place[i]), int(place[i]) + ends[i] - j
+            for part in range(first, last, 1 << 16):
+                for c in at[part : min(part + (1 << 16), last)].tolist():
                     t = step[s * width + c]
                     if not t:
                         n += s > 0
                         t = step[c]
                         n += not t
                     s = t
-                state[i] = s
-                count[i] += n
+            state[i] = s
+            count[i] += n
         out = np.empty(len(size), np.int64)
         out[order] = count + (state > 0)
         return out
