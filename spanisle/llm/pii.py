@@ -195,8 +195,11 @@ def _disclosing(df: DataFrame, hits: DataFrame, text: str, names: _Names, alpha:
     """(_row, _terms array<struct<t, gone>>): for each row with entities the terms that disclose one of them."""
     own = hits.select(F.col(names.row).alias("k"), F.explode(names.own).alias("e"))
     n = df.count()
-    n_c = saved(own.groupBy("e").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= min_docs))
-    often = graph.spread(own, n_c.select(F.col("e").alias("_e")), "e", "_e", "inner", n_c.count()).groupBy("k").agg(F.collect_list("e").alias("es"))
+    # entities of the same rows have the same terms, so they are counted as one: a list of addresses that is copied is one entity
+    rows_of = [F.bit_xor(F.xxhash64(F.lit(seed), "k")).alias(f"s{seed}") for seed in (1, 2)]
+    alike = saved(own.groupBy("e").agg(F.count("*").alias("n_c"), *rows_of).where(F.col("n_c") >= min_docs).select(F.col("e").alias("_e"), F.xxhash64("s1", "s2").alias("c"), "n_c"))
+    n_c = alike.select(F.col("c").alias("e"), "n_c").distinct()
+    often = graph.spread(own, alike.select("_e", "c"), "e", "_e", "inner", alike.count()).groupBy("k").agg(F.collect_set("c").alias("es"))
 
     def run(batches):
         enter("pii")

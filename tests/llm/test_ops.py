@@ -477,6 +477,15 @@ def test_disclosing_terms_brute_force(spark, alpha):
     assert got == want and sum("removed" in s for *_, s in want) > 20
 
 
+def test_pii_copied_lists(spark):
+    """Texts of many entities and many words, copied: entities of the same rows are counted together, and the result is the plain one."""
+    lists = [" ".join(f"p{i}x{j}@mail.example.com Name{chr(97 + j % 26)}{'xy'[i]}{'z' * (j // 26)}" for j in range(300)) for i in range(2)]
+    rows = [(i, lists[i % 2]) for i in range(6)] + [(9, "p0x1@mail.example.com Namebx")] + [(i, "plain words of no one") for i in range(10, 90)]
+    got = by_id(pii.detect(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = terms_by_hand([t for _, t in rows], pii.ALPHA, pii.MIN_DOCS)
+    assert [got[i]["spans"] for i, _ in rows] == want and want[0].count("removed") + want[0].count("term") >= 299
+
+
 def test_pii_many_spans_in_linear_time():
     import time
 
