@@ -9,7 +9,7 @@ generalised to `[TERM]`, for a corpus has no taxonomy of its words.  All counts
 without an entity are left alone.  An entity of fewer than MIN_DOCS documents can't have such terms, so its documents' words are not
 paired with it.
 
-A term is a run of ASCII letters and characters beyond ASCII, of any length, in lower case as to A-Z.  A document is a row, whatever
+A term is a run of ASCII letters and characters beyond ASCII, of any length, in lower case.  A document is a row, whatever
 its key: rows of one key, or of none, each count and are each sanitised by their own entities.
 
 Texts are matched once; the table of what was found is written, and the counts and results are made from it.
@@ -43,8 +43,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TERM = re.compile("[A-Za-z\x80-\U0010ffff]+")
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _WORD = vec.lut(bytes([*range(65, 91), *range(97, 123), *range(128, 256)]))
 _FOLD = {c: c + 32 for c in range(65, 91)}
 
@@ -94,10 +92,14 @@ def _hash(words: list[bytes]) -> np.ndarray:
     return vec.Segments(buf, end - [len(w) for w in words], end).hashes.view(np.int64) if words else np.zeros(0, np.int64)
 
 
+def _lower(texts: pa.Array) -> pa.Array:
+    """Lower case, one character for one, so that words start and end where they did."""
+    return pc.utf8_lower(texts.cast(pa.large_string()))
+
+
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed words of each text, one text after the other; and their rows."""
-    buf, off = vec.packed(texts)
-    buf = _LOWER[buf]
+    buf, off = vec.packed(_lower(texts))
     s, e = vec.runs(_WORD[buf], off)
     keep = _WORD[buf[s]] if len(s) else np.zeros(0, bool)
     s, e = s[keep], e[keep]
@@ -245,7 +247,7 @@ def _with_terms(df: DataFrame, text: str, names: _Names, plain: bool, alpha: flo
                     words = list(_TERM.finditer(t))
                     starts = np.array([a for a, _ in taken])
                     reach = np.maximum.accumulate([e for _, e in taken])
-                    for m, h in zip(words, _hash([m[0].translate(_FOLD).encode() for m in words]).tolist(), strict=True):
+                    for m, h in zip(words, _hash([w.encode() for w in _lower(pa.array([m[0] for m in words], pa.string())).to_pylist()]).tolist(), strict=True):
                         if h in gone:
                             i = int(np.searchsorted(starts, m.end())) - 1
                             if i < 0 or reach[i] <= m.start():
