@@ -16,11 +16,12 @@ windows have equal anchors, so windows are compared only where anchors agree; th
 4. Shards turn bits into covered bytes.
 
 A shard sends an equal suffix once, so a passage that a third of all documents share costs a receiver a row for each shard.
-Texts are shuffled once (the exchange by shard is used by all steps), and the answers go back by shard.
+Texts are shuffled once (the exchange by shard is used by all steps), and the answers go back by shard.  Rows of an exchange come in
+another order each time they are read on a cluster, and answers name suffixes by their place, so each step first orders its rows.
 
 Cases: a null or empty text, or one shorter than `length`, loses nothing; texts of any length are treated whole; rows that
 share a key count as one document and lose nothing to each other; an empty table gives an empty table; extra columns are never
-read.  Keys that are no integers raise TypeError; rows with a null key count as one last document.
+read.  Keys that are no integers raise TypeError; rows with a null key count as one last document, and the key 2^63 - 1 as the same.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,9 +147,10 @@ def _anchors(buf: np.ndarray, off: np.ndarray, length: int, k: int, whole: bool)
 class Shard:
     """Texts of a shard with their anchors."""
 
-    def __init__(self, keys: np.ndarray, texts: pa.Array, length: int, k: int, whole: bool = False):
-        self.keys, self.length, self.k = keys, length, k
-        self.buf, self.off = vec.packed(texts)
+    def __init__(self, rows: pa.Table, length: int, k: int, whole: bool = False):
+        rows = _ordered(rows)
+        self.keys, self.missing, self.length, self.k = rows.column("key").to_numpy(), rows.column("missing").combine_chunks(), length, k
+        self.buf, self.off = vec.packed(rows.column("text"))
         found = []
         for i, j in self.pieces():
             base = self.off[i]
@@ -326,8 +329,17 @@ def _repeated(runs: list[bytes], length: int) -> list[np.ndarray]:
     return [out[begin[i] : begin[i + 1]].astype("<u8") for i in range(len(runs))]
 
 
+def _ordered(t: pa.Table) -> pa.Table:
+    """Rows by key and text, whatever order they came in."""
+    t = t.set_column(t.column_names.index("text"), "text", t.column("text").cast(pa.large_binary())).select(["key", "missing", "text"])
+    key = t.column("key").to_numpy()
+    order = np.argsort(key, kind="stable")
+    twice = key[order][1:] == key[order][:-1]
+    return t.take(pa.array(order) if not twice.any() else pc.sort_indices(t, sort_keys=[(c, "ascending") for c in t.column_names]))
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_EMPTY = pa.table({"key": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string()), "kept": pa.array([], pa.binary()), "spans": pa.array([], _SPANS)})
+_EMPTY = pa.table({"key": pa.array([], pa.int64()), "missing": pa.array([], pa.bool_()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string()), "kept": pa.array([], pa.binary()), "spans": pa.array([], _SPANS)})
 
 
 def _cut(s: Shard, i: int, j: int, base: int, own: slice, take: np.ndarray) -> pa.Table:
@@ -351,7 +363,7 @@ def _cut(s: Shard, i: int, j: int, base: int, own: slice, take: np.ndarray) -> p
     cut = np.concatenate(([0], np.cumsum(size - removed))).tolist()
     texts = [kept[cut[k] : cut[k + 1]] for k in range(j - i)]
     spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.StructArray.from_arrays([pa.array(start - off[row]), pa.array(end - off[row])], ["start", "end"]))
-    return pa.table({"key": pa.array(s.keys[i:j]), "n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(count), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), "kept": pa.array(texts, pa.binary()), "spans": spans})
+    return pa.table({"key": pa.array(s.keys[i:j]), "missing": s.missing[i:j], "n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(count), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), "kept": pa.array(texts, pa.binary()), "spans": spans})
 
 
 def remove(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,11 +373,12 @@ def remove(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "te
     if not 8 <= length <= 64:
         raise ValueError("the length must be from 8 to 64")
     n = parts(df)
-    texts = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(2**63 - 1)).alias("key"), F.col(f"`{text}`").alias("text"))
+    own = F.col(f"`{key}`").cast("long")
+    texts = df.select(F.coalesce(own, F.lit(2**63 - 1)).alias("key"), own.isNull().alias("missing"), F.col(f"`{text}`").alias("text"))
     texts = sharded(texts, n, "key")
 
     def made(t: pa.Table, whole: bool) -> Shard:
-        return Shard(t.column("key").to_numpy(), t.column("text").combine_chunks(), length, k, whole)
+        return Shard(t, length, k, whole)
 
     def answers(t: pa.Table) -> dict[int, bytes]:
         return dict(zip(t.column("part").to_pylist(), t.column("block").to_pylist(), strict=True))
@@ -455,5 +468,5 @@ def remove(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "te
     runs = texts.groupBy("shard").cogroup(reply.groupBy("shard")).applyInArrow(send_runs, "part int, shard int, block binary")
     bits = dealt(runs, n, "part").mapInArrow(merge_runs, "shard int, part int, block binary")
     both = reply.withColumn("kind", F.lit(1)).union(bits.withColumn("kind", F.lit(2)))
-    out = texts.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(finish, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
-    return out.withColumn("key", F.nullif(F.col("key"), F.lit(2**63 - 1))).withColumnRenamed("key", key)
+    out = texts.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(finish, "key long, missing boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
+    return out.withColumn("key", F.when(~F.col("missing"), F.col("key"))).drop("missing").withColumnRenamed("key", key)

@@ -85,6 +85,30 @@ def test_suffix_dedup_small_alphabets(spark, seed):
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == removed_by_hand(texts)
 
 
+def test_suffix_dedup_rows_in_any_order(spark):
+    """As on a cluster, each step gets the rows of a shard in another order; keys repeat, and reach to the largest."""
+    rng = np.random.default_rng(7)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    pool = [word(70) for _ in range(4)]
+    texts = {i: word(int(rng.integers(0, 40))) + str(rng.choice(pool)) + word(int(rng.integers(0, 40))) for i in [*range(200), 2**63 - 1]}
+
+    def turned(batches):
+        own = np.random.default_rng()
+        for b in batches:
+            yield b.take(pa.array(own.permutation(b.num_rows)))
+
+    rows = [(i, t, 0) for i, t in texts.items()] + [(100, t, 1) for t in (texts[100] + "-", texts[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, nth int").coalesce(1).mapInArrow(turned, "doc_id long, text string, nth int")
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", False)
+    try:
+        got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixdedup.remove(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+    want = {(i, *w) for i, w in removed_by_hand(texts).items()}
+    assert len(got) == len(rows) and want <= set(got) and sum(w[2] > 0 for w in want) > 150
+
+
 def test_loser_tree_merges_and_keeps_prefixes():
     rng = np.random.default_rng(3)
     runs = [sorted(bytes(rng.choice([97, 98], int(rng.integers(1, 9)))) for _ in range(int(rng.integers(0, 30)))) for _ in range(5)]
