@@ -213,8 +213,25 @@ def _aggregate_column(fn: str, arg: str, order: list[str]) -> Column:
     return F.expr(AGGREGATES[fn].format(arg if arg == "*" else f"`{arg}`", order=f"struct({', '.join(order)})"))
 
 
+def _quantiles(df: DataFrame, names: list[str], arg: str, name: str) -> DataFrame:
+    """The quantile of an attribute for each group, low + (high - low) * fraction between the two values about its place, as SQL has
+    it; `percentile` weighs the two and rounds otherwise."""
+    arg, _, p = arg.partition(",")
+    p = float(p or 0.5)
+    if not 0 <= p <= 1:
+        raise ArrayError("a quantile is from 0 to 1")
+    counts = df.select(*names, F.col(f"`{arg.strip()}`").cast("double").alias("_v")).where("_v is not null").groupBy(*names, "_v").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*names)
+    at = (F.sum("_n").over(group) - 1) * F.lit(p)
+    placed = counts.select(*names, "_v", "_n", F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), at.alias("_at"))
+    value = lambda place: F.max(F.when((place >= F.col("_upto") - F.col("_n")) & (place < F.col("_upto")), F.col("_v")))
+    found = placed.groupBy(*names).agg(value(F.floor("_at")).alias("_low"), value(F.ceil("_at")).alias("_high"), F.max(F.col("_at") - F.floor("_at")).alias("_part"))
+    q = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part"))
+    return found.select(*names, q.alias(name))
+
+
 def aggregate(a: Array, calls: list[tuple[str, str, str]], by: list[str]) -> Array:
-    """calls of (function, attribute or *, name), grouped by dimensions; without dimensions one cell at i = 0."""
+    """calls of (function, attribute or *, name), grouped by dimensions; without dimensions one cell at i = 0.  approxdc counts exactly."""
     dims = [d for n in by for d in a.schema.dimensions if d.name.lower() == n.lower()]
     if len(dims) < len(by):
         raise ArrayError("aggregate groups by dimensions of the array")
@@ -224,8 +241,17 @@ def aggregate(a: Array, calls: list[tuple[str, str, str]], by: list[str]) -> Arr
         if fn.lower() == "mad":  # the median of distances from the median needs the median first
             w = df.groupBy(*names).agg(F.median(F.col(f"`{arg}`")).alias(f"_median_{arg}"))
             df = df.join(w, names) if names else df.crossJoin(F.broadcast(w))  # one row
-    cols = [(F.median(F.abs(F.col(f"`{arg}`") - F.col(f"`_median_{arg}`"))) if fn.lower() == "mad" else _aggregate_column(fn, arg, a.schema.dims)).alias(name) for fn, arg, name in calls]
-    df = df.groupBy(*names).agg(*cols)
+    def column(fn: str, arg: str) -> Column:
+        if fn.lower() == "mad":
+            return F.median(F.abs(F.col(f"`{arg}`") - F.col(f"`_median_{arg}`")))
+        return F.count_distinct(F.col(f"`{arg}`")) if fn.lower() == "approxdc" else _aggregate_column(fn, arg, a.schema.dims)
+
+    apart = [_quantiles(df, names, arg, name) for fn, arg, name in calls if fn.lower() == "quantile"]
+    cols = [column(fn, arg).alias(name) for fn, arg, name in calls if fn.lower() != "quantile"]
+    df = df.groupBy(*names).agg(*cols) if cols else df.groupBy(*names).agg(F.lit(0).alias("_none"))
+    for q in apart:  # a group whose values are all null has none
+        df = df.join(q, names, "left") if names else df.crossJoin(F.broadcast(q))  # one row
+    df = df.select(*names, *(f"`{name}`" for _, _, name in calls))
     if not dims:
         dims, df = [Dimension("i", 0, 0)], df.withColumn("i", F.lit(0).cast("bigint"))
     attrs = [Attribute(name, _type_of(df.schema[name].dataType.simpleString())) for _, _, name in calls]

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import math
 import struct
 import threading
 import urllib.parse
@@ -185,6 +186,27 @@ def test_windows_of_several_dimensions(spark):
         assert r["m"] == (None if not some else (some[(len(some) - 1) // 2] + some[len(some) // 2]) / 2)
 
 
+def test_quantiles_and_distinct_counts_are_exact(spark):
+    """As SQL has them, to the last bit; for groups, for all cells, and where all values are null."""
+    rows = [(i, j, 900 + ((i * 7919 + j * 104729) % 1999) / 10, (i * 31 + j * j) % 97) for i in range(40) for j in range(50)] + [(40, 0, None, None)]
+    a = ops.to_array(spark.createDataFrame(rows, "i long, j long, v double, n long"), "<v:double,n:int64>[i=0:*,100,0,j=0:*,100,0]")
+    got = {r["i"]: (r["q"], r["d"], r["h"]) for r in ops.aggregate(a, [("quantile", "v, 0.25", "q"), ("approxdc", "n", "d"), ("quantile", "n", "h")], ["i"]).df.collect()}
+
+    def by_hand(values, p):
+        at = (len(values) - 1) * p
+        low, high = sorted(values)[math.floor(at)], sorted(values)[math.ceil(at)]
+        return low + (high - low) * (at - math.floor(at))
+
+    for i in range(40):
+        v, n = ([r[c] for r in rows if r[0] == i] for c in (2, 3))
+        assert got[i] == (by_hand(v, 0.25), len(set(n)), by_hand(n, 0.5))
+    assert got[40] == (None, 0, None)
+    whole = ops.aggregate(a, [("quantile", "v, 0.3", "q")], []).df.first()
+    assert (whole["i"], whole["q"]) == (0, by_hand([r[2] for r in rows[:-1]], 0.3))
+    with pytest.raises(ops.ArrayError, match="0 to 1"):
+        ops.aggregate(a, [("quantile", "v, 2", "q")], [])
+
+
 def test_jdbc(spark):
     """Types and nulls through an embedded engine; appending adds rows; a query may stand for a table."""
     spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
