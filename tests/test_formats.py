@@ -218,3 +218,17 @@ def test_jdbc(spark):
     assert back.rdd.getNumPartitions() == 4 and sorted(map(tuple, back.collect()), key=str) == sorted([*map(tuple, df.collect()), *((k + 10, *r) for k, *r in df.collect())], key=str)
     assert files.read_jdbc(spark, url, "(select count(*) as n from t) q").first()[0] == 4
     assert [files.sql_type(t) for t in ("int unsigned", "tinyint(1)", "varchar(10)", "numeric(10, 2)", "datetime", "double precision", "timestamp with time zone")] == ["bigint", "boolean", "string", "decimal(10,2)", "timestamp_ntz", "double", "timestamp"]
+
+
+def test_jdbc_where_only_the_driver_reaches_the_engine(spark, monkeypatch):
+    """As on a cluster, whose executors would each make an empty embedded engine of their own."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    monkeypatch.setattr(files, "_own", lambda *_: True)
+    monkeypatch.setattr(files, "HELD", 3)
+    url = "jdbc:derby:memory:spanisleown;create=true"
+    df = spark.createDataFrame([(i, "a'b", 1.5, True, datetime.datetime(2024, 1, 2, 3, 4, 5)) for i in range(8)] + [(9, None, None, None, None)], "k int, s string, x double, b boolean, t timestamp")
+    files.write_jdbc(df.repartition(3), url, "t", "overwrite")
+    back = files.read_jdbc(spark, url, "t", "K", 0, 20, 4)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    files.write_jdbc(df, url, "t")
+    assert files.read_jdbc(spark, url, "t").count() == 18 and files.read_jdbc(spark, url, "(select \"k\" from t where \"k\" > 100) q").count() == 0
